@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from rankeval.session import ship
+
 #: Bytes of text that the numpy kernels take at a time; a longer document is taken whole, alone.
 CHUNK_BYTES = 1 << 20
 
@@ -22,6 +24,7 @@ _STEP = _U64(0xD6E8FEB86659FD93)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rankeval.llm import bpe, chat, decontaminate, line_dedup, quality_rules
+from rankeval.llm import bpe, chat, decontaminate, line_dedup, ngram_join, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard_join": ngram_join.op1,
         "op4_benchmark_decontamination": decontaminate.op4,
         "op5_chat_formatting": chat.op5,
         "op6_byte_level_bpe": bpe.op6,
