@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankeval.llm import bpe, chat, decontaminate, line_dedup, ngram_join, quality_rules
+from rankeval.llm import bpe, chat, decontaminate, line_dedup, ngram_join, quality_rules, suffix_dedup
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_chat_formatting": chat.op5,
         "op6_byte_level_bpe": bpe.op6,
         "op7_quality_rules": quality_rules.op7,
+        "op8_suffix_array_dedup": suffix_dedup.op8,
         "op9_line_dedup": line_dedup.op9,
     }
 
