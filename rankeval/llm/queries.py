@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from rankeval.llm import bpe, chat, decontaminate, line_dedup, ngram_join, quality_rules, suffix_dedup
+from rankeval.llm import bpe, chat, decontaminate, knn_quality, line_dedup, ngram_join, quality_rules, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": ngram_join.op1,
+        "op2_toxicity": toxicity.op2,
         "op4_benchmark_decontamination": decontaminate.op4,
         "op5_chat_formatting": chat.op5,
         "op6_byte_level_bpe": bpe.op6,
         "op7_quality_rules": quality_rules.op7,
         "op8_suffix_array_dedup": suffix_dedup.op8,
         "op9_line_dedup": line_dedup.op9,
+        "op10_quality_classifier": knn_quality.op10,
     }
 
 
