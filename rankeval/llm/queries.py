@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rankeval.llm import bpe, chat, decontaminate, knn_quality, line_dedup, ngram_join, quality_rules, suffix_dedup, toxicity
+from rankeval.llm import bpe, chat, decontaminate, knn_quality, licences, line_dedup, ngram_join, quality_rules, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": ngram_join.op1,
         "op2_toxicity": toxicity.op2,
+        "op3_license_scan": licences.op3,
         "op4_benchmark_decontamination": decontaminate.op4,
         "op5_chat_formatting": chat.op5,
         "op6_byte_level_bpe": bpe.op6,
