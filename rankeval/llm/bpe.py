@@ -181,33 +181,39 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """key, token_ids (array of int) and decoded (the bytes that the ids stand for)."""
-    return _mapped(docs, key, text, path, pattern, "token_ids array<int>, decoded binary", lambda ids, back: (ids.astype(np.int32), back))
-
-
-def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256: encode()'s outputs digested where they are made, so that they need not travel."""
-    return _mapped(docs, key, text, path, pattern, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda ids, back: (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
-
-
-def _mapped(docs: DataFrame, key: str, text: str, path: str | None, pattern: str | None, columns: str, make) -> DataFrame:
+_KINDS = {"n_tokens": pa.int64(), "token_ids": pa.list_(pa.int32()), "decoded": pa.binary(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+_MAKE = {
+    "n_tokens": lambda ids, back: len(ids),
+    "token_ids": lambda ids, back: ids.astype(np.int32),
+    "decoded": lambda ids, back: back,
+    "ids_sha256": lambda ids, back: hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(),
+    "decoded_sha256": lambda ids, back: hashlib.sha256(back).hexdigest(),
+}
+_SQL = {"n_tokens": "bigint", "token_ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def encode(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", returns: tuple[str, ...] = ("token_ids", "decoded"), path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The columns in keep, then those asked for: n_tokens, token_ids, decoded (the bytes that the ids stand for) and the SHA-256 digests of either."""
     path, pattern = path or default_path(), pattern or default_pattern()
-    docs = docs.select(F.col(key), F.col(text))
-    kind = docs.schema[0].dataType.simpleString()
+    docs = docs.select(F.col(text).alias("_text"), *keep)
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema[1:]] + [f"{r} {_SQL[r]}" for r in returns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = codec(path, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            texts = [x or "" for x in batch.column(0).to_pylist()]
             for a, b in chunks([t.encode() for t in texts], 8 * CHUNK_BYTES):
                 sizes, every = it.encode_batch(texts[a:b])
-                rows = [make(ids, it.decode(ids)) for ids in np.split(every, np.cumsum(sizes)[:-1])]
-                names, kinds = zip(*(c.split() for c in columns.split(", ")), strict=True)
-                types = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array([r[i] for r in rows], types[k]) for i, k in enumerate(kinds))], ["key", *names])
+                rows = [(ids, it.decode(ids)) for ids in np.split(every, np.cumsum(sizes)[:-1])]
+                made = [pa.array([_MAKE[r](*row) for row in rows], _KINDS[r]) for r in returns]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(1, batch.num_columns)), *made], [*batch.schema.names[1:], *returns])
+
+    return docs.mapInArrow(run, kinds)
+
 
-    return docs.mapInArrow(run, f"key {kind}, {columns}").withColumnRenamed("key", key)
+def digests(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode()'s outputs digested where they are made, so that they need not travel."""
+    return encode(docs, returns=("n_tokens", "ids_sha256", "decoded_sha256"), **how)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
