@@ -103,7 +103,8 @@ class Replay:
         self.count["rejected"] += bool(c["rejected"])
         self.count["truncated"] += bool(c["truncated"])
         for p in c["paths"] if c["paths"] is not None else []:
-            self.surfaced.setdefault(p, c["name"])  # the first tool keeps the credit
+            if p is not None:
+                self.surfaced.setdefault(p, c["name"])  # the first tool keeps the credit
 
     def result(self, off_list_k: int | None = None) -> dict:
         listed = _distinct(self.candidates)

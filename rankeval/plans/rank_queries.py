@@ -224,11 +224,11 @@ def _scores(t: Tables) -> DataFrame:
     """A score row for each order; its customer is the group, so some groups are small."""
     return t.orders.select(
         F.col("o_orderkey").alias("instance_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("grp"), (F.col("o_totalprice") > 150000).alias("hit"), ((F.col("o_orderkey") % 4) / 4.0).alias("recall_3"),
-        ((F.col("o_orderkey") % 3) / 2.0).alias("recall_5"), (F.col("o_totalprice") / 1000).alias("latency"), (F.col("o_totalprice") / 1e4).alias("cost"),
+        ((F.col("o_orderkey") % 3) / 2.0).alias("recall_5"), (F.col("o_totalprice") / 1000).alias("latency"), (F.sqrt("o_totalprice") / 1000).alias("cost"),
     )
 
 
-_SCORES = "sc AS (SELECT o_orderkey AS instance_id, 'c' || o_custkey AS grp, o_totalprice > 150000 AS hit, (o_orderkey % 4) / 4.0::DOUBLE AS recall_3, (o_orderkey % 3) / 2.0::DOUBLE AS recall_5, o_totalprice / 1000 AS latency, o_totalprice / 1e4 AS cost FROM orders)"
+_SCORES = "sc AS (SELECT o_orderkey AS instance_id, 'c' || o_custkey AS grp, o_totalprice > 150000 AS hit, (o_orderkey % 4) / 4.0::DOUBLE AS recall_3, (o_orderkey % 3) / 2.0::DOUBLE AS recall_5, o_totalprice / 1000 AS latency, sqrt(o_totalprice) / 1000 AS cost FROM orders)"
 _LOW, _HIGH = sql_wilson("count(*) FILTER (hit)", "count(*)")
 _MEASURES = f"count(*)::BIGINT AS n, round(count(*) FILTER (hit)::DOUBLE / count(*), 6) AS top_1, round({_LOW}, 6) AS ci_low, round({_HIGH}, 6) AS ci_high, round(avg(recall_3), 6) AS recall_3, round(avg(recall_5), 6) AS recall_5, round(sum(latency), 6) AS latency_total, round(list_sort(list(latency))[count(*) // 2 + 1], 6) AS latency_median, round(sum(cost), 6) AS cost_total, round(sum(cost) / count(*), 6) AS cost_each"
 _BUCKETS = f"{_SCORES}, bk AS (SELECT * REPLACE (CASE WHEN count(*) OVER (PARTITION BY grp) < 3 THEN 'other' ELSE grp END AS grp) FROM sc)"
