@@ -96,15 +96,16 @@ class Replay:
 
     def _called(self, c: dict) -> None:
         self.count["calls"] += 1
-        self.by_tool[c["name"]] = self.by_tool.get(c["name"], 0) + 1
-        if c["name"] not in self.tools:
+        name = c["name"] or ""
+        self.by_tool[name] = self.by_tool.get(name, 0) + 1
+        if name not in self.tools:
             self.count["unknown_tools"] += 1
             return
         self.count["rejected"] += bool(c["rejected"])
         self.count["truncated"] += bool(c["truncated"])
         for p in c["paths"] if c["paths"] is not None else []:
             if p is not None:
-                self.surfaced.setdefault(p, c["name"])  # the first tool keeps the credit
+                self.surfaced.setdefault(p, name)  # the first tool keeps the credit
 
     def result(self, off_list_k: int | None = None) -> dict:
         listed = _distinct(self.candidates)

@@ -396,7 +396,7 @@ def agent_replay(t: Tables) -> DataFrame:
     """Users as instances, their events as recorded steps: a purchase submits, other events call a tool of that name."""
     e = _events(t).withColumn("path", F.concat(F.lit("pkg/"), "path", F.lit(".py")))
     tool = F.create_map(*(F.lit(x) for kv in (("view", "read_file"), ("click", "search_code"), ("signup", "file_outline"), ("purchase", agent.SUBMIT), ("error", "no_such_tool")) for x in kv))
-    call = F.struct(F.element_at(tool, "tool").alias("name"), F.array("path").alias("paths"), F.lit(False).alias("rejected"), (F.col("cost") > 300).alias("truncated"))
+    call = F.struct(F.element_at(tool, F.col("tool")).alias("name"), F.array("path").alias("paths"), F.lit(False).alias("rejected"), (F.col("cost") > 300).alias("truncated"))
     steps = e.select(F.col("instance").cast("string").alias("instance_id"), F.col("seq").cast("int").alias("seq"), F.lit("").alias("text"), (F.col("cost") / 1000).alias("cost"), (F.col("cost") / 10).alias("seconds"), F.array(call).alias("calls"))
     listed = e.groupBy(F.col("instance").cast("string").alias("instance_id")).agg(F.sort_array(F.collect_set("path")).alias("candidates")).select("instance_id", F.slice("candidates", 1, 20).alias("candidates"), F.lit("r").alias("corpus"))
     tree = e.where("cost > 5").select(F.lit("r").alias("corpus"), "path").distinct()
