@@ -86,19 +86,43 @@ def marginals(emit: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndar
     return both / (1 + both)
 
 
-def _word_labels(w: Words, toxic: np.ndarray) -> np.ndarray:
-    """1 for words of toxic documents that are typical of those."""
-    out = np.zeros(len(w.hash), bool)
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    for column in _feature_hashes(w):
-        token, where = np.unique(column, return_inverse=True)
-        pair = np.unique(w.doc.astype(np.int64) * len(token) + where)
-        doc, which = pair // max(1, len(token)), pair % max(1, len(token))
-        in1 = np.bincount(which[toxic[doc]], minlength=len(token))
-        in0 = np.bincount(which[~toxic[doc]], minlength=len(token))
-        odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
-        out |= ((odds > np.log(8)) & (in1 >= max(3, 0.01 * n1)))[where]
-    return out & toxic[w.doc]
+@dataclass
+class _Learnt:
+    """The words of the rows that the chain is fitted on: feature hashes, document of each word, first words of documents."""
+
+    hashes: list[np.ndarray]
+    doc: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> _Learnt:
+        """Chunk by chunk, as hashing takes many times a text's size."""
+        hashes, doc, first, n = [[] for _ in range(1 + len(HEADS))], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+        for a, b in chunks(texts):
+            w = Words(texts[a:b], ALNUM)
+            for held, h in zip(hashes, _feature_hashes(w), strict=True):
+                held.append(h)
+            doc.append((w.doc + a).astype(np.int32))
+            first.append(w.first[1:] + n)
+            n += len(w.hash)
+        return cls([np.concatenate(h) for h in hashes], np.concatenate(doc), np.concatenate(first))
+
+    def places(self) -> np.ndarray:
+        return np.stack([(h >> np.uint64(64 - BITS)).astype(np.int32) for h in self.hashes], 1)
+
+    def labels(self, toxic: np.ndarray) -> np.ndarray:
+        """1 for words of toxic documents that are typical of those."""
+        out = np.zeros(len(self.doc), bool)
+        n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+        for column in self.hashes:
+            token, where = np.unique(column, return_inverse=True)
+            pair = np.unique(self.doc.astype(np.int64) * len(token) + where)
+            doc, which = pair // max(1, len(token)), pair % max(1, len(token))
+            in1 = np.bincount(which[toxic[doc]], minlength=len(token))
+            in0 = np.bincount(which[~toxic[doc]], minlength=len(token))
+            odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
+            out |= ((odds > np.log(8)) & (in1 >= max(3, 0.01 * n1)))[where]
+        return out & toxic[self.doc]
 
 
 def fit(rows: list[tuple[bytes, int]], *, epochs: int = 8, rate: float = 0.3, l2: float = 1e-6) -> Model:
@@ -107,17 +131,18 @@ def fit(rows: list[tuple[bytes, int]], *, epochs: int = 8, rate: float = 0.3, l2
     if len(Counter(y for _, y in rows)) < 2:
         return none
     learn, other = [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if not i % 5]
-    w = Words([t for t, _ in learn], ALNUM)
-    labels = _word_labels(w, np.array([y == 1 for _, y in learn]))
+    w = _Learnt.of([t for t, _ in learn])
+    labels = w.labels(np.array([y == 1 for _, y in learn]))
     if not labels.any():
         return none
     # Segments of at most SEGMENT words; a segment is a chain of its own here.
-    first = np.unique(np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]))
-    ends = np.append(first[1:], len(w.hash))
+    first = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(w.first[:-1], w.first[1:], strict=True)])
+    ends = np.append(first[1:], len(w.doc))
     hot = np.add.reduceat(labels, first) > 0
     keep = hot | (np.arange(len(first)) % 3 == 0)  # every third of the segments without a toxic word
     first, ends = first[keep], ends[keep]
-    places = features(w)
+    places = w.places()
+    w.hashes.clear()
     weights, bias, moves = np.zeros(1 << BITS), -4.0, np.zeros((2, 2))
     moves[0, 0], grown, grown_small = 0.0, np.full(1 << BITS, 1e-8), np.full(5, 1e-8)
     random = np.random.default_rng(0)
@@ -147,8 +172,11 @@ def fit(rows: list[tuple[bytes, int]], *, epochs: int = 8, rate: float = 0.3, l2
             bias += step[0]
             moves.ravel()[1:] += step[1:4]
     model = Model(weights.astype(np.float32), float(bias), np.exp(np.clip(moves, -8, 8)), np.zeros(3))
-    held = Words([t for t, _ in other], ALNUM)
-    model.curve = _logistic(document_features(held, _marginals_of(held, model)), np.array([y for _, y in other], float))
+    texts, x = [t for t, _ in other], []
+    for a, b in chunks(texts):
+        part = Words(texts[a:b], ALNUM)
+        x.append(document_features(part, _marginals_of(part, model)))
+    model.curve = _logistic(np.concatenate(x), np.array([y for _, y in other], float))
     return model
 
 
