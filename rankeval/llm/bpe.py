@@ -22,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.llm.common import CHUNK_BYTES, chunks
+from rankeval.llm.common import CHUNK_BYTES, chunks, pieces
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Words that a worker keeps between batches; beyond it the held words are let go and replayed when they come again.
-HELD_WORDS = 400_000
+HELD_WORDS = 200_000
 
 
 def default_path() -> str:
@@ -200,9 +200,9 @@ def encode(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = codec(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [x or "" for x in batch.column(0).to_pylist()]
-            for a, b in chunks([t.encode() for t in texts], 8 * CHUNK_BYTES):
+            for a, b in chunks([t.encode() for t in texts], 4 * CHUNK_BYTES):
                 sizes, every = it.encode_batch(texts[a:b])
                 rows = [(ids, it.decode(ids)) for ids in np.split(every, np.cumsum(sizes)[:-1])]
                 made = [pa.array([_MAKE[r](*row) for row in rows], _KINDS[r]) for r in returns]

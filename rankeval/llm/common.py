@@ -81,6 +81,14 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in binary.to_pylist()]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = 8 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about limit bytes, so that copies of a slice stay small; a longer row is a slice."""
+    for batch in batches:
+        step = max(1, batch.num_rows * limit // max(1, batch.nbytes))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about limit bytes together; every text is in one range, whole."""
     first, size = 0, 0
@@ -128,11 +136,11 @@ _held: list[np.ndarray] = [np.zeros(0, _U64), np.zeros(0, _U64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and inverse powers modulo 2^64, kept from call to call up to a few chunks."""
+    """The base's powers and inverse powers modulo 2^64, kept from call to call up to two chunks."""
     if len(_held[0]) >= n:
         return _held[0][:n], _held[1][:n]
     both = _powers(n, _BASE), _powers(n, _BASE_INV)
-    if n <= 4 * CHUNK_BYTES:
+    if n <= 2 * CHUNK_BYTES:
         _held[:] = both
     return both
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.llm.common import ALNUM, Words, chunks, raw_texts
+from rankeval.llm.common import ALNUM, Words, chunks, pieces, raw_texts
 
 WINDOW = 10
 MAX_WINDOWS = 1_000_000
@@ -74,7 +74,7 @@ def _pass(docs: DataFrame, windows: Windows) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = list(scan(raw_texts(batch.column(1)), sent.value))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([[str(x) for x in r[2]] for r in rows], pa.list_(pa.string()))],
@@ -138,7 +138,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0.5, key:
         sent = docs.sparkSession.sparkContext.broadcast(indexed(rows))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 found = list(scan(raw_texts(batch.column(at)), sent.value))
                 keep = pa.array([len(hit) <= max_share * n for n, hit, _ in found], pa.bool_())
                 if any(hit for _, hit, _ in found):

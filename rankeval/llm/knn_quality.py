@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.llm.common import NOT_SPACE, Words, chunks, raw_texts, table
+from rankeval.llm.common import NOT_SPACE, Words, chunks, pieces, raw_texts, table
 from rankeval.llm.labelled import held_out, training_texts
 
 PER_CLASS = 2000
@@ -131,7 +131,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scored(raw_texts(batch.column(1)), sent.value, neighbours), pa.float64())], ["key", "score"])
 
     return docs.mapInArrow(run, f"key {docs.schema[0].dataType.simpleString()}, score double").withColumnRenamed("key", key)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.llm.common import NOT_SPACE, Words, chunks, raw_texts, staged, table, unstage
+from rankeval.llm.common import NOT_SPACE, Words, chunks, pieces, raw_texts, staged, table, unstage
 from rankeval.llm.components import connected
 
 SKETCH_BITS = 21
@@ -81,7 +81,7 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, key = np.zeros(1 << SKETCH_BITS, np.uint32), None
-        for batch in batches:
+        for batch in pieces(batches):
             sets = list(shingle_sets(raw_texts(batch.column(3)), k))
             for i in range(0, len(sets), 500):
                 counts += np.bincount(_slot(np.concatenate(sets[i : i + 500])), minlength=len(counts)).astype(np.uint32)
@@ -100,7 +100,7 @@ def _sketch(described: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = np.frombuffer(zlib.decompress(counts), np.uint32)
                 total[part] = total[part] + x if part in total else x.astype(np.uint64)
@@ -130,7 +130,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         noise = float(np.median(sent.value)) if len(sent.value) else 0.0
-        for batch in batches:
+        for batch in pieces(batches):
             n, need, size, tokens = [], [], [0], []
             for s in shingle_sets(raw_texts(batch.column(3)), k):
                 best, t = prefix(s, sent.value, noise, percent) if len(s) else (0, s)
@@ -214,7 +214,7 @@ def _table_links(attending: DataFrame, k: int, percent: int) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.binary()), pa.array([nodes[j] for _, j in found], pa.binary())], ["u", "v"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             texts = raw_texts(batch.column(5))
             keys = zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True)
             for (c, b1, b2, node), s in zip(keys, shingle_sets(texts, k), strict=True):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.llm.common import CHUNK_BYTES, chunks, powers, prefix_hash, raw_texts, staged, table, unstage
+from rankeval.llm.common import CHUNK_BYTES, chunks, pieces, powers, prefix_hash, raw_texts, staged, table, unstage
 
 LENGTH = 400
 GRAM = 100
@@ -82,7 +82,7 @@ def _described(docs: DataFrame, length: int, gram: int) -> DataFrame:
     names = ["id", "r1", "r2", "n_bytes", "sha", "pos", "h", "lo", "hi", "d"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = raw_texts(batch.column(3))
             for a, b in chunks(texts, 4 * CHUNK_BYTES):
                 found = list(anchors(texts[a:b], length, gram))
@@ -172,7 +172,7 @@ def _neighbourhoods(places: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "r1", "r2", "pos", "lo", "hi", "part", "string"]
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[list] = [[] for _ in names]
             size = 0
             for r1, r2, wanted, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), raw_texts(batch.column(3)), strict=True):
@@ -271,7 +271,7 @@ def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     rows, starts = repeats(docs, length=length, **how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             cut = [_cut(t, [(s["lo"], s["hi"]) for s in x], length) for x, t in zip(batch.column(2).to_pylist(), raw_texts(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int64()), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut])], ["r1", "r2", "n_removed", "n_spans", "kept"])
 
@@ -289,7 +289,7 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             new = [t if x is None else _cut(t.encode(), [(s["lo"], s["hi"]) for s in x], length)[0].decode(errors="replace") for x, t in zip(batch.column(len(names)).to_pylist(), batch.column(at).to_pylist(), strict=True)]
             out = batch.select(range(len(names)))
             yield out.set_column(at, out.schema.field(at), pa.array(new, pa.string()))

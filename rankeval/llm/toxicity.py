@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.llm.common import ALNUM, CHUNK_BYTES, Words, chunks, mixed, prefix_hash, range_hash, raw_texts, table
+from rankeval.llm.common import ALNUM, CHUNK_BYTES, Words, chunks, mixed, pieces, prefix_hash, range_hash, raw_texts, table
 from rankeval.llm.labelled import held_out, training_texts
 
 #: Bound on the labelled rows of each class that the model is fitted on.
@@ -228,23 +228,36 @@ def document_features(w: Words, p: np.ndarray) -> np.ndarray:
 
 def scored(texts: list[bytes], model: Model, spans: bool = False) -> Iterator[tuple[int, float, list]]:
     """(words, score, spans as (first character, end, mean marginal)) of each text."""
-    for a, b in chunks(texts, SPREAD):
-        w = Words(texts[a:b], ALNUM)
-        p = _marginals_of(w, model)
-        score = 1 / (1 + np.exp(-np.clip(document_features(w, p) @ model.curve, -50, 50)))
-        found: dict[int, list] = {}
-        if spans and (p > 0.5).any():
-            chars = np.concatenate([[0], np.cumsum((w.buf & 0xC0) != 0x80)])
-            over, same = p > 0.5, w.doc[1:] == w.doc[:-1]
-            linked = over[1:] & over[:-1] & same
-            begins = np.flatnonzero(over & ~np.concatenate([[False], linked]))
-            stops = np.flatnonzero(over & ~np.concatenate([linked, [False]]))
-            for i, j in zip(begins.tolist(), stops.tolist(), strict=True):
-                d = int(w.doc[i])
-                at = chars[w.at[d]]
-                found.setdefault(d, []).append((int(chars[w.starts[i]] - at), int(chars[w.ends[j]] - at), float(p[i : j + 1].mean())))
-        for i in range(b - a):
-            yield int(w.first[i + 1] - w.first[i]), float(score[i]), found.get(i, [])
+    for first, last in chunks(texts, SPREAD):
+        # Words are hashed in smaller parts; the chains of all parts then advance together.
+        parts, emit, edge = [], [np.zeros(0)], [np.zeros(1, np.int64)]
+        for a, b in chunks(texts[first:last]):
+            w = Words(texts[first + a : first + b], ALNUM)
+            emit.append(np.exp(np.clip(model.weights[features(w)].sum(1) + model.bias, -25, 25).astype(float)))
+            edge.append(w.first[1:] + edge[-1][-1])
+            w.hash = None
+            parts.append(w)
+        p, at = marginals(np.concatenate(emit), np.concatenate(edge), model.moves), 0
+        for w in parts:
+            yield from _judged(w, p[at : at + len(w.doc)], model, spans)
+            at += len(w.doc)
+
+
+def _judged(w: Words, p: np.ndarray, model: Model, spans: bool) -> Iterator[tuple[int, float, list]]:
+    score = 1 / (1 + np.exp(-np.clip(document_features(w, p) @ model.curve, -50, 50)))
+    found: dict[int, list] = {}
+    if spans and (p > 0.5).any():
+        chars = np.concatenate([[0], np.cumsum((w.buf & 0xC0) != 0x80)])
+        over, same = p > 0.5, w.doc[1:] == w.doc[:-1]
+        linked = over[1:] & over[:-1] & same
+        begins = np.flatnonzero(over & ~np.concatenate([[False], linked]))
+        stops = np.flatnonzero(over & ~np.concatenate([linked, [False]]))
+        for i, j in zip(begins.tolist(), stops.tolist(), strict=True):
+            d = int(w.doc[i])
+            at = chars[w.at[d]]
+            found.setdefault(d, []).append((int(chars[w.starts[i]] - at), int(chars[w.ends[j]] - at), float(p[i : j + 1].mean())))
+    for i in range(len(w.at) - 1):
+        yield int(w.first[i + 1] - w.first[i]), float(score[i]), found.get(i, [])
 
 
 def model_of(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text") -> Model:
@@ -258,7 +271,7 @@ def tag(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text
     kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = list(scored(raw_texts(batch.column(1)), sent.value, spans=True))
             spans = pa.array([[{"from": s, "to": e, "score": x} for s, e, x in r[2]] for r in rows], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), spans], ["key", "n_words", "score", "spans"])
@@ -271,7 +284,7 @@ def without_toxic(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array([s < threshold for _, s, _ in scored(raw_texts(batch.column(at)), sent.value)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
