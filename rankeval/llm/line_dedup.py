@@ -7,7 +7,8 @@ position.
 
 Defined results: null and empty texts are one empty line; a key under min_chars code points is never dropped; equal rows
 (same id, same text) are cut alike; rows that share an id are one document; null ids are together one document, which
-comes after all others; empty tables give empty tables; further columns are kept by dedup_lines().
+comes after all others; empty tables give empty tables; further columns are kept by
+dedup_lines(), whatever their names.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ def dropped_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", m
     return gone.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
-def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with `n_lines` and `n_dropped` added and the lines gone from text."""
+def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, counts: bool = True) -> DataFrame:
+    """docs with the lines gone from text and, with counts, `n_lines` and `n_dropped` added (in place of columns so named)."""
     gone = dropped_lines(docs, key=key, text=text, min_chars=min_chars)
     d, g = docs.alias("d"), gone.alias("g")
     both = d.join(g, F.col(f"d.{key}").eqNullSafe(F.col("g.id")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("g.text_hash")), "left")
@@ -56,7 +57,8 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
     # The lines are bound once by the outer lambda; the inner one only picks.
     picked = F.transform(F.array(lines), lambda all_: F.array_join(F.transform(kept, lambda p: F.get(all_, p)), "\n"))
     new = F.when(positions.isNull(), F.col(f"d.{text}")).otherwise(F.element_at(picked, 1))
-    return both.select(*(new.alias(c) if c == text else F.col(f"d.{c}").alias(c) for c in docs.columns), n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
+    added = {"n_lines": n_lines.cast("long"), "n_dropped": n_dropped.cast("long")} if counts else {}
+    return both.select(*(new.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns if c not in added), *(v.alias(c) for c, v in added.items()))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

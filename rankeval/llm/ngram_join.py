@@ -277,7 +277,7 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: i
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """docs less all documents of a component but the one with the smallest key; null keys stay."""
+    """docs less all documents of a component but the one with the smallest key; null keys stay, and so do all rows of that key."""
     gone = components(docs, key=key, text=text, k=k, percent=percent).where(F.col("component_id") < F.col(key)).select(F.col(key).alias("_gone")).distinct()
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
 

@@ -29,7 +29,7 @@ def test_against_sql(spark, op, sql):
 def test_line_dedup_edges(spark):
     long = "A Line that Repeats"
     docs = [(3, f"{long}\nshort\n\n"), (1, f" {long.upper()}\t\nshort"), (1, f" {long.upper()}\t\nshort"), (2, None), (4, ""), (5, f"{long}\n{long}\r"), (None, f"{long}\nmore"), (6, "ÉÉÉÉÉÉÉÉÉÉ\néééééééééé"), (7, "ÉÉÉÉÉÉÉÉÉÉ"), (8, "x " * 40000 + "\nown line here"), (None, "own line here")]
-    df = spark.createDataFrame([(d, t, 9) for d, t in docs], "doc_id long, text string, pos int")
+    df = spark.createDataFrame([(d, t, 9, 9) for d, t in docs], "doc_id long, text string, pos int, n_lines int")
     got = [(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(df).collect()]
     by = {}
     for r in got:

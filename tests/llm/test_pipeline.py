@@ -84,3 +84,19 @@ def test_stages_against_brute_force(spark):
     assert set(got) == set(texts) and len(texts) > 700
     for d, t in texts.items():
         assert got[d].token_ids == enc.encode_ordinary(t) and got[d].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_stages_with_odd_rows(spark):
+    line = "A line that several documents hold."
+    kind = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, hit string, score string"
+    rows = [(1, f"{line}\nfirst", "en", "s", 5, "x", "x", "x"), (2, f"{line}\nsecond", None, None, None, None, None, None), (2, f"{line}\nsecond", None, None, None, None, None, None), (None, "no id here", "en", "s", 1, "x", "x", "x"), (3, None, "en", "s", 1, "x", "x", "x"), (4, "", "en", "s", 0, "x", "x", "x"), (5, "word " * 30000, "en", "s", 1, "x", "x", "x")]
+    docs = spark.createDataFrame(rows, kind)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001").cache()
+        assert out.columns == docs.columns and sorted(map(str, (r.doc_id for r in out.collect()))) == ["1", "2", "2", "3", "4", "5", "None"], name
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+        docs = out
+    texts = {r.doc_id: (r.text, r.n_lines) for r in docs.collect()}
+    assert texts[1] == (f"{line}\nfirst", "x") and texts[2] == ("second", None) and texts[3][0] is None and texts[4][0] == ""
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
+    assert last.count() == 7 and last.where("doc_id in (3, 4)").agg({"n_tokens": "sum"}).first()[0] == 0
