@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,7 +42,11 @@ def tokenize(text: Column | str) -> Column:
         plain = F.when(F.length(word) >= MIN_TOKEN, F.array(F.lower(word))).otherwise(F.array().cast("array<string>"))
         return F.when(word.rlike("^(?:[A-Z]?[a-z]+)$"), plain).otherwise(F.element_at(whole, 1))
 
-    return F.flatten(F.transform(_all(F.coalesce(_col(text), F.lit("")), "[A-Za-z0-9_]+"), parts))
+    t = F.coalesce(_col(text), F.lit(""))
+    compound = F.flatten(F.transform(_all(t, "[A-Za-z0-9_]+"), parts))
+    # Without underscores, inner capitals and digits beside letters, every word is its only part.
+    simple = F.filter(F.split(F.translate(t, string.ascii_uppercase, string.ascii_lowercase), "[^a-z0-9]+", -1), lambda w: F.length(w) >= MIN_TOKEN)
+    return F.when(t.rlike("_|[A-Za-z][A-Z]|[A-Za-z][0-9]|[0-9][A-Za-z]"), compound).otherwise(simple)
 
 
 def tokenize_path(path: Column | str) -> Column:

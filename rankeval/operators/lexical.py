@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankeval.functions.text import tokenize
@@ -11,11 +11,24 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
 
 
-def postings(docs: DataFrame, tokens: str) -> DataFrame:
-    """docs (corpus, doc, an array of tokens) to (corpus, doc, token, tf, dl)."""
-    rows = docs.select("corpus", "doc", F.size(tokens).alias("dl"), F.explode(tokens).alias("token"))
-    # Counted within each row's partition first: one shuffle carries a row for each document and token.
-    return rows.groupBy("corpus", "doc", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+def term_counts(tokens: Column | str) -> Column:
+    """The distinct tokens of a row with their counts, as structs (token, tf), from one sort of the row's own tokens."""
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return bound(starts, lambda at: F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("token"), (F.coalesce(F.get(at, j + 1), F.size(s)) - p).alias("tf"))))
+
+    def bound(value: Column, body) -> Column:
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    return F.when(F.size(t) > 0, bound(F.sort_array(t), counted)).otherwise(F.array().cast("array<struct<token:string,tf:int>>"))
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """docs (corpus, doc, tokens) to (corpus, doc, dl, token, tf), without a shuffle: a document is one row."""
+    rows = docs.select("corpus", "doc", F.size("tokens").alias("dl"), F.explode(term_counts("tokens")).alias("p"))
+    return rows.select("corpus", "doc", "dl", "p.token", "p.tf").where("token is not null")  # so that all uses have the same plan
 
 
 def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
@@ -23,17 +36,22 @@ def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B, e
 
     docs: (corpus, doc, tokens); queries: (query, corpus, tokens). A repeated query token counts again. A negative idf
     becomes epsilon times the mean idf of the corpus' vocabulary. Scores are rounded, so that ties are ties everywhere.
-    The query side is small: Spark broadcasts it as far as its own size limit allows, else it is shuffled by token.
+
+    Texts are tokenized twice: for the vocabulary, of which a row for each token and task is shuffled, and for the scores,
+    which are summed up where the document is. Query terms are broadcast as far as Spark's own size limit allows, else
+    joined by token.
     """
-    size = docs.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    tf = postings(docs, "tokens")
+    tf = postings(docs)
+    vocabulary = tf.groupBy("corpus", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
+    n = docs.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"))
+    raw = vocabulary.join(n, "corpus")
+    raw = raw.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    size = raw.groupBy("corpus").agg((F.sum("ctf") / F.max("n")).alias("avgdl"), F.avg("idf").alias("mean_idf"))
     wanted = queries.select("query", "corpus", F.explode("tokens").alias("token")).groupBy("query", "corpus", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    df = tf.groupBy("corpus", "token").agg(F.count(F.lit(1)).alias("df")).join(size, "corpus")
-    raw = df.select("corpus", "token", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = raw.groupBy("corpus").agg(F.avg("idf").alias("mean_idf"))
-    idf = raw.join(mean, "corpus").select("corpus", "token", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    terms = wanted.join(idf, ["corpus", "token"])
-    part = F.col("idf") * F.col("qtf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    # ctf is asked for again so that both uses of the vocabulary are one and the same shuffle.
+    terms = wanted.join(raw.where("ctf > 0").select("corpus", "token", "idf"), ["corpus", "token"]).join(size, "corpus")
+    terms = terms.select("query", "corpus", "token", "avgdl", (F.col("qtf") * F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf"))).alias("weight"))
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return tf.join(terms, ["corpus", "token"]).groupBy("query", "corpus", "doc").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
@@ -47,13 +65,17 @@ def full_ranking(scored: DataFrame, docs: DataFrame, queries: DataFrame) -> Data
 
 def top_k(scored: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The first k of full_ranking(). Only queries with fewer than k positive scores meet documents without a match."""
-    w = Window.partitionBy("query", "corpus").orderBy(F.desc("score"), "doc")
-    best = scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    have = best.groupBy("query", "corpus").agg(F.max("rank").alias("have"))
-    short = queries.select("query", "corpus").join(have, ["query", "corpus"], "left").where(F.coalesce("have", F.lit(0)) < k)
-    rest = full_ranking(scored.join(short.select("query", "corpus"), ["query", "corpus"], "left_semi"), docs, short.select("query", "corpus")).where(F.col("rank") <= k)
-    full = best.join(short.select("query", "corpus"), ["query", "corpus"], "left_anti")
-    return full.select("query", "corpus", "doc", "score", "rank").unionByName(rest.select("query", "corpus", "doc", "score", "rank"))
+    keys = ["query", "corpus"]
+    positive = F.when(F.col("score") > 0, 0).otherwise(1)
+    w = Window.partitionBy(*keys)
+    best = scored.withColumn("rank", F.row_number().over(w.orderBy(positive, F.desc("score"), "doc"))).where(F.col("rank") <= k).drop("rank")
+    full = best.where("score > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("have")).where(F.col("have") >= k)
+    short = queries.select(*keys, F.col("tokens").alias("asked")).join(full, keys, "left_anti")
+    # Scores of 0: documents that share no token. The first k of them are enough.
+    none = short.join(docs.select("corpus", "doc", "tokens"), "corpus").where(~F.arrays_overlap("tokens", "asked")).select(*keys, "doc", F.lit(0.0).alias("score"))
+    none = none.withColumn("rank", F.row_number().over(w.orderBy("doc"))).where(F.col("rank") <= k).drop("rank")
+    both = best.select(*keys, "doc", "score").unionByName(none)
+    return both.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
 
 
 def tokenized(df: DataFrame, text: str) -> DataFrame:
