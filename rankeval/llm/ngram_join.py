@@ -237,9 +237,11 @@ def links(docs: DataFrame, described: DataFrame, k: int, percent: int, table_row
     sketch = _sketch(described)
     prefixes = staged(_prefixes(docs, k, percent, sketch), "prefixes")
     own = prefixes.join(reps, ["r1", "r2"]).select("node", "n", "need", F.explode("tokens").alias("token"))
-    shared = own.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("token")
+    # Written first, so that the shuffle behind it is gone before the next one.
+    shared = staged(own.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("token"), "shared")
     live = staged(own.join(shared, "token"), "tokens")
     unstage(prefixes)
+    unstage(shared)
     # Sizes fall into classes such that similar sets are in the same or in neighbouring ones; a window holds two classes.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) * (1 + 1e-6))).cast("int")
     seats = live.withColumn("w", F.explode(F.array(size_class, size_class + 1)))
