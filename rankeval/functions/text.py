@@ -44,9 +44,14 @@ def tokenize(text: Column | str) -> Column:
 
     t = F.coalesce(_col(text), F.lit(""))
     compound = F.flatten(F.transform(_all(t, "[A-Za-z0-9_]+"), parts))
-    # Without underscores, inner capitals and digits beside letters, every word is its only part.
+    # Without underscores, inner capitals and digits beside letters, every word is its only part. Literal searches in a
+    # copy that has one letter for each kind of character cost far less than a pattern over the text.
     simple = F.filter(F.split(F.translate(t, string.ascii_uppercase, string.ascii_lowercase), "[^a-z0-9]+", -1), lambda w: F.length(w) >= MIN_TOKEN)
-    return F.when(t.rlike("_|[A-Za-z][A-Z]|[A-Za-z][0-9]|[0-9][A-Za-z]"), compound).otherwise(simple)
+    kinds = F.translate(t, string.ascii_uppercase + string.ascii_lowercase + string.digits, "A" * 26 + "a" * 26 + "0" * 10)
+    mixed = F.lit(False)
+    for pair in ("_", "aA", "AA", "a0", "A0", "0a", "0A"):
+        mixed = mixed | kinds.contains(pair)
+    return F.when(mixed, compound).otherwise(simple)
 
 
 def tokenize_path(path: Column | str) -> Column:
