@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankeval.functions.text import is_source, tokenize, tokenize_path
-from rankeval.operators import chunking, dense, lexical, ranking
+from rankeval.operators import agent, chunking, dense, lexical, ranking
 
 
 def _queries(t: dict[str, DataFrame]) -> DataFrame:
@@ -82,4 +82,45 @@ def reply_reranked(base: DataFrame, replies: DataFrame, k: int = ranking.HEAD) -
     return r.select("query", F.posexplode(order).alias("pos", "doc")).select("query", "doc", (F.col("pos") + 1).alias("rank"))
 
 
-RUNGS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {"bm25": bm25, "bm25-chunks": bm25_chunks, "bm25-chunks-bodies": bm25_chunks_bodies, "embed": embed, "hybrid": hybrid}
+def cross_encoder(t: dict[str, DataFrame]) -> DataFrame:
+    """The fused head by pair_scores (query, doc, rescore), which an injected scorer made of pair_texts()."""
+    return reranked(hybrid(t), t["pair_scores"])
+
+
+def pair_texts(t: dict[str, DataFrame], base: DataFrame, k: int = ranking.HEAD) -> DataFrame:
+    """(query, doc, issue, text) for a pair scorer: the head's paths, each with its best chunk, empty parts left out."""
+    best = _chunk_scores(t, True).select("query", "corpus", F.col("path").alias("doc"), "pos")
+    head = base.where(F.col("rank") <= k).select("query", "doc").join(best, ["query", "doc"])
+    blobs = head.join(_sources(t).select("corpus", F.col("path").alias("doc"), "blob"), ["corpus", "doc"])
+    chunks = chunking.chunked(t["blobs"].join(blobs.select("blob").distinct(), "blob", "left_semi"), bodies=True).select("blob", "pos", chunking.chunk_text().alias("chunk"))
+    rows = blobs.join(chunks, ["blob", "pos"], "left").join(t["queries"].select("query", F.col("text").alias("issue")), "query")
+    return rows.select("query", "doc", "issue", F.array_join(F.filter(F.array("doc", "chunk"), lambda x: x != ""), "\n").alias("text"))
+
+
+def rerank_with(model: str | None = None) -> Callable[[dict[str, DataFrame]], DataFrame]:
+    """The fused head in the order of a model's replies (query, model, text); without a name the only model's."""
+
+    def run(t: dict[str, DataFrame]) -> DataFrame:
+        replies = t["replies"] if model is None else t["replies"].where(F.col("model") == model)
+        return reply_reranked(hybrid(t), replies)
+
+    return run
+
+
+def agent_with(cap: int) -> Callable[[dict[str, DataFrame]], DataFrame]:
+    """Rankings of agents that start from the fused list, replayed from steps with at most cap tool calls each."""
+
+    def run(t: dict[str, DataFrame]) -> DataFrame:
+        base = hybrid(t).join(t["queries"].select("query", "corpus"), "query")
+        listed = base.groupBy("query", "corpus").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"]).alias("candidates"))
+        done = agent.replay(t["steps"], listed.select(F.col("query").cast("string").alias("instance_id"), "candidates", "corpus"), t["files"].select("corpus", "path"), cap=cap)
+        return done.select(F.col("instance_id").alias("query"), F.posexplode("ranking").alias("pos", "doc")).select("query", "doc", (F.col("pos") + 1).alias("rank"))
+
+    return run
+
+
+#: Rerankers by reply and agents come in as many cells as there are recorded models: rerank_with(name), agent_with(cap).
+RUNGS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
+    "bm25": bm25, "bm25-chunks": bm25_chunks, "bm25-chunks-bodies": bm25_chunks_bodies, "embed": embed, "hybrid": hybrid, "cross-encoder": cross_encoder,
+    "rerank": rerank_with(), "agent": agent_with(agent.MAX_CALLS), "agent-no-tools": agent_with(0),
+}
