@@ -44,6 +44,6 @@ def test_query_is_the_same_at_any_partitioning(spark, name):
 
 
 def test_source_rules_reach_the_scan(spark):
-    """A rule that is a plain expression stays below the shuffle and reads two columns alone."""
+    """Documents are read for the two columns that are asked for."""
     plan = catalog.queries()["bm25_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and plan.count("FileScan parquet") <= 9
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and not any(c in plan for c in ("lang:string", "source:string", "n_chars:bigint"))
