@@ -8,8 +8,10 @@ but each must match l times before it is verified.
 Verification works at tables. All documents that hold a prefix token in a window of sizes meet at the smallest of them,
 the centre; each sends its text there once. At the table a document is kept as its difference from the centre, from which
 every pair's overlap follows exactly: |x & y| = |c| - |c - x| - |c - y| + |Dx & Dy|. Only links that join two groups
-leave it, at most one a document, so a group of near copies costs rows in proportion to its size. A table of more than
-``table_rows`` is laid out as pairs of blocks. Equal sets are one node throughout.
+leave it, at most one a document, so a group of near copies costs rows in proportion to its size. Where links are
+counted, every pair of the table is verified and each document's number leaves it; a pair that meets at several centres
+is counted at the first, which both documents' lists of centres tell. A table of more than ``table_rows`` is laid out as
+pairs of blocks. Equal sets are one node throughout.
 
 Defined results: null, empty and wordless texts have no shingles and are their own component; a text of fewer than k
 words is one shingle; rows with the same id and text are alike; null ids are linked like others, but a component's id is
@@ -19,6 +21,7 @@ ignored by components() and kept by one_of_each().
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import zlib
@@ -162,81 +165,140 @@ class Groups:
         return x != y
 
 
-def table_links(centre: np.ndarray, sets: Iterator[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between the sets (0 is the centre) that join all that are similar at this table, and no others."""
-    sizes, missing, diffs = [len(centre)], [0], [centre[:0]]
-    for s in sets:
-        lacks, more = np.setdiff1d(centre, s, assume_unique=True), np.setdiff1d(s, centre, assume_unique=True)
-        sizes.append(len(s))
-        missing.append(len(lacks))
-        diffs.append(np.concatenate([lacks, more]))
-    n, lacks, widths = np.array(sizes), np.array(missing), np.array([len(d) for d in diffs])
-    groups, links = Groups(len(n)), []
-
-    def similar(i: int, overlap: np.ndarray, of: np.ndarray) -> np.ndarray:
-        both = n[0] - lacks[i] - lacks[of] + overlap
-        return 100 * both >= percent * (n[i] + n[of] - both)
-
-    rest = np.arange(1, len(n))
-    direct = rest[similar(0, np.zeros(len(rest), np.int64), rest)]
-    for j in direct.tolist():
-        groups.join(0, j)
-        links.append((0, j))
-    alone = np.setdiff1d(rest, direct)
-    if not len(alone) or len(n) < 3:
-        return links
-    token, where = np.unique(np.concatenate(diffs), return_inverse=True)
-    owner = np.repeat(np.arange(len(n)), widths)
-    order = np.argsort(where, kind="stable")
-    owner, first = owner[order], np.searchsorted(where[order], np.arange(len(token) + 1))
-    edge = np.concatenate([[0], np.cumsum(widths)])
-    for i in alone.tolist():
-        could = rest[similar(i, np.minimum(widths[i], widths[rest]), rest) & (rest != i)]
+class Table:
+    """The sets that meet at a centre (set 0), kept as their differences from it."""
+
+    def __init__(self, centre: np.ndarray, sets: Iterator[np.ndarray], percent: int):
+        sizes, missing, self.diffs, self.percent = [len(centre)], [0], [centre[:0]], percent
+        for s in sets:
+            lacks, more = np.setdiff1d(centre, s, assume_unique=True), np.setdiff1d(s, centre, assume_unique=True)
+            sizes.append(len(s))
+            missing.append(len(lacks))
+            self.diffs.append(np.concatenate([lacks, more]))
+        self.n, self.lacks, self.widths = np.array(sizes), np.array(missing), np.array([len(d) for d in self.diffs])
+
+    def similar(self, i: int, overlap: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Whether i is similar to each of the sets ``of``, given how much of their differences they share with i's."""
+        both = self.n[0] - self.lacks[i] - self.lacks[of] + overlap
+        return 100 * both >= self.percent * (self.n[i] + self.n[of] - both)
+
+    @functools.cached_property
+    def index(self) -> tuple[np.ndarray, ...]:
+        """The differences' elements by number, set after set, and the owners of each."""
+        token, where = np.unique(np.concatenate(self.diffs), return_inverse=True)
+        order = np.argsort(where, kind="stable")
+        owner = np.repeat(np.arange(len(self.n)), self.widths)[order]
+        return where, owner, np.searchsorted(where[order], np.arange(len(token) + 1)), np.concatenate([[0], np.cumsum(self.widths)])
+
+    def partners(self, i: int, of: np.ndarray) -> np.ndarray:
+        """Those of the sets ``of`` that are similar to i."""
+        could = of[self.similar(i, np.minimum(self.widths[i], self.widths[of]), of) & (of != i)]
         if not len(could):
-            continue
+            return could
+        where, owner, first, edge = self.index
         lists = [owner[first[t] : first[t + 1]] for t in where[edge[i] : edge[i + 1]].tolist()]
-        overlap = np.bincount(np.concatenate(lists), minlength=len(n)) if lists else np.zeros(len(n), np.int64)
-        for j in could[similar(i, overlap[could], could)].tolist():
-            if groups.join(i, j):
-                links.append((i, j))
-    return links
+        overlap = np.bincount(np.concatenate(lists), minlength=len(self.n)) if lists else np.zeros(len(self.n), np.int64)
+        return could[self.similar(i, overlap[could], could)]
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links that join all that are similar at this table, and no others."""
+        groups, links = Groups(len(self.n)), []
+        rest = np.arange(1, len(self.n))
+        direct = rest[self.similar(0, np.zeros(len(rest), np.int64), rest)]
+        for j in direct.tolist():
+            groups.join(0, j)
+            links.append((0, j))
+        for i in np.setdiff1d(rest, direct).tolist() if len(rest) > 1 else ():
+            for j in self.partners(i, rest).tolist():
+                if groups.join(i, j):
+                    links.append((i, j))
+        return links
+
+    def counts(self, copies: np.ndarray, earlier: list[np.ndarray], block: np.ndarray, within: bool) -> np.ndarray:
+        """Of each set, the documents linked to it by the pairs that are counted here.
+
+        A pair that meets at several centres is counted at the first alone; ``earlier`` are each set's centres before
+        this one. Of a table of blocks, pairs of one block (and those with the centre) are counted where the block
+        meets itself (``within``), others where their blocks meet.
+        """
+        out, after = np.zeros(len(self.n), np.int64), np.arange(len(self.n))
+        flat, sizes = np.concatenate(earlier), [len(x) for x in earlier]
+        centre, where = np.unique(flat, return_inverse=True)
+        order = np.argsort(where, kind="stable")
+        owner = np.repeat(after, sizes)[order]
+        first, edge = np.searchsorted(where[order], np.arange(len(centre) + 1)), np.concatenate([[0], np.cumsum(sizes)]).astype(int)
+        for i in range(0 if within else 1, len(self.n)):
+            free = after > i
+            if not within:
+                free &= block != block[i]
+            for c in where[edge[i] : edge[i + 1]].tolist():
+                free[owner[first[c] : first[c + 1]]] = False
+            found = self.partners(i, np.flatnonzero(free))
+            out[i] += copies[found].sum()
+            out[found] += copies[i]
+        return out
+
+
+def table_links(centre: np.ndarray, sets: Iterator[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between the sets (0 is the centre) that join all that are similar at this table, and no others."""
+    return Table(centre, sets, percent).links()
 
 
-def _table_links(attending: DataFrame, k: int, percent: int) -> DataFrame:
-    """attending: (centre, b1, b2, node, text), sorted so that a table's rows are together and its centre comes first."""
+def _table_links(attending: DataFrame, k: int, percent: int, counted: bool) -> DataFrame:
+    """attending: (centre, b1, b2, guest, node, text), sorted so that a table's rows are together and its centre comes first.
+
+    Rows are links (u, v) and, if counted (attending has copies, block, earlier as well), numbers of links (u, n).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, held = None, [], []
+        at, nodes, held, more = None, [], [], []
 
         def links() -> Iterator[pa.RecordBatch]:
             if len(held) > 1 and nodes[0] == at[0]:
-                found = table_links(held[0], iter(held[1:]), percent)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.binary()), pa.array([nodes[j] for _, j in found], pa.binary())], ["u", "v"])
+                here = Table(held[0], iter(held[1:]), percent)
+                u, v, n = [], [], []
+                for i, j in here.links():
+                    u.append(nodes[i])
+                    v.append(nodes[j])
+                    n.append(None)
+                if counted:
+                    copies, block, earlier = zip(*more, strict=True)
+                    got = here.counts(np.array(copies, np.int64), [np.array(x, np.int64) for x in earlier], np.array(block), at[1] == at[2])
+                    for i in np.flatnonzero(got).tolist():
+                        u.append(nodes[i])
+                        v.append(None)
+                        n.append(int(got[i]))
+                if u:
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(n, pa.int64())], ["u", "v", "n"])
 
         for batch in pieces(batches):
             texts = raw_texts(batch.column(5))
             keys = zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True)
-            for (c, b1, b2, node), s in zip(keys, shingle_sets(texts, k), strict=True):
+            extra = zip(*(batch.column(i).to_pylist() for i in (6, 7, 8)), strict=True) if counted else [()] * len(texts)
+            for (c, b1, b2, node), x, s in zip(keys, extra, shingle_sets(texts, k), strict=True):
                 if (c, b1, b2) != at:
                     yield from links()
-                    at, nodes, held = (c, b1, b2), [], []
+                    at, nodes, held, more = (c, b1, b2), [], [], []
                 # a repeated row comes right after its like
                 if digest(s) == node and (not nodes or nodes[-1] != node):
                     nodes.append(node)
                     held.append(s)
+                    more.append(x)
         if held:
             yield from links()
 
-    return attending.mapInArrow(run, "u binary, v binary")
+    return attending.mapInArrow(run, "u binary, v binary, n bigint")
+
 
+def links(docs: DataFrame, described: DataFrame, k: int, percent: int, table_rows: int = TABLE_ROWS, counted: bool = False) -> DataFrame:
+    """(u, v) pairs of nodes that are similar, enough to reach from each node all that links of any kind reach.
 
-def links(docs: DataFrame, described: DataFrame, k: int, percent: int, table_rows: int = TABLE_ROWS) -> DataFrame:
-    """(u, v) pairs of nodes that are similar, enough to reach from each node all that links of any kind reach."""
-    reps = described.where("node is not null").groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("r")).select("node", "r.r1", "r.r2")
+    If counted, there are also rows (u, n) whose sum over u is the number of documents of other nodes similar to u.
+    """
+    reps = described.where("node is not null").groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("r"), F.count(F.lit(1)).alias("copies")).select("node", "r.r1", "r.r2", "copies")
     sketch = _sketch(described)
     prefixes = staged(_prefixes(docs, k, percent, sketch), "prefixes")
-    own = prefixes.join(reps, ["r1", "r2"]).select("node", "n", "need", F.explode("tokens").alias("token"))
+    own = prefixes.join(reps.drop("copies"), ["r1", "r2"]).select("node", "n", "need", F.explode("tokens").alias("token"))
     # Written first, so that the shuffle behind it is gone before the next one.
     shared = staged(own.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("token"), "shared")
     live = staged(own.join(shared, "token"), "tokens")
@@ -259,23 +321,37 @@ def links(docs: DataFrame, described: DataFrame, k: int, percent: int, table_row
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     everywhere = F.flatten(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.transform(F.sequence(i, blocks - 1), lambda j: F.struct(i.alias("b1"), j.alias("b2")))))
     places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.least(i, mine).alias("b1"), F.greatest(i, mine).alias("b2")))
-    placed = asks.join(held, "centre").withColumn("p", F.explode(F.when(F.col("node") == F.col("centre"), everywhere).otherwise(places))).select("centre", "p.b1", "p.b2", "node")
-    text = docs.select("r1", "r2", "text")
-    sent = placed.join(reps, "node").join(text, ["r1", "r2"]).select("centre", "b1", "b2", (F.col("node") != F.col("centre")).alias("guest"), "node", "text")
-    return _table_links(sent.repartition("centre", "b1", "b2").sortWithinPartitions("centre", "b1", "b2", "guest", "node"), k, percent)
+    placed = asks.join(held, "centre").withColumn("p", F.explode(F.when(F.col("node") == F.col("centre"), everywhere).otherwise(places))).select("centre", "p.b1", "p.b2", "node", mine.alias("block"))
+    text, more = docs.select("r1", "r2", "text"), []
+    if counted:
+        order = F.xxhash64("centre")
+        reps = reps.join(asks.groupBy("node").agg(F.collect_set(order).alias("centres")), "node")
+        more = ["copies", "block", F.filter("centres", lambda x: x < order).alias("earlier")]
+    sent = placed.join(reps, "node").join(text, ["r1", "r2"]).select("centre", "b1", "b2", (F.col("node") != F.col("centre")).alias("guest"), "node", "text", *more)
+    return _table_links(sent.repartition("centre", "b1", "b2").sortWithinPartitions("centre", "b1", "b2", "guest", "node"), k, percent, counted)
+
 
+def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, table_rows: int = TABLE_ROWS, n_links: bool = False) -> DataFrame:
+    """key, n_shingles, component_id (the smallest key reachable by links), one row for each row of docs.
 
-def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, table_rows: int = TABLE_ROWS) -> DataFrame:
-    """key, n_shingles, component_id (the smallest key reachable by links), one row for each row of docs."""
+    With n_links also that: how many other rows of docs are similar to the row, equal ones among them.
+    """
     docs = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("r1"), F.xxhash64(F.lit("second"), key, text).alias("r2"), F.col(text).alias("text"))
     described = staged(_described(docs, k), "sets")
     rows = described.where("part is null").select("id", "n", "node")
-    roots = connected(links(docs, described, k, percent, table_rows))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
+    linked = links(docs, described, k, percent, table_rows, n_links)
+    if n_links:
+        linked = staged(linked, "linked")
+    roots = connected(linked.where("v is not null"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    out = rows.join(named, "node", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    more = []
+    if n_links:
+        named = named.join(linked.where("n is not null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others")), "node", "left")
+        more = [F.when(F.col("node").isNull(), 0).otherwise(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links")]
+    out = rows.join(named.drop("root", "least"), "node", "left")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *more)
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -285,4 +361,4 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
+    return components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90, n_links=True)

@@ -118,3 +118,25 @@ def test_chain_is_one_component(spark):
     got = {r.node: r.root for r in components.connected(df).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 100: 100, 101: 100}
     assert components.connected(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed,k,percent,rows", [(1, 3, 90, 4000), (2, 5, 80, 10), (3, 3, 70, 7)])
+def test_links_are_counted_as_by_brute_force(spark, seed, k, percent, rows):
+    docs = corpus(seed)
+    docs += [(500, None), (501, ""), (503, "One  TWO"), (504, "one two"), (504, "one two"), (None, docs[0][1])]
+    sets = []
+    for _, t in docs:
+        w = words(t)
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()))
+    want = sorted(((d, sum(i != j and bool(a) and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets))) for i, ((d, _), a) in enumerate(zip(docs, sets, strict=True))), key=str)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = ngram_join.components(df, k=k, percent=percent, table_rows=rows, n_links=True)
+    assert sorted(((r.doc_id, r.n_links) for r in got.collect()), key=str) == want
+    assert max(n for _, n in want) > 10
+
+
+def test_query_returns_the_number_of_links(spark):
+    out = ngram_join.op1(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    sizes = {r.component_id: r["count"] for r in out.groupBy("component_id").count().collect()}
+    assert all((r.n_links > 0) == (sizes[r.component_id] > 1) for r in out.collect())
