@@ -1,7 +1,8 @@
 """Chat formatting with offset-aligned loss masks.
 
 A conversation is rendered whole, encoded once with offsets, and the sorted spans of its assistant texts are met with the
-token spans by binary search. Rows reach Python sorted by conversation and turn, as a stream; a conversation beyond
+token spans by binary search. The encoder splits where an assistant's text begins (after the head's newline) and ends (at
+a special token), so no token is partly under the mask. Rows reach Python sorted by conversation and turn, as a stream; a conversation beyond
 ``run_chars`` is rendered and encoded in runs of whole turns (a turn starts and ends with a special token, at which the
 encoder splits anyway), so that memory is bounded by one turn.
 
@@ -16,6 +17,7 @@ no conversations; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -128,15 +130,17 @@ def rendered(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
 
 def encoded(conv: object, number: int, turns: list[tuple[str, str]], path: str) -> Run:
     text, spans = rendered(turns)
-    got = encoder(path).encode(text, add_special_tokens=False)
-    offsets = np.array(got.offsets, np.int64).reshape(-1, 2)
-    starts, ends = offsets[:, 0], offsets[:, 1]
+    # An assistant's text begins a piece of its own, or a token could span the head's end and the text's first blanks.
+    cuts = [0, *(a for a, _ in spans), len(text)]
+    got = [(a, encoder(path).encode(text[a:b], add_special_tokens=False)) for a, b in itertools.pairwise(cuts)]
+    offsets = np.concatenate([np.array(e.offsets, np.int64).reshape(-1, 2) + a for a, e in got])
+    ids, starts, ends = np.concatenate([np.array(e.ids, np.int64) for _, e in got]), offsets[:, 0], offsets[:, 1]
     change = np.zeros(len(starts) + 1, np.int64)
     if spans:
         a, b = np.array(spans).T
         np.add.at(change, np.searchsorted(starts, a, "left"), 1)
         np.add.at(change, np.maximum(np.searchsorted(ends, b, "right"), np.searchsorted(starts, a, "left")), -1)
-    return Run(conv, number, text, np.array(got.ids, np.int64), starts, ends, np.cumsum(change[:-1]) > 0)
+    return Run(conv, number, text, ids, starts, ends, np.cumsum(change[:-1]) > 0)
 
 
 def runs(rows: Iterator[tuple[object, str, str]], path: str, run_chars: int = RUN_CHARS) -> Iterator[Run]:

@@ -109,6 +109,17 @@ def test_chat_edges(spark, run_chars):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_chat_mask_covers_texts_that_begin_with_blanks(spark):
+    bodies = ["\n", "\n\nx", "\n x", "\xa0 x", "\xa0\xa0", "  x", " \n", "\r\nx", "\u3000\u3000x", "x\n"]
+    for body in bodies:
+        run = chat.encoded(1, 0, [("user", "q"), ("assistant", body), ("assistant", body)], chat.default_path())
+        assert run.loss_turns() == [body, body] and run.loss_text() == body * 2
+        assert all(run.text[s:e] for s, e in zip(run.starts.tolist(), run.ends.tolist(), strict=True)) and run.ends[-1] == len(run.text)
+    df = spark.createDataFrame([(1, i, "assistant", b) for i, b in enumerate(bodies)], "conv_id long, turn long, role string, text string")
+    got = chat.digests(df).first()
+    assert got.loss_chars == sum(map(len, bodies)) and got.loss_sha256 == hashlib.sha256("".join(bodies).encode()).hexdigest()
+
+
 def test_no_control_string_survives_escaping():
     r = random.Random(1)
     for _ in range(3000):
