@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankeval.llm.common import ALNUM, Words, chunks, pieces, raw_texts
 
@@ -120,33 +121,44 @@ def without(text: str, hit: set[int]) -> str:
     return b"".join([*out, raw[last:]]).decode()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0.5, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0.5, key: str = "doc_id", text: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs with the hit spans cut out of their texts; documents of which more than max_share of the words are hit go.
 
-    Texts stay in their rows: each batch is scanned and cut at once, so nothing is shuffled. A benchmark of more than
-    MAX_WINDOWS windows is cut slice by slice, in as many passes.
+    Texts stay in their rows, so nothing is shuffled. A benchmark of more than max_windows windows takes a pass for each
+    slice: all scan the texts as they came and carry the hit words along, and the last judges and cuts.
     """
     held, slices = [], []
     for row in benchmark.select("item_id", "text").toLocalIterator():
         held += item_windows([tuple(row)], window)
-        if len(held) >= MAX_WINDOWS:
+        if len(held) >= max_windows:
             slices.append(held)
             held = []
     slices += [held] if held or not slices else []
-    at = docs.columns.index(text)
-    for rows in slices:
+    at, schema, carried = docs.columns.index(text), docs.schema, "_hit"
+    while carried in (c.lower() for c in docs.columns):
+        carried = f"_{carried}"
+    more = T.StructType([*schema.fields, T.StructField(carried, T.ArrayType(T.IntegerType()))])
+    for i, rows in enumerate(slices):
         sent = docs.sparkSession.sparkContext.broadcast(indexed(rows))
+        first, last = i == 0, i == len(slices) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, first=first, last=last) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches):
-                found = list(scan(raw_texts(batch.column(at)), sent.value))
-                keep = pa.array([len(hit) <= max_share * n for n, hit, _ in found], pa.bool_())
-                if any(hit for _, hit, _ in found):
-                    new = pa.array([t if not hit else without(t, set(hit)) for t, (_, hit, _) in zip(batch.column(at).to_pylist(), found, strict=True)], pa.string())
+                found = [(n, set(hit)) for n, hit, _ in scan(raw_texts(batch.column(at)), sent.value)]
+                if not first:
+                    found = [(n, hit.union(old)) for (n, hit), old in zip(found, batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+                    batch = batch.select(list(range(batch.num_columns - 1)))
+                if not last:
+                    hits = pa.array([sorted(hit) for _, hit in found], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, hits], [*batch.schema.names, carried])
+                    continue
+                keep = pa.array([len(hit) <= max_share * n for n, hit in found], pa.bool_())
+                if any(hit for _, hit in found):
+                    new = pa.array([t if not hit else without(t, hit) for t, (_, hit) in zip(batch.column(at).to_pylist(), found, strict=True)], pa.string())
                     batch = batch.set_column(at, batch.schema.field(at), new)
                 yield batch.filter(keep)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, schema if last else more)
     return docs
 
 

@@ -59,6 +59,23 @@ def test_decontamination_edges(spark, max_windows):
     assert decontaminate.hits(d.limit(0), b).count() == 0 and decontaminate.hits(d, b.limit(0)).where("size(hit) > 0").count() == 0
 
 
+def test_cleaning_does_not_depend_on_the_slices(spark):
+    w = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(w[:10])), (2, " ".join(w[5:15])), (3, " ".join(w[20:30])), (4, "left right")]
+    docs = [
+        (1, " ".join(["x"] * 8 + w[:10] + ["y"] * 4 + w[20:30] + ["z"]), "both over the share"),
+        (2, " ".join(["x"] * 30 + w[:15] + ["y"]), "items overlap"),
+        (3, " ".join(["x"] * 30 + ["left"] + w[:10] + ["right"]), "words that a cut makes neighbours"),
+        (4, None, "null"), (4, "left right", "all"), (5, "nothing here", "none"),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string, _hit string")
+    b = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    whole, cut = ([tuple(r) for r in decontaminate.clean(d, b, max_windows=m).orderBy("doc_id").collect()] for m in (10**6, 1))
+    assert whole == cut
+    assert [r[0] for r in cut] == [2, 3, 4, 5]
+    assert cut[0][1] == "x " * 30 + " y" and cut[1][1] == "x " * 30 + "left  right"
+
+
 def test_bpe_is_tiktoken(spark):
     import tiktoken
 
