@@ -4,6 +4,11 @@ A paragraph (a line) is the set of its word 1-, 2- and 3-grams that the model kn
 licence family and the class `unknown` a probability; a temperature and a threshold fitted on rows held back calibrate it.
 A predicted family is confirmed by comparison with its templates: the paragraph holds half of one, or is an excerpt of one.
 
+Notices may be wrapped, and several may stand in one paragraph. So spans of up to ``span_lines`` neighbouring lines without
+a blank one are judged too, and of every line and span the families are taken one after the other: the likeliest, if it
+is likelier than unknown by the same threshold and holds half of a template (four fifths where another family keeps its
+probability below the threshold), then the likeliest of what is left when its templates' n-grams are taken away.
+
 The model is fitted on the driver from the templates below and variants of them, so it is the same for every input. Every
 n-gram that it knows holds a word of its vocabulary: a text without such a word has no candidate and is not split further.
 
@@ -58,6 +63,8 @@ STOP = frozenset("a all an and any are as at be by copy for from in is it may no
 UNKNOWN = "unknown"
 CLASSES = (*TEMPLATES, UNKNOWN)
 VARIANTS = 60
+#: Notices are looked for in texts of so many neighbouring lines.
+SPAN_LINES = 8
 
 
 def words_of(text: str) -> list[str]:
@@ -158,8 +165,13 @@ def _known_grams(words: Column, features: Column) -> Column:
     return F.array_intersect(F.concat(words, at(2), at(3)), features)
 
 
-def scan(docs: DataFrame, model: Model | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_paragraphs, and found: structs of pos, family, probability, likeness, confirmed of the paragraphs not unknown."""
+def scan(docs: DataFrame, model: Model | None = None, *, key: str = "doc_id", text: str = "text", span_lines: int = SPAN_LINES) -> DataFrame:
+    """key, n_paragraphs, found and notices.
+
+    found: structs of pos, family, probability, likeness, confirmed of the paragraphs not unknown, one family each.
+    notices: structs of pos, n_lines, family, explained of the confirmed families of lines and spans, one after the other;
+    explained are those whose n-grams all belong to another family's longer notice around them.
+    """
     m = model or trained()
     features, vocabulary = _strings(m.features), _strings(m.vocabulary)
     weights = F.map_from_arrays(features, F.array(*(F.array(*map(F.lit, w)) for w in m.weights)))
@@ -186,22 +198,83 @@ def scan(docs: DataFrame, model: Model | None = None, *, key: str = "doc_id", te
 
         return _let(logits, of)
 
+    taken = F.array(*(_strings(sorted({g for t in TEMPLATES[c] for g in grams_of(words_of(t))} & set(m.features))) for c in TEMPLATES))
+    state = "struct<left:array<string>,families:array<string>>"
+
+    def families(grams: Column) -> Column:
+        """The families confirmed in a text, the likeliest first, each without the n-grams of those before it."""
+
+        def step(acc: Column, _: Column) -> Column:
+            left = acc["left"]
+            logits = F.aggregate(left, bias, lambda a, g: F.zip_with(a, F.element_at(weights, g), lambda x, y: x + y))
+
+            def best(z: Column) -> Column:
+                known = F.transform(F.slice(z, 1, len(TEMPLATES)), lambda v, i: F.struct(v.alias("z"), (-i).alias("i")))
+                top = F.array_max(known)
+                return F.struct(top.alias("of"), F.element_at(z, len(CLASSES)).alias("unknown"), F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp((v - top["z"]) / m.temperature)).alias("total"))
+
+            def judge(x: Column) -> Column:
+                i = -x["of"]["i"] + 1
+                likely = 1 / (1 + F.exp((x["unknown"] - x["of"]["z"]) / m.temperature)) >= m.threshold
+                # Two notices share the probability; then most of a template is asked for.
+                part = F.when(1 / x["total"] >= m.threshold, 0.5).otherwise(0.8)
+                alike = F.exists(F.element_at(templates, i), lambda t: F.size(F.array_intersect(left, t)) >= part * F.size(t))
+                sure = F.struct(F.array_except(left, F.element_at(taken, i)).alias("left"), F.array_append(acc["families"], F.element_at(names, i)).alias("families"))
+                return F.when(likely & alike, sure.cast(state)).otherwise(F.struct(F.array().cast("array<string>").alias("left"), acc["families"].alias("families")).cast(state))
+
+            return F.when(F.size(left) == 0, acc).otherwise(_let(_let(logits, best), judge))
+
+        start = F.struct(grams.alias("left"), F.array().cast("array<string>").alias("families")).cast(state)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(len(TEMPLATES))), start, step, lambda acc: acc["families"])
+
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(t, "\n", -1)
     n_paragraphs = F.when(t == "", 0).otherwise(F.size(lines)).cast("long")
     # The lines that hold a word of the vocabulary at all; few texts have any.
-    candidates = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), _words(x).alias("words")))
-    candidates = F.filter(candidates, lambda c: F.arrays_overlap(c["words"], vocabulary))
-    rows = docs.select(F.col(key), n_paragraphs.alias("n_paragraphs"), F.when(F.arrays_overlap(_words(t), vocabulary), candidates).alias("c"))
-    found = F.filter(F.transform(F.col("c"), lambda c: _let(_known_grams(c["words"], features), lambda g: F.when(F.size(g) > 0, judged(g, c["pos"])))), lambda x: x.isNotNull() & (x["family"] != UNKNOWN))
+    every = F.transform(lines, lambda x, i: _let(_words(x), lambda w: F.struct(i.alias("pos"), w.alias("words"), F.arrays_overlap(w, vocabulary).alias("known"))))
+    rows = docs.select(F.col(key), n_paragraphs.alias("n_paragraphs"), F.when(F.arrays_overlap(_words(t), vocabulary), every).alias("every"))
+    candidates = F.filter("every", lambda c: c["known"])
+    found = F.filter(F.transform(candidates, lambda c: _let(_known_grams(c["words"], features), lambda g: F.when(F.size(g) > 0, judged(g, c["pos"])))), lambda x: x.isNotNull() & (x["family"] != UNKNOWN))
     none = F.array().cast("array<struct<pos:int,family:string,probability:double,likeness:double,confirmed:boolean>>")
-    return rows.select(key, "n_paragraphs", F.coalesce(found, none).alias("found"))
+
+    # A span begins and ends with a line that has a word of the vocabulary; a line alone is a span of one.
+    def spans_from(c: Column) -> Column:
+        ends = F.slice("every", c["pos"] + 1, span_lines)
+        unbroken = F.filter(ends, lambda e: e["known"] & ~F.exists(F.slice("every", c["pos"] + 1, e["pos"] - c["pos"] + 1), lambda x: F.size(x["words"]) == 0))
+        return F.transform(unbroken, lambda e: F.struct(c["pos"].alias("pos"), (e["pos"] - c["pos"] + 1).alias("n_lines"), F.flatten(F.transform(F.slice("every", c["pos"] + 1, e["pos"] - c["pos"] + 1), lambda x: x["words"])).alias("words")))
+
+    spans = F.flatten(F.transform(candidates, spans_from))
+    notices = F.flatten(F.transform(spans, lambda p: _let(_known_grams(p["words"], features), lambda g: F.transform(families(g), lambda f: F.struct(p["pos"].alias("pos"), p["n_lines"].alias("n_lines"), f.alias("family"), g.alias("grams"))))))
+    no_notices = F.array().cast("array<struct<pos:int,n_lines:int,family:string,explained:boolean>>")
+    rows = rows.select(key, "n_paragraphs", F.coalesce(found, none).alias("found"), notices.alias("notices"))
+
+    # A piece of a longer notice may look like another family's (CC BY of CC BY-NC): the longer one explains it.
+    def explained(b: Column) -> Column:
+        def by(a: Column) -> Column:
+            around = (a["pos"] <= b["pos"]) & (b["pos"] + b["n_lines"] <= a["pos"] + a["n_lines"]) & (a["n_lines"] > b["n_lines"]) & (a["family"] != b["family"])
+            both = F.exists("notices", lambda c: (c["pos"] == a["pos"]) & (c["n_lines"] == a["n_lines"]) & (c["family"] == b["family"]))
+            own = F.element_at(taken, F.array_position(names, a["family"]).cast("int"))
+            return F.when(around, ~both & (F.size(F.array_except(b["grams"], own)) == 0)).otherwise(False)
+
+        return F.exists("notices", by)
+
+    notices = F.transform("notices", lambda b: F.struct(b["pos"].alias("pos"), b["n_lines"].alias("n_lines"), b["family"].alias("family"), explained(b).alias("explained")))
+    return rows.select(key, "n_paragraphs", "found", F.coalesce(notices, no_notices).alias("notices"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """licences and n_confirmed: families and places of the notices. A family's spans that hold a smaller place of it are that place."""
     rows = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     sure = F.filter("found", lambda x: x["confirmed"])
+    alone = F.transform(sure, lambda x: F.struct(x["pos"].alias("pos"), F.lit(1).alias("n_lines"), x["family"].alias("family")))
+    place = lambda x: F.struct(x["pos"].alias("pos"), x["n_lines"].alias("n_lines"), x["family"].alias("family"))
+    kept = F.transform(F.filter("notices", lambda x: ~x["explained"]), place)
+    rows = rows.withColumn("places", F.array_union(F.array_except(alone, F.transform(F.filter("notices", lambda x: x["explained"]), place)), kept))
+    # Of overlapping spans of one family, the shortest and then the first stays.
+    meets = lambda a, b: (a["family"] == b["family"]) & (a["pos"] < b["pos"] + b["n_lines"]) & (b["pos"] < a["pos"] + a["n_lines"])
+    less = lambda a, b: (a["n_lines"] < b["n_lines"]) | ((a["n_lines"] == b["n_lines"]) & (a["pos"] < b["pos"]))
+    rows = rows.withColumn("places", F.filter("places", lambda b: ~F.exists("places", lambda a: meets(a, b) & less(a, b))))
     return rows.select(
-        "doc_id", "n_paragraphs", F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("licences"),
-        F.size(sure).cast("long").alias("n_confirmed"), (F.size("found") - F.size(sure)).cast("long").alias("n_unconfirmed"), F.round(F.array_max(F.transform("found", lambda x: x["probability"])), 6).alias("probability"),
+        "doc_id", "n_paragraphs", F.array_join(F.array_sort(F.array_distinct(F.transform("places", lambda x: x["family"]))), ",").alias("licences"),
+        F.size("places").cast("long").alias("n_confirmed"), (F.size("found") - F.size(sure)).cast("long").alias("n_unconfirmed"), F.round(F.array_max(F.transform("found", lambda x: x["probability"])), 6).alias("probability"),
     )

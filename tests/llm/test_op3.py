@@ -51,3 +51,16 @@ def test_templates_are_found_and_other_lines_are_not(spark):
 def test_query_stays_on_the_jvm(spark):
     plan = licences.op3(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_wrapped_and_double_notices(spark, tmp_path):
+    mit, apache = licences.TEMPLATES["mit"], licences.TEMPLATES["apache-2.0"]
+    rows = [
+        ("proprietary", "intro\nAll rights\nreserved.\n"), ("mit", "Released under the\nMIT License."), ("cc-by-nc", "Licensed under CC\nBY-NC 4.0."),
+        ("", "All rights\n\nreserved."), ("apache-2.0,mit", f"{mit[0]} {apache[0]}"), ("mit,proprietary", "All rights reserved. Released under the\nMIT License."),
+        ("apache-2.0", "\n".join(apache[1].split())), ("cc-by", "Licensed under CC BY 4.0."), ("", "a\nb"), ("", None),
+    ]
+    spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in licences.op3(spark, str(tmp_path)).collect()}
+    assert [got[i].licences for i in range(len(rows))] == [c for c, _ in rows]
+    assert [got[i].n_confirmed for i in (0, 1, 2, 3, 4, 5, 7)] == [1, 1, 1, 0, 2, 2, 1]
