@@ -3,7 +3,8 @@
 A document's shingles are ordered from rare to frequent (by counts of all documents in a sketch of fixed size). Two sets
 of which the larger has n elements are similar only if they share t = ceil(threshold * n) elements, so their prefixes of
 n - t + l elements share l. Each document takes the l of least estimated cost: a longer prefix is read by more documents,
-but each must match l times before it is verified.
+but each must match l times before it is verified. The matches are counted where two documents meet alone; at larger
+tables one match is enough, which loses nothing and costs verifications.
 
 Verification works at tables. All documents that hold a prefix token in a window of sizes meet at the smallest of them,
 the centre; each sends its text there once. At the table a document is kept as its difference from the centre, from which
