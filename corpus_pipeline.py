@@ -1,4 +1,10 @@
-"""From raw documents to token ids: the training-data operators in a row, each working on all that its predecessor kept."""
+"""From raw documents to token ids: the training-data operators in a row, each working on all that its predecessor kept.
+
+Defined results of the stages: a row with a null id is never dropped as a near copy;
+null and empty texts pass every stage as they are and have no tokens; equal rows are judged alike, except that rows of
+one id go or stay together as near copies; of ties the smallest id stays; very long texts are treated whole; an empty
+table gives an empty table; further columns are kept, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankeval.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from rankeval.llm.common import staged, table
+from rankeval.llm.common import settled, staged, table
 
 #: Near copies share this much of their 5-word shingles.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -25,13 +31,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in several documents stay in the first alone."""
-    return _sized(line_dedup.dedup_lines(docs, counts=False), docs.columns)
+    """Lines that stand in several documents stay in the first alone; documents of which no more than blanks is left go."""
+    return _sized(line_dedup.dedup_lines(docs, counts=False, emptied=False), docs.columns)
+
+
+def _unedited(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and raw text of the rows whose lines are all lines of the document that has their id."""
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw"))
+    lines = lambda c: F.split(c, "\n", -1)
+    left = F.size(F.array_except(lines("text"), lines("raw"))) == 0
+    return docs.select("doc_id", "text").join(raw, "doc_id").where((F.col("text") == F.col("raw")) | left).select("doc_id", F.col("raw").alias("text"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest id stays."""
-    return ngram_join.one_of_each(docs, k=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Documents are compared as they come, and as they were before the stage in front cut the lines that they share: what is
+    left of a near copy behind that stage does not resemble its original any more. A text that is not left of the raw
+    document with its id (a table of other documents) is compared as it comes alone.
+    """
+    compared = [docs.select("doc_id", "text"), _unedited(spark, docs, sf_dir)]
+    gone = [settled(lambda rows=rows: ngram_join.lesser(rows, k=SHINGLE_WORDS, percent=SIMILAR_PERCENT), "copies") for rows in compared]
+    gone = gone[0].unionByName(gone[1]).distinct().withColumnRenamed("doc_id", "_gone")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

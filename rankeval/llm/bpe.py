@@ -5,7 +5,8 @@ together: an inverted index from token pair to the places where it stands takes
 touches only the neighbours of its places. Texts are then rows of word ids.
 
 Defined results: null is the empty text, which has no ids; every row is encoded by itself, so ties, repeated rows and
-empty tables need nothing special; further columns are left alone.
+empty tables need nothing special; a very long text is encoded whole, alone, in memory in proportion to its length;
+further columns are left out but for those in keep.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.llm.common import CHUNK_BYTES, chunks, pieces
+from rankeval.llm.common import CHUNK_BYTES, chunks, mapped, pieces
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Words that a worker keeps between batches; beyond it the held words are let go and replayed when they come again.
@@ -193,8 +194,12 @@ _SQL = {"n_tokens": "bigint", "token_ids": "array<int>", "decoded": "binary", "i
 
 
 def encode(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", returns: tuple[str, ...] = ("token_ids", "decoded"), path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """The columns in keep, then those asked for: n_tokens, token_ids, decoded (the bytes that the ids stand for) and the SHA-256 digests of either."""
+    """The columns in keep, then those asked for: n_tokens, token_ids, decoded (the bytes that the ids stand for) and the SHA-256 digests of either.
+
+    A column in keep that has the name of one asked for gives way to it.
+    """
     path, pattern = path or default_path(), pattern or default_pattern()
+    keep = tuple(c for c in keep if c.lower() not in returns)
     docs = docs.select(F.col(text).alias("_text"), *keep)
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema[1:]] + [f"{r} {_SQL[r]}" for r in returns])
 
@@ -208,7 +213,7 @@ def encode(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text: str =
                 made = [pa.array([_MAKE[r](*row) for row in rows], _KINDS[r]) for r in returns]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(1, batch.num_columns)), *made], [*batch.schema.names[1:], *returns])
 
-    return docs.mapInArrow(run, kinds)
+    return mapped(docs, run, kinds)
 
 
 def digests(docs: DataFrame, **how) -> DataFrame:

@@ -1,23 +1,24 @@
 """Chat formatting with offset-aligned loss masks.
 
 A conversation is rendered whole, encoded once with offsets, and the sorted spans of its assistant texts are met with the
-token spans by binary search. The encoder splits where an assistant's text begins (after the head's newline) and ends (at
-a special token), so no token is partly under the mask. Rows reach Python sorted by conversation and turn, as a stream; a conversation beyond
-``run_chars`` is rendered and encoded in runs of whole turns (a turn starts and ends with a special token, at which the
-encoder splits anyway), so that memory is bounded by one turn.
+token spans by binary search. A special token stands on either side of each text, and the encoder always splits there, so
+no token is partly under the mask. Rows reach Python sorted by conversation and turn, as a stream. As every turn starts
+and ends with a special token, the tokens of a conversation are those of its runs of whole turns, one after the other: the
+encoder is fed run by run beyond ``run_chars``, so that digests() needs memory for a run and its longest turn alone, while
+formatted() gives one row for each conversation, the same for any ``run_chars``.
 
 Escaping: a control string C inside a role or text becomes C[0] + backslash + C[1:]; one that already has n backslashes
 there gets n + 1. Unescaping takes one away, so every text comes back.
 
 Defined results: a null or empty text is empty, a null role is an empty role; rows with the same turn are ordered by role
-and text, nulls first; repeated rows are turns like others; a null conversation id is a conversation; an empty table has
-no conversations; further columns are ignored.
+and text, nulls first; repeated rows are turns like others; a null conversation id is a conversation, ids may be of any
+type that can be sorted; a very long text is one turn, encoded whole; an empty table has no conversations; further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,17 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.llm.common import table
+from rankeval.llm.common import mapped, table
 
-OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+OPEN, SEP, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: The control strings of common chat templates.
-CONTROL = (OPEN, CLOSE, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+CONTROL = (OPEN, SEP, CLOSE, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 RUN_CHARS = 4_000_000
 _rest = "|".join(re.escape(c[1:]) for c in sorted(CONTROL, key=len, reverse=True))
 _first = "[" + re.escape("".join(sorted({c[0] for c in CONTROL}))) + "]"
 _ESCAPE = re.compile(rf"({_first})(\\*)({_rest})")
 _UNESCAPE = re.compile(rf"({_first})\\(\\*)({_rest})")
-_TURN = re.compile(rf"{re.escape(OPEN)}([^\n]*)\n(.*?){re.escape(CLOSE)}\n", re.DOTALL)
+_TURN = re.compile(rf"{re.escape(OPEN)}(.*?){re.escape(SEP)}(.*?){re.escape(CLOSE)}\n", re.DOTALL)
 
 
 def escaped(text: str) -> str:
@@ -48,15 +49,6 @@ def unescaped(text: str) -> str:
     return _UNESCAPE.sub(r"\1\2\3", text)
 
 
-def _role(role: str) -> str:
-    """A role on one line."""
-    return escaped(role.replace("%", "%25").replace("\n", "%0A"))
-
-
-def _role_back(role: str) -> str:
-    return unescaped(role).replace("%0A", "\n").replace("%25", "%")
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -67,12 +59,12 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """The tokenizer with the template's two markers as special tokens and offsets that keep leading blanks."""
+    """The tokenizer with the template's markers as special tokens and offsets that keep leading blanks."""
     if path not in _encoders:
         from tokenizers import AddedToken, Tokenizer, processors
 
         t = Tokenizer.from_file(path)
-        t.add_special_tokens([AddedToken(x, normalized=False) for x in (OPEN, CLOSE)])
+        t.add_special_tokens([AddedToken(x, normalized=False) for x in (OPEN, SEP, CLOSE)])
         t.post_processor = processors.ByteLevel(trim_offsets=False)
         _encoders[path] = t
     return _encoders[path]
@@ -101,13 +93,13 @@ class Run:
         return "".join(out)
 
     def turns(self) -> list[tuple[str, str]]:
-        return [(_role_back(m[1]), unescaped(m[2])) for m in _TURN.finditer(self.text)]
+        return [(unescaped(m[1]), unescaped(m[2])) for m in _TURN.finditer(self.text)]
 
     def loss_turns(self) -> list[str]:
         """The masked text of each assistant turn; a control string never spans two of them."""
         out = []
         for m in _TURN.finditer(self.text):
-            if _role_back(m[1]) != "assistant":
+            if unescaped(m[1]) != "assistant":
                 continue
             # the tokens that begin inside the turn's text, by binary search over the sorted starts
             a, b = np.searchsorted(self.starts, [m.start(2), m.end(2)])
@@ -120,7 +112,7 @@ def rendered(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The conversation's text and the sorted spans of the assistant's texts in it."""
     out, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{OPEN}{_role(role)}\n", escaped(text)
+        head, body = f"{OPEN}{escaped(role)}{SEP}", escaped(text)
         if role == "assistant":
             spans.append((at + len(head), at + len(head) + len(body)))
         out += [head, body, f"{CLOSE}\n"]
@@ -130,11 +122,9 @@ def rendered(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
 
 def encoded(conv: object, number: int, turns: list[tuple[str, str]], path: str) -> Run:
     text, spans = rendered(turns)
-    # An assistant's text begins a piece of its own, or a token could span the head's end and the text's first blanks.
-    cuts = [0, *(a for a, _ in spans), len(text)]
-    got = [(a, encoder(path).encode(text[a:b], add_special_tokens=False)) for a, b in itertools.pairwise(cuts)]
-    offsets = np.concatenate([np.array(e.offsets, np.int64).reshape(-1, 2) + a for a, e in got])
-    ids, starts, ends = np.concatenate([np.array(e.ids, np.int64) for _, e in got]), offsets[:, 0], offsets[:, 1]
+    got = encoder(path).encode(text, add_special_tokens=False)
+    offsets = np.array(got.offsets, np.int64).reshape(-1, 2)
+    ids, starts, ends = np.array(got.ids, np.int64), offsets[:, 0], offsets[:, 1]
     change = np.zeros(len(starts) + 1, np.int64)
     if spans:
         a, b = np.array(spans).T
@@ -185,44 +175,62 @@ def _sorted(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str, str]]:
-    for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+class _Rows:
+    """(conversation, role, text) of every row, and the Arrow type of conversation ids."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        self.batches, self.kind = batches, pa.null()
+
+    def __iter__(self) -> Iterator[tuple[object, str, str]]:
+        for batch in self.batches:
+            self.kind = batch.schema.field(0).type
+            yield from zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+
+
+def _joined(parts: list[Run]) -> Run:
+    """The runs of one conversation as one."""
+    edge = np.cumsum([0, *(len(r.text) for r in parts)])
+    of = lambda name, by=0: np.concatenate([getattr(r, name) + x * by for r, x in zip(parts, edge, strict=False)])
+    return parts[0] if len(parts) == 1 else Run(parts[0].conv, 0, "".join(r.text for r in parts), of("ids"), of("starts", 1), of("ends", 1), np.concatenate([r.mask for r in parts]), True)
 
 
 def formatted(conversations: DataFrame, *, path: str | None = None, run_chars: int = RUN_CHARS) -> DataFrame:
-    """conv_id, run (0; more only beyond run_chars), text, token_ids, loss_mask."""
-    path = path or default_path()
+    """conv_id, text, token_ids, loss_mask: one row for each conversation."""
+    path, kind = path or default_path(), conversations.schema["conv_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in runs(_rows(batches), path, run_chars):
-            yield pa.RecordBatch.from_arrays([pa.array([r.conv], pa.int64()), pa.array([r.number], pa.int32()), pa.array([r.text]), pa.array([r.ids], pa.list_(pa.int64())), pa.array([r.mask], pa.list_(pa.bool_()))], ["conv_id", "run", "text", "token_ids", "loss_mask"])
+        rows, parts = _Rows(batches), []
+        for r in runs(rows, path, run_chars):
+            parts.append(r)
+            if r.last:
+                r, parts = _joined(parts), []
+                yield pa.RecordBatch.from_arrays([pa.array([r.conv], rows.kind), pa.array([r.text]), pa.array([r.ids], pa.list_(pa.int64())), pa.array([r.mask], pa.list_(pa.bool_()))], ["conv_id", "text", "token_ids", "loss_mask"])
 
-    return _sorted(conversations).mapInArrow(make, "conv_id bigint, run int, text string, token_ids array<bigint>, loss_mask array<boolean>")
+    return mapped(_sorted(conversations), make, f"conv_id {kind}, text string, token_ids array<bigint>, loss_mask array<boolean>")
 
 
 def digests(conversations: DataFrame, *, path: str | None = None, run_chars: int = RUN_CHARS) -> DataFrame:
     """conv_id and what is read back from the formatted runs, digested where they are made."""
-    path = path or default_path()
+    path, kind = path or default_path(), conversations.schema["conv_id"].dataType.simpleString()
 
-    def pack(rows: list) -> pa.RecordBatch:
-        kinds = (("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()))
+    def pack(rows: list, kind: pa.DataType) -> pa.RecordBatch:
+        kinds = (("conv_id", kind), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, d = [], Digest()
-        for r in runs(_rows(batches), path, run_chars):
+        rows, done, d = _Rows(batches), [], Digest()
+        for r in runs(rows, path, run_chars):
             d.add(r)
             if r.last:
                 done.append((r.conv, d.n_turns, d.turns.hexdigest(), d.loss_chars, d.loss.hexdigest(), d.formatted_chars))
                 d = Digest()
             if len(done) >= 1000:
-                yield pack(done)
+                yield pack(done, rows.kind)
                 done = []
         if done:
-            yield pack(done)
+            yield pack(done, rows.kind)
 
-    return _sorted(conversations).mapInArrow(make, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return mapped(_sorted(conversations), make, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 #: The conversation whose texts are control strings of another template.

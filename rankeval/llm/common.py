@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow() on executors that have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 _folders: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application below spark.checkpoint.dir; only where that is unset (tests), below a temporary one."""
+    """A folder of this application below spark.checkpoint.dir; where that is unset, a temporary one in local mode, else an error."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankeval-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="rankeval-")
         _folders[app] = f"{root.rstrip('/')}/rankeval-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _folders[app])
     return _folders[app]
@@ -43,8 +55,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def _remove(spark: SparkSession, folder: str) -> None:
     try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
     except Exception:  # the JVM may be gone by now
         pass
 
@@ -57,6 +68,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     schema = df.schema
     del df
     gc.collect()
@@ -64,6 +76,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s rows, staged; all that it had staged itself is deleted."""
+    mark = len(_written)
+    out = staged(df := make(), name)
+    for path in _written[mark:-1]:
+        _delete(df.sparkSession, path)
+    del _written[mark:-1]
+    return out
+
+
 def unstage(df: DataFrame) -> None:
     """Delete what staged() wrote for df, once nothing reads it any more."""
     spark = df.sparkSession
@@ -71,8 +93,12 @@ def unstage(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         parent = file.rpartition("/")[0]
         if folder.rpartition("/")[2] in parent:
-            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, parent)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:

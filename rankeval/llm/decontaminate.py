@@ -1,19 +1,21 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned over training windows.
 
-The benchmark's windows go out in slices of at most ``max_windows`` (a broadcast of known size); a benchmark beyond one
-slice takes more passes over the documents, whose hit words and items are then merged by document. A document window
-whose hash is in the set is verified word by word before it counts.
+The benchmark's windows go out in slices of about ``max_windows`` (a broadcast of known size); a benchmark beyond one
+slice takes more passes over the documents, which carry their hits along in their own rows. A document window whose hash
+is in the set is verified word by word before it counts.
 
 Defined results: null and empty texts have no words and no hit; null, empty and wordless items have no window and hit
 nothing; items that share a text or an id all count (ids once); a null item_id or doc_id stays as it is, nulls in item
-lists are left out; repeated document rows give repeated result rows; an empty table on either side gives no hits or no
-rows; columns beyond the named ones are ignored by hits() and kept by clean().
+lists are left out; repeated document rows give repeated result rows, rows with one id and different texts are judged
+apart; where windows tie or overlap all of them count; a very long text is scanned whole, alone, in memory in proportion
+to its length; an empty table on either side gives no hits or no rows; columns beyond the named ones are ignored by
+hits() and kept by clean(), whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankeval.llm.common import ALNUM, Words, chunks, pieces, raw_texts
+from rankeval.llm.common import ALNUM, Words, chunks, mapped, pieces, raw_texts, staged
 
 WINDOW = 10
 MAX_WINDOWS = 1_000_000
@@ -71,40 +73,67 @@ def scan(texts: list[bytes], windows: Windows) -> Iterator[tuple[int, list[int],
             yield int(w.first[i + 1] - w.first[i]), hit, [x for x in found.get(i, ()) if x is not None]
 
 
-def _pass(docs: DataFrame, windows: Windows) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(windows)
+def _slices(benchmark: DataFrame, item: str, text: str, window: int, max_windows: int) -> Iterator[list]:
+    """The benchmark's windows in lists of about max_windows, made as they are asked for; at least one list."""
+    held, some = [], False
+    for row in benchmark.select(item, text).toLocalIterator():
+        held += item_windows([tuple(row)], window)
+        if len(held) >= max_windows:
+            yield held
+            held, some = [], True
+    if held or not some:
+        yield held
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            rows = list(scan(raw_texts(batch.column(1)), sent.value))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([[str(x) for x in r[2]] for r in rows], pa.list_(pa.string()))],
-                ["key", "n_words", "hit", "items"],
-            )
 
-    kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, n_words bigint, hit array<int>, items array<string>")
+def _free(names: list[str], name: str) -> str:
+    """name, or the like of it that no column has."""
+    while name.lower() in (n.lower() for n in names):
+        name = f"_{name}"
+    return name
+
+
+def _scanned(docs: DataFrame, text: str, slices: Iterator[list], finish: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema) -> DataFrame:
+    """finish(batch, rows) of every batch of docs, rows being (number of words, hit words, items) of each text.
+
+    Every slice's pass scans the texts as they came. What earlier slices hit travels in the row itself, so any number of
+    slices finds the same, whichever rows look alike. A pass is written before the next slice goes out: the driver holds
+    two slices at most, a worker one.
+    """
+    at, columns = docs.columns.index(text), len(docs.columns)
+    more = T.StructType([*docs.schema.fields, T.StructField(_free(docs.columns, "_hit"), T.ArrayType(T.IntegerType())), T.StructField(_free(docs.columns, "_items"), T.ArrayType(T.StringType()))])
+    rows, first = next(slices), True
+    while True:
+        after = next(slices, None)
+        sent = docs.sparkSession.sparkContext.broadcast(indexed(rows))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, first=first, last=after is None) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                found = [(n, hit, [str(x) for x in items]) for n, hit, items in scan(raw_texts(batch.column(at)), sent.value)]
+                if not first:
+                    old = zip(*(batch.column(columns + i).to_pylist() for i in range(2)), strict=True)
+                    found = [(n, sorted({*hit, *h}), sorted({*items, *x})) for (n, hit, items), (h, x) in zip(found, old, strict=True)]
+                    batch = batch.select(list(range(columns)))
+                if last:
+                    yield finish(batch, found)
+                else:
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array([f[2] for f in found], pa.list_(pa.string()))], more.fieldNames())
+
+        docs = mapped(docs, run, schema if after is None else more)
+        if after is None:
+            return docs
+        docs, rows, first = staged(docs, "hits"), after, False
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """key, n_words, hit (sorted positions of the words in any window), items (ids as strings, sorted)."""
-    docs, slices, held = docs.select(F.col(key), F.col(text)), [], []
-    for row in benchmark.select(item, text).toLocalIterator():
-        held += item_windows([tuple(row)], window)
-        if len(held) >= max_windows:
-            slices.append(held)
-            held = []
-    passes = [_pass(docs, indexed(x)) for x in [*slices, *([held] if held or not slices else [])]]
-    if len(passes) == 1:
-        out = passes[0]
-    else:  # the same row in every pass has the same place among equal rows, so repeated rows stay apart
-        numbered = [p.groupBy("key", "n_words").agg(F.collect_set("hit").alias("hit"), F.collect_set("items").alias("items"), F.count(F.lit(1)).alias("rows")) for p in passes]
-        both = numbered[0]
-        for p in numbered[1:]:
-            both = both.unionByName(p)
-        out = both.groupBy("key", "n_words").agg(F.flatten(F.flatten(F.collect_list("hit"))).alias("hit"), F.flatten(F.flatten(F.collect_list("items"))).alias("items"), F.max("rows").alias("rows"))
-        out = out.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("_", "rows")
-    return out.select(F.col("key").alias(key), "n_words", F.array_sort(F.array_distinct("hit")).alias("hit"), F.array_sort(F.array_distinct("items")).alias("items"))
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def finish(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        made = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array([sorted(set(f[2])) for f in found], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *made], ["key", "n_words", "hit", "items"])
+
+    kind = docs.schema[0].dataType.simpleString()
+    return _scanned(docs, "text", _slices(benchmark, item, text, window, max_windows), finish, f"key {kind}, n_words bigint, hit array<int>, items array<string>").withColumnRenamed("key", key)
 
 
 def without(text: str, hit: set[int]) -> str:
@@ -121,45 +150,20 @@ def without(text: str, hit: set[int]) -> str:
     return b"".join([*out, raw[last:]]).decode()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0.5, key: str = "doc_id", text: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0.5, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs with the hit spans cut out of their texts; documents of which more than max_share of the words are hit go.
 
-    Texts stay in their rows, so nothing is shuffled. A benchmark of more than max_windows windows takes a pass for each
-    slice: all scan the texts as they came and carry the hit words along, and the last judges and cuts.
+    Texts stay in their rows, so nothing is shuffled; shares are judged and texts are cut once, by the hits of all slices.
     """
-    held, slices = [], []
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        held += item_windows([tuple(row)], window)
-        if len(held) >= max_windows:
-            slices.append(held)
-            held = []
-    slices += [held] if held or not slices else []
-    at, schema, carried = docs.columns.index(text), docs.schema, "_hit"
-    while carried in (c.lower() for c in docs.columns):
-        carried = f"_{carried}"
-    more = T.StructType([*schema.fields, T.StructField(carried, T.ArrayType(T.IntegerType()))])
-    for i, rows in enumerate(slices):
-        sent = docs.sparkSession.sparkContext.broadcast(indexed(rows))
-        first, last = i == 0, i == len(slices) - 1
+    at = docs.columns.index(text)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, first=first, last=last) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches):
-                found = [(n, set(hit)) for n, hit, _ in scan(raw_texts(batch.column(at)), sent.value)]
-                if not first:
-                    found = [(n, hit.union(old)) for (n, hit), old in zip(found, batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
-                    batch = batch.select(list(range(batch.num_columns - 1)))
-                if not last:
-                    hits = pa.array([sorted(hit) for _, hit in found], pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*batch.columns, hits], [*batch.schema.names, carried])
-                    continue
-                keep = pa.array([len(hit) <= max_share * n for n, hit in found], pa.bool_())
-                if any(hit for _, hit in found):
-                    new = pa.array([t if not hit else without(t, hit) for t, (_, hit) in zip(batch.column(at).to_pylist(), found, strict=True)], pa.string())
-                    batch = batch.set_column(at, batch.schema.field(at), new)
-                yield batch.filter(keep)
-
-        docs = docs.mapInArrow(run, schema if last else more)
-    return docs
+    def finish(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        if any(hit for _, hit, _ in found):
+            new = [t if not hit else without(t, set(hit)) for t, (_, hit, _) in zip(batch.column(at).to_pylist(), found, strict=True)]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(new, pa.string()))
+        return batch.filter(pa.array([len(hit) <= max_share * n for n, hit, _ in found], pa.bool_()))
+
+    return _scanned(docs, text, _slices(benchmark, item, text, window, max_windows), finish, docs.schema)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

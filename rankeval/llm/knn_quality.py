@@ -8,7 +8,7 @@ products of blocks, and its nearest ones vote with their similarity, each class
 Defined results: null and empty texts are the text without terms, whose vector is zero: all labelled texts are as near
 and the sample's balance decides (0.5); ties among neighbours are broken by their order in the sample; rows are judged
 each by itself, so repeated rows and empty tables need nothing special; without labels of both classes the score is the
-only class seen, or 0.5; further columns are ignored.
+only class seen, or 0.5; a very long text is one row of terms, read whole; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.llm.common import NOT_SPACE, Words, chunks, pieces, raw_texts, table
+from rankeval.llm.common import NOT_SPACE, Words, chunks, mapped, pieces, raw_texts, table
 from rankeval.llm.labelled import held_out, training_texts
 
 PER_CLASS = 2000
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scored(raw_texts(batch.column(1)), sent.value, neighbours), pa.float64())], ["key", "score"])
 
-    return docs.mapInArrow(run, f"key {docs.schema[0].dataType.simpleString()}, score double").withColumnRenamed("key", key)
+    return mapped(docs, run, f"key {docs.schema[0].dataType.simpleString()}, score double").withColumnRenamed("key", key)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

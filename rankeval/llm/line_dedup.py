@@ -1,14 +1,16 @@
 """Line dedup with DataFrame operations alone.
 
 Lines are exploded, their keys hashed to 128 bits, and per hash the smallest document and whether there is a second one
-are aggregated (partial sums first, so a line that a third of all documents hold costs one row a task). The join that
-tells each line its fate stays an ordinary sort-merge join, which Spark splits where a hash is hot. Texts are cut by
-position.
-
-Defined results: null and empty texts are one empty line; a key under min_chars code points is never dropped; equal rows
-(same id, same text) are cut alike; rows that share an id are one document; null ids are together one document, which
-comes after all others; empty tables give empty tables; further columns are kept by
-dedup_lines(), whatever their names.
+are aggregated (partial sums first, so a line that a third of all documents hold costs one row a task). Each line then
+learns its fate: hashes that hold more than one of HOT_SHARE lines are fewer than HOT_SHARE by arithmetic, so these are
+broadcast and their lines stay where they are; the lines of all others meet their hash by a sort-merge join, none of
+whose keys has more than that share of the rows. Texts are cut by position.
+
+Defined results: null and empty texts are one empty line; a key under min_chars code points is never dropped; of
+documents that tie for a line the one with the smallest id keeps it, on each of its lines; equal rows (same id, same
+text) are cut alike; rows that share an id are one document; null ids are together one document, which comes after all
+others; a very long text is exploded like others and put together again in one row; empty tables give empty tables;
+further columns are kept by dedup_lines(), whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from rankeval.llm.common import staged, table
 #: `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 10
+#: A line is hot if more than one of so many is like it; less than this many can be.
+HOT_SHARE = 2000
 
 
 def line_key(line: Column) -> Column:
@@ -39,14 +43,23 @@ def dropped_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", m
     # A key can't have more characters than its line: short lines go before they are normalised.
     lines = lines.where(F.length("line") >= min_chars).select("id", "text_hash", "pos", line_key(F.col("line")).alias("k")).where(F.length("k") >= min_chars)
     lines = staged(lines.select("id", "text_hash", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("second"), "k").alias("h2")), "lines")
-    held = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("no_id"))
-    held = held.where((F.col("first") != F.col("last")) | (F.col("no_id") & F.col("first").isNotNull())).select("h1", "h2", "first")
-    gone = lines.join(held, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first")))
+    held = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("no_id"), F.count(F.lit(1)).alias("n"))
+    shared = (F.col("first") != F.col("last")) | (F.col("no_id") & F.col("first").isNotNull())
+    hot = F.col("n") * HOT_SHARE > lines.count()
+    held = staged(held.select("h1", "h2", "first", shared.alias("shared"), hot.alias("hot")).where("shared or hot"), "held")
+    hot = F.broadcast(held.where("hot").select("h1", "h2", F.col("first").alias("hot_first"), F.col("shared").alias("hot_shared")))
+    told = lines.join(hot, ["h1", "h2"], "left")
+    here = told.where("hot_shared").select("id", "text_hash", "pos", F.col("hot_first").alias("first"))
+    there = told.where("hot_shared is null").join(held.where("not hot"), ["h1", "h2"]).select("id", "text_hash", "pos", "first")
+    gone = here.unionByName(there).where(~F.col("id").eqNullSafe(F.col("first")))
     return gone.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
-def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, counts: bool = True) -> DataFrame:
-    """docs with the lines gone from text and, with counts, `n_lines` and `n_dropped` added (in place of columns so named)."""
+def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, counts: bool = True, emptied: bool = True) -> DataFrame:
+    """docs with the lines gone from text and, with counts, `n_lines` and `n_dropped` added (in place of columns so named).
+
+    Without emptied, rows that lost lines and are left with blank ones alone go too.
+    """
     gone = dropped_lines(docs, key=key, text=text, min_chars=min_chars)
     d, g = docs.alias("d"), gone.alias("g")
     both = d.join(g, F.col(f"d.{key}").eqNullSafe(F.col("g.id")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("g.text_hash")), "left")
@@ -57,6 +70,8 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
     # The lines are bound once by the outer lambda; the inner one only picks.
     picked = F.transform(F.array(lines), lambda all_: F.array_join(F.transform(kept, lambda p: F.get(all_, p)), "\n"))
     new = F.when(positions.isNull(), F.col(f"d.{text}")).otherwise(F.element_at(picked, 1))
+    if not emptied:
+        both = both.where(positions.isNull() | (F.btrim(new, F.lit(BLANKS)) != ""))
     added = {"n_lines": n_lines.cast("long"), "n_dropped": n_dropped.cast("long")} if counts else {}
     return both.select(*(new.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns if c not in added), *(v.alias(c) for c, v in added.items()))
 

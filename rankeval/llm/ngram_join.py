@@ -16,8 +16,10 @@ pairs of blocks. Equal sets are one node throughout.
 
 Defined results: null, empty and wordless texts have no shingles and are their own component; a text of fewer than k
 words is one shingle; rows with the same id and text are alike; null ids are linked like others, but a component's id is
-the smallest id that is not null (null if there is none); empty tables give empty tables; columns beyond key and text are
-ignored by components() and kept by one_of_each().
+the smallest id that is not null (null if there is none); ties in a prefix go by the shingles' hashes and ties for a
+centre by the digest of the set, neither of which changes a result; a very long text is one set, held whole in memory,
+and is shuffled whole once for each table that it attends; empty tables give empty tables; columns beyond key and text
+are ignored by components() and kept by one_of_each(), whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.llm.common import NOT_SPACE, Words, chunks, pieces, raw_texts, staged, table, unstage
+from rankeval.llm.common import NOT_SPACE, Words, chunks, mapped, pieces, raw_texts, staged, table, unstage
 from rankeval.llm.components import connected
 
 SKETCH_BITS = 21
@@ -96,7 +98,7 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
             n = len(parts)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, key), *(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(run, f"id {kind}, r1 bigint, r2 bigint, n bigint, node binary, part int, counts binary")
+    return mapped(docs, run, f"id {kind}, r1 bigint, r2 bigint, n bigint, node binary, part int, counts binary")
 
 
 def _sketch(described: DataFrame) -> np.ndarray:
@@ -111,7 +113,7 @@ def _sketch(described: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
 
     out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.float32)
-    for part, counts in described.where("part is not null").select("part", "counts").repartition("part").mapInArrow(run, "part int, counts binary").collect():
+    for part, counts in mapped(described.where("part is not null").select("part", "counts").repartition("part"), run, "part int, counts binary").collect():
         out[part] = np.frombuffer(counts, np.float32)
     return out.ravel()
 
@@ -145,7 +147,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
             flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(need, pa.int32()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), flat)], ["r1", "r2", "n", "need", "tokens"])
 
-    return docs.mapInArrow(run, "r1 bigint, r2 bigint, n bigint, need int, tokens array<bigint>")
+    return mapped(docs, run, "r1 bigint, r2 bigint, n bigint, need int, tokens array<bigint>")
 
 
 class Groups:
@@ -288,7 +290,7 @@ def _table_links(attending: DataFrame, k: int, percent: int, counted: bool) -> D
         if held:
             yield from links()
 
-    return attending.mapInArrow(run, "u binary, v binary, n bigint")
+    return mapped(attending, run, "u binary, v binary, n bigint")
 
 
 def links(docs: DataFrame, described: DataFrame, k: int, percent: int, table_rows: int = TABLE_ROWS, counted: bool = False) -> DataFrame:
@@ -355,9 +357,14 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: i
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *more)
 
 
+def lesser(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The keys of documents that are similar, directly or through others, to one with a smaller key."""
+    return components(docs, key=key, text=text, k=k, percent=percent).where(F.col("component_id") < F.col(key)).select(key).distinct()
+
+
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """docs less all documents of a component but the one with the smallest key; null keys stay, and so do all rows of that key."""
-    gone = components(docs, key=key, text=text, k=k, percent=percent).where(F.col("component_id") < F.col(key)).select(F.col(key).alias("_gone")).distinct()
+    gone = lesser(docs, key=key, text=text, k=k, percent=percent).withColumnRenamed(key, "_gone")
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
 
 

@@ -4,7 +4,8 @@ ledger() measures every text once and sets a bit for each rule that it fails; a
 so policies are applied, compared and ablated on the ledger without another look at the texts.
 
 Defined results: null and empty texts have no words, all measurements 0, and fail `few_words`; every row is judged by
-itself, so ties, repeated rows and empty tables need nothing special; further columns are ignored by ledger().
+itself, so ties, repeated rows and empty tables need nothing special; a very long text is measured whole, its windows
+held in one row's array; further columns are ignored by ledger(), whatever their names.
 """
 
 from __future__ import annotations

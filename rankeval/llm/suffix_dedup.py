@@ -14,8 +14,10 @@ with two places or more are looked at again, so unrepeated text is never sorted.
 - A bucket with more than ``hot_places`` different neighbourhoods is dealt out by the digest of each whole string instead.
 
 Defined results: null is the empty text; texts shorter than ``length`` lose nothing; equal rows are two places each, so
-they repeat; overlapping repeats within a text count; null ids are kept; an empty table gives an empty table; further
-columns are ignored by repeats() and kept by without_repeats().
+they repeat; overlapping repeats within a text count; of equal strings none comes first, all of them go; a very long text
+is read whole, alone, in memory in proportion to its length, and its repeats are cut like others; null ids are kept; an
+empty table gives an empty table; further columns are ignored by repeats() and kept by without_repeats(), whatever their
+names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.llm.common import CHUNK_BYTES, chunks, pieces, powers, prefix_hash, raw_texts, staged, table, unstage
+from rankeval.llm.common import CHUNK_BYTES, chunks, mapped, pieces, powers, prefix_hash, raw_texts, staged, table, unstage
 
 LENGTH = 400
 GRAM = 100
@@ -97,7 +99,7 @@ def _described(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     names,
                 )
 
-    return docs.mapInArrow(run, f"id {kind}, r1 bigint, r2 bigint, n_bytes bigint, sha string, pos array<int>, h array<bigint>, lo array<int>, hi array<int>, d array<bigint>")
+    return mapped(docs, run, f"id {kind}, r1 bigint, r2 bigint, n_bytes bigint, sha string, pos array<int>, h array<bigint>, lo array<int>, hi array<int>, d array<bigint>")
 
 
 class Block:
@@ -191,7 +193,7 @@ def _neighbourhoods(places: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
     kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 2
-    return places.mapInArrow(run, "h bigint, r1 bigint, r2 bigint, pos int, lo int, hi int, part binary, string binary")
+    return mapped(places, run, "h bigint, r1 bigint, r2 bigint, pos int, lo int, hi int, part binary, string binary")
 
 
 def _sorted_repeats(parts: DataFrame, length: int, block_bytes: int) -> DataFrame:
@@ -227,7 +229,7 @@ def _sorted_repeats(parts: DataFrame, length: int, block_bytes: int) -> DataFram
         if rows:
             yield from solved(rows)
 
-    return parts.mapInArrow(run, "r1 bigint, r2 bigint, lo int, hi int")
+    return mapped(parts, run, "r1 bigint, r2 bigint, lo int, hi int")
 
 
 def _cut(text: bytes, starts: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:
@@ -275,7 +277,7 @@ def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
             cut = [_cut(t, [(s["lo"], s["hi"]) for s in x], length) for x, t in zip(batch.column(2).to_pylist(), raw_texts(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int64()), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut])], ["r1", "r2", "n_removed", "n_spans", "kept"])
 
-    cut = docs.select("r1", "r2", "text").join(starts, ["r1", "r2"]).select("r1", "r2", "starts", "text").mapInArrow(run, "r1 bigint, r2 bigint, n_removed bigint, n_spans bigint, kept string")
+    cut = mapped(docs.select("r1", "r2", "text").join(starts, ["r1", "r2"]).select("r1", "r2", "starts", "text"), run, "r1 bigint, r2 bigint, n_removed bigint, n_spans bigint, kept string")
     cut = staged(cut, "cut").groupBy("r1", "r2").agg(F.min("n_removed").alias("n_removed"), F.min("n_spans").alias("n_spans"), F.min("kept").alias("kept"))  # repeated rows are one
     zero = F.lit(0).cast("long")
     return rows.join(cut, ["r1", "r2"], "left").select(F.col("id").alias(key), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
@@ -283,20 +285,20 @@ def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
 
 def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, **how) -> DataFrame:
     """docs with the repeated strings gone from text; a character that loses some of its bytes becomes U+FFFD."""
-    names = docs.columns
-    keyed = docs.withColumns({"_r1": F.xxhash64(key, text), "_r2": F.xxhash64(F.lit("second"), key, text)})
     _, starts = repeats(_keyed(docs, key, text), length=length, **how)
-    at = names.index(text)
+    # The caller's columns travel in one struct, so their names meet none of these.
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(key, text).alias("r1"), F.xxhash64(F.lit("second"), key, text).alias("r2"), F.col(text).alias("text"))
+    both = keyed.join(starts, ["r1", "r2"], "left").select("row", "text", "starts")
+    names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            new = [t if x is None else _cut(t.encode(), [(s["lo"], s["hi"]) for s in x], length)[0].decode(errors="replace") for x, t in zip(batch.column(len(names)).to_pylist(), batch.column(at).to_pylist(), strict=True)]
-            out = batch.select(range(len(names)))
-            yield out.set_column(at, out.schema.field(at), pa.array(new, pa.string()))
+            new = [t if x is None else _cut(t.encode(), [(s["lo"], s["hi"]) for s in x], length)[0].decode(errors="replace") for x, t in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            columns = batch.column(0).flatten()
+            columns[at] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    s = starts.withColumnsRenamed({"r1": "_s1", "r2": "_s2", "starts": "_starts"})
-    both = keyed.join(s, (F.col("_r1") == F.col("_s1")) & (F.col("_r2") == F.col("_s2")), "left").select(*names, "_starts")
-    return both.mapInArrow(run, docs.schema)
+    return mapped(both, run, docs.schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ spans, and the expected number of toxic words gives the document's score by a lo
 
 Defined results: null, empty and wordless texts have no spans and the score of no toxic words; each row is judged by
 itself, so ties, repeated rows and empty tables need nothing special; without labels of both classes nothing is toxic
-(score 0); further columns are ignored by tag() and kept by without_toxic().
+(score 0); a very long text is one chain, scored whole in memory in proportion to its length; further columns are ignored
+by tag() and kept by without_toxic(), whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.llm.common import ALNUM, CHUNK_BYTES, Words, chunks, mixed, pieces, prefix_hash, range_hash, raw_texts, table
+from rankeval.llm.common import ALNUM, CHUNK_BYTES, Words, chunks, mapped, mixed, pieces, prefix_hash, range_hash, raw_texts, table
 from rankeval.llm.labelled import held_out, training_texts
 
 #: Bound on the labelled rows of each class that the model is fitted on.
@@ -276,7 +277,7 @@ def tag(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text
             spans = pa.array([[{"from": s, "to": e, "score": x} for s, e, x in r[2]] for r in rows], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), spans], ["key", "n_words", "score", "spans"])
 
-    return docs.mapInArrow(run, f"key {docs.schema[0].dataType.simpleString()}, n_words bigint, score double, spans array<struct<`from`: int, `to`: int, score: double>>").withColumnRenamed("key", key)
+    return mapped(docs, run, f"key {docs.schema[0].dataType.simpleString()}, n_words bigint, score double, spans array<struct<`from`: int, `to`: int, score: double>>").withColumnRenamed("key", key)
 
 
 def without_toxic(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -287,7 +288,7 @@ def without_toxic(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD
         for batch in pieces(batches):
             yield batch.filter(pa.array([s < threshold for _, s, _ in scored(raw_texts(batch.column(at)), sent.value)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

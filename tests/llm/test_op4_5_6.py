@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rankeval.llm import bpe, chat, decontaminate
 
@@ -76,6 +77,16 @@ def test_cleaning_does_not_depend_on_the_slices(spark):
     assert cut[0][1] == "x " * 30 + " y" and cut[1][1] == "x " * 30 + "left  right"
 
 
+@pytest.mark.parametrize("max_windows", [1, 2, 10**6])
+def test_rows_that_share_an_id_are_judged_apart_in_any_number_of_slices(spark, max_windows):
+    one, two = " ".join(f"a{i}" for i in range(10)), " ".join(f"b{i}" for i in range(10))
+    other = " ".join(f"c{i}" for i in range(10))
+    d = spark.createDataFrame([(11, one), (11, two), (11, other), (11, one), (None, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, one), (2, "not there at all"), (3, two)], "item_id long, text string").coalesce(1)
+    got = sorted((str(r[0]), len(r[2]), r[3]) for r in decontaminate.hits(d, b, max_windows=max_windows).collect())
+    assert got == [("11", 0, []), ("11", 10, ["1"]), ("11", 10, ["1"]), ("11", 10, ["3"]), ("None", 0, [])]
+
+
 def test_bpe_is_tiktoken(spark):
     import tiktoken
 
@@ -85,6 +96,7 @@ def test_bpe_is_tiktoken(spark):
     texts = ["", None, "a" * 3000, "abab" * 200, " \n\n x's", "".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 0x3000), 0x1F600])) for _ in range(9000)), "dup", "dup"]
     texts += ["".join(r.choice(list(c.ranks)).decode("utf8", "ignore") for _ in range(30)) for _ in range(200)]
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
+    assert bpe.encode(docs, keep=("doc_id", "n_tokens"), returns=("n_tokens",)).columns == ["doc_id", "n_tokens"]
     got = {r.doc_id: r for r in bpe.encode(docs).collect()}
     for i, t in enumerate(texts):
         assert got[i].token_ids == enc.encode_ordinary(t or "") and bytes(got[i].decoded) == (t or "").encode()
@@ -121,8 +133,10 @@ def test_chat_edges(spark, run_chars):
         loss = "".join(t for r, t in turns if r == "assistant")
         assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-    whole = chat.formatted(df).where("conv_id = 5").first()
-    assert len(whole.token_ids) == len(whole.loss_mask) and sum(whole.loss_mask) > 0
+    text_ids = df.withColumn("conv_id", F.col("conv_id").cast("string"))
+    whole, runs = (sorted((tuple(r) for r in chat.formatted(text_ids, run_chars=n).collect()), key=str) for n in (10**9, run_chars))
+    assert whole == runs and [r[0] for r in whole] == ["1", "5", None]
+    assert all(len(ids) == len(mask) for _, _, ids, mask in whole) and sum(whole[1][3]) > 0
     assert chat.digests(df.limit(0)).count() == 0
 
 

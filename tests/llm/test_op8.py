@@ -56,6 +56,17 @@ def test_texts_and_empty_table(spark):
     assert suffix_dedup.digests(df.limit(0)).count() == 0
 
 
+def test_columns_of_any_name_and_a_very_long_text(spark):
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(450))
+    huge = "".join(r.choice("ijklmnop ") for _ in range(1_500_000))
+    rows = [(1, huge + passage, "a", "b", "c", 1), (2, f"x{passage}y", "a", "b", "c", 2), (3, huge[5000:5400], "a", "b", "c", 3), (4, huge[7000:7399], "a", "b", "c", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _r1 string, _starts string, r2 string, row int")
+    out = suffix_dedup.without_repeats(df).orderBy("doc_id").collect()
+    assert [x.text for x in out] == [huge[:5000] + huge[5400:], "xy", "", rows[3][1]]
+    assert [tuple(x)[2:] for x in out] == [x[2:] for x in rows]
+
+
 def test_difference_cover():
     for v in (32, 64, 100):
         d = set(suffix_dedup.difference_cover(v).tolist())
