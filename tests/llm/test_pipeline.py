@@ -66,8 +66,9 @@ def brute(spark):
             windows.setdefault(n, set()).add(tuple(w[i : i + n]))
     out = {}
     for d, t in docs.items():
-        at = [m.span() for m in WORD.finditer(lower(t))]
-        w = [lower(t)[a:b] for a, b in at]
+        low = lower(t)
+        at = [m.span() for m in WORD.finditer(low)]
+        w = [low[a:b] for a, b in at]
         hit = {p for n, ws in windows.items() for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in ws for p in range(i, i + n)}
         if len(hit) > 0.5 * len(w):
             continue
