@@ -3,7 +3,7 @@
 fit() labels the words of labelled documents: a word is toxic where its document is and where it, or its beginning,
 belongs to toxic documents far more than to others. A chain of two states is trained on these by gradient ascent on the
 conditional likelihood. At scoring, forward-backward gives each word's marginal; runs of words over 0.5 are the offending
-spans, and the expected number of toxic words gives the document's score by a logistic curve fitted on other rows.
+spans, and the expected number of toxic words in them and their share give the document's score by a logistic curve.
 
 Defined results: null, empty and wordless texts have no spans and the score of no toxic words; each row is judged by
 itself, so ties, repeated rows and empty tables need nothing special; without labels of both classes nothing is toxic
@@ -127,11 +127,11 @@ class _Learnt:
 
 
 def fit(rows: list[tuple[bytes, int]], *, epochs: int = 8, rate: float = 0.3, l2: float = 1e-6) -> Model:
-    """The chain from four fifths of the rows, the document curve from the others."""
+    """The chain from four fifths of the rows, the document curve from all of them: a fifth holds too few toxic ones to place it."""
     none = Model(np.zeros(1 << BITS, np.float32), -20.0, np.ones((2, 2)), np.array([0.0, 0.0, -50.0]))
     if len(Counter(y for _, y in rows)) < 2:
         return none
-    learn, other = [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if not i % 5]
+    learn = [r for i, r in enumerate(rows) if i % 5]
     w = _Learnt.of([t for t, _ in learn])
     labels = w.labels(np.array([y == 1 for _, y in learn]))
     if not labels.any():
@@ -173,11 +173,11 @@ def fit(rows: list[tuple[bytes, int]], *, epochs: int = 8, rate: float = 0.3, l2
             bias += step[0]
             moves.ravel()[1:] += step[1:4]
     model = Model(weights.astype(np.float32), float(bias), np.exp(np.clip(moves, -8, 8)), np.zeros(3))
-    texts, x = [t for t, _ in other], []
+    texts, x = [t for t, _ in rows], []
     for a, b in chunks(texts):
         part = Words(texts[a:b], ALNUM)
         x.append(document_features(part, _marginals_of(part, model)))
-    model.curve = _logistic(np.concatenate(x), np.array([y for _, y in other], float))
+    model.curve = _logistic(np.concatenate(x), np.array([y for _, y in rows], float))
     return model
 
 

@@ -77,6 +77,16 @@ def test_held_out_accuracy(spark):
         assert df.count() == 1000 and df.where("score between 0 and 1").count() == 1000
 
 
+def test_held_out_recall_of_toxic_documents(spark):
+    """Of held-out rows labelled toxic most are found, none of the others is: some labels have no toxic word to go by."""
+    sf = "/root/testdata/sf0.1"
+    x = toxicity.op2(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    toxic, other = x[x.toxic == 1], x[x.toxic == 0]
+    assert len(toxic) > 100 and toxic.predicted.mean() >= 0.9 and other.predicted.mean() < 0.01
+    below = np.searchsorted(np.sort(other.score), toxic.score.to_numpy(), "left") + np.searchsorted(np.sort(other.score), toxic.score.to_numpy(), "right")
+    assert below.mean() / 2 / len(other) > 0.95  # the area under the curve
+
+
 def test_neighbours_against_brute_force_and_edges(spark):
     r = random.Random(2)
     rows = [(("GOOD words here " if y else "bad!! bad!! ").encode() * r.randrange(1, 5) + str(i).encode(), y) for i in range(80) for y in [i % 3 == 0]]
