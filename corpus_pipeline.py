@@ -35,24 +35,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return _sized(line_dedup.dedup_lines(docs, counts=False, emptied=False), docs.columns)
 
 
-def _unedited(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and raw text of the rows whose lines are all lines of the document that has their id."""
-    raw = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw"))
-    lines = lambda c: F.split(c, "\n", -1)
-    left = F.size(F.array_except(lines("text"), lines("raw"))) == 0
-    return docs.select("doc_id", "text").join(raw, "doc_id").where((F.col("text") == F.col("raw")) | left).select("doc_id", F.col("raw").alias("text"))
-
-
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id.
-
-    Documents are compared as they come, and as they were before the stage in front cut the lines that they share: what is
-    left of a near copy behind that stage does not resemble its original any more. A text that is not left of the raw
-    document with its id (a table of other documents) is compared as it comes alone.
-    """
-    compared = [docs.select("doc_id", "text"), _unedited(spark, docs, sf_dir)]
-    gone = [settled(lambda rows=rows: ngram_join.lesser(rows, k=SHINGLE_WORDS, percent=SIMILAR_PERCENT), "copies") for rows in compared]
-    gone = gone[0].unionByName(gone[1]).distinct().withColumnRenamed("doc_id", "_gone")
+    """One document of each group of near copies stays, the one with the smallest id; texts are compared as they come."""
+    gone = settled(lambda: ngram_join.lesser(docs, k=SHINGLE_WORDS, percent=SIMILAR_PERCENT), "copies").withColumnRenamed("doc_id", "_gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
