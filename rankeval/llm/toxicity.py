@@ -173,6 +173,7 @@ def fit(rows: list[tuple[bytes, int]], *, epochs: int = 8, rate: float = 0.3, l2
             bias += step[0]
             moves.ravel()[1:] += step[1:4]
     model = Model(weights.astype(np.float32), float(bias), np.exp(np.clip(moves, -8, 8)), np.zeros(3))
+    del w, places, labels  # the curve's rows need their own memory
     texts, x = [t for t, _ in rows], []
     for a, b in chunks(texts):
         part = Words(texts[a:b], ALNUM)
