@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankeval.session import ship
+
 
 class SplitError(ValueError):
     """Sides overlap, or the small slice is not within its side."""
@@ -49,10 +51,31 @@ def shuffled(rows: DataFrame, seed: int, *, key: str = "instance_id", group: str
         cut = round(len(ids) * 0.5)
         return pd.DataFrame({key: ids, group: pdf[group].iloc[0], "side": ["dev" if i < cut else "test" for i in range(len(ids))], "pos": range(1, len(ids) + 1)})
 
+    ship(rows.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.select(key, group).groupBy(group).applyInPandas(deal, f"{key} {kinds[key]}, {group} {kinds[group]}, side string, pos long")
 
 
+def seeded_sample(rows: DataFrame, n: int, *, seed: int = 0, key: str = "instance_id") -> DataFrame:
+    """(key, ord): n of the sorted ids by Python's generator, in its order; all of them, shuffled, if there are no more.
+
+    The generator draws places in the sorted list, so only its n draws and one count reach the driver; a place is found by
+    counting the ids in front of it, partition by partition.
+    """
+    ids = rows.select(key).repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
+    sizes = {r.part: r.n for r in ids.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(sizes.values())
+    drawn = random.Random(seed).sample(range(total), min(n, total))
+    before, starts = 0, {}
+    for part in sorted(sizes):
+        starts[part], before = before, before + sizes[part]
+    spark = rows.sparkSession
+    first = spark.createDataFrame(sorted(starts.items()), "part int, first long")
+    picks = spark.createDataFrame(list(zip(drawn, range(len(drawn)), strict=True)), "at long, ord long")
+    at = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    return ids.withColumn("within", at).join(F.broadcast(first), "part").withColumn("at", F.col("first") + F.col("within")).join(F.broadcast(picks), "at").select(key, "ord").orderBy("ord")
+
+
 def ci_slice(split: DataFrame, quotas: DataFrame, *, key: str = "instance_id", group: str = "group") -> DataFrame:
     """The first rows of each group's dev side, as many as its quota."""
     return split.where("side = 'dev'").join(quotas.select(group, "quota"), group).where(F.col("pos") <= F.col("quota")).select(key, group)

@@ -12,6 +12,17 @@ def cache_key(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws(",", *quoted).cast("binary"), 256)
 
 
+def agent_key(messages: Column | str, tools: Column | str) -> Column:
+    """The key of an agent's step: the whole transcript and the schemas of the tools that were on offer.
+
+    messages: array of (type, content, tool_calls, tool_call_id); tools: array of schemas as text. A null in a message is as
+    an empty text or list; with other tools the same transcript is another question. The word in front keeps these keys
+    apart from those of plain replies.
+    """
+    m = F.transform(messages, lambda x: F.struct(*(F.coalesce(x[c], F.lit("")).alias(c) for c in ("type", "content", "tool_call_id")), F.coalesce(x["tool_calls"].cast("string"), F.lit("[]")).alias("tool_calls")))
+    return F.sha2(F.concat_ws("\n", F.lit("agent"), F.to_json(m), F.coalesce(F.to_json(tools), F.lit("[]"))).cast("binary"), 256)
+
+
 def lookup(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """requests with the reply of the same `key` and `cached`. A reply that is not whole (null text) is a miss."""
     known = responses.where(F.col("text").isNotNull()).groupBy("key").agg(F.max(F.struct("text", "cost")).alias("r"))

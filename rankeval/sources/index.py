@@ -57,6 +57,11 @@ def append(vectors: DataFrame, root: str, model: Model) -> None:
         spark.createDataFrame([(model.name, model.revision, model.dimensions)], "name string, revision string, dimensions int").coalesce(1).write.json(meta)
 
 
+def query_texts(queries: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """queries with what the model wants in front of a query; documents go to the encoder as they are."""
+    return queries.withColumn(text, F.concat(F.lit(model.query_prefix), F.coalesce(F.col(text), F.lit(""))))
+
+
 def require(tree: DataFrame, index: DataFrame) -> None:
     lost = [r[0] for r in tree.select("blob").distinct().join(index.select("blob").distinct(), "blob", "left_anti").limit(5).collect()]
     if lost:

@@ -11,6 +11,8 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from rankeval.session import ship
+
 #: HTTP states worth another try, the number of tries, and the waits in seconds.
 RETRY = frozenset({408, 429, 500, 502, 503, 504})
 TRIES, FIRST_WAIT, LONGEST_WAIT = 8, 2.0, 120.0
@@ -29,6 +31,26 @@ class RemoteError(RuntimeError):
     """No usable reply after all tries."""
 
 
+class MissingKey(RemoteError):
+    """The setting that holds the API key is not there, or empty."""
+
+
+class BudgetSpent(RemoteError):
+    """The next call would go over the budget."""
+
+
+def api_key(name: str) -> str:
+    if key := os.environ.get(name, "").strip():
+        return key
+    raise MissingKey(f"{name} is not set")
+
+
+def within_budget(spent: float, calls: int, cap: float) -> None:
+    """Refuse a call that would, at the mean price so far, go over the cap."""
+    if spent >= cap or (calls and spent + spent / calls > cap):
+        raise BudgetSpent(f"{spent:.4f} of {cap:.4f} spent by {calls} calls")
+
+
 def wait_before(attempt: int, retry_after: float | None = None) -> float:
     """Seconds before try attempt + 2: twice as long each time, unless the other side says when."""
     return retry_after if retry_after is not None else min(FIRST_WAIT * 2**attempt, LONGEST_WAIT)
@@ -62,6 +84,7 @@ def replies(requests: DataFrame, call: Callable[[str], dict]) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([{"key": k} | call(p) for k, p in zip(batch["key"], batch["prompt"], strict=True)], columns=names)
 
+    ship(requests.sparkSession)
     return requests.select("key", "prompt").mapInPandas(run, REPLY)
 
 

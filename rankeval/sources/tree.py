@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 import subprocess
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +30,47 @@ def slug(repo: str) -> str:
     return repo.replace("/", "__")
 
 
+def has_clone(root: str, repo: str) -> bool:
+    return Path(root, slug(repo)).is_dir()
+
+
+def has_commit(root: str, repo: str, commit: str) -> bool:
+    return has_clone(root, repo) and not subprocess.run(["git", "-C", f"{root}/{slug(repo)}", "cat-file", "-e", f"{commit}^{{commit}}"], capture_output=True).returncode
+
+
+def read_blob(root: str, repo: str, blob: str) -> str:
+    """One content by its hash; CommitUnavailable if it is not there. Bytes that are no UTF-8 become U+FFFD."""
+    return git(f"{root}/{slug(repo)}", "cat-file", "blob", blob).decode(errors="replace")
+
+
+def read_file(root: str, repo: str, commit: str, path: str) -> str:
+    """One file as it was at a commit; CommitUnavailable if either is not there."""
+    return read_blob(root, repo, f"{commit}:{path}")
+
+
+def listing(root: str, repo: str, commit: str, cache: str | None = None) -> list[tuple[str, str]]:
+    """(path, blob) of every file at a commit, submodules left out.
+
+    With cache (a folder) a listing is kept there: a commit's tree never changes, so an entry stays right. Entries appear
+    whole, by a rename of a file of their own; one that can't be read is made again.
+    """
+    entry = Path(cache, slug(repo), f"{commit}.json") if cache else None
+    if entry:
+        with contextlib.suppress(OSError, ValueError):
+            return [(p, b) for p, b in json.loads(entry.read_text())]
+    out = []
+    for line in git(f"{root}/{slug(repo)}", "ls-tree", "-r", "-z", commit).decode(errors="replace").split("\0"):
+        meta, _, path = line.partition("\t")
+        if path and meta.split()[1] == "blob":
+            out.append((path, meta.split()[2]))
+    if entry:
+        entry.parent.mkdir(parents=True, exist_ok=True)
+        own = entry.with_name(f"{entry.name}.{uuid.uuid4().hex}")
+        own.write_text(json.dumps(out))
+        own.replace(entry)
+    return out
+
+
 def code_version(root: str) -> str:
     """Short commit, -dirty with uncommitted changes; unknown outside a repository."""
     try:
@@ -42,16 +87,14 @@ class _Part(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, with_text: bool):
         self.root, self.pins, self.with_text = options["root"], [x.split("@") for x in options["pins"].split(",")], with_text
+        self.cache = options.get("cache")
 
     def partitions(self):
         return [_Part(*p) for p in self.pins]
 
     def read(self, part: _Part):
         clone = f"{self.root}/{slug(part.repo)}"
-        entries = []
-        for line in git(clone, "ls-tree", "-r", "-z", part.commit).decode(errors="replace").split("\0"):
-            if line and (meta := line.partition("\t")) and meta[0].split()[1] == "blob":  # no submodules
-                entries.append((meta[2], meta[0].split()[2]))
+        entries = listing(self.root, part.repo, part.commit, self.cache)
         if not self.with_text:
             yield from ((part.repo, part.commit, p, b) for p, b in entries)
             return
@@ -67,7 +110,10 @@ class _Reader(DataSourceReader):
 
 
 class GitTree(DataSource):
-    """spark.read.format("git_tree").option("root", clones).option("pins", "owner/name@commit,...").load()"""
+    """spark.read.format("git_tree").option("root", clones).option("pins", "owner/name@commit,...").load()
+
+    With option("cache", folder) listings are kept and read from there.
+    """
 
     @classmethod
     def name(cls) -> str:

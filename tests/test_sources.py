@@ -1,12 +1,13 @@
+import random
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
-from rankeval.operators import agent
+from rankeval.operators import agent, splits
 from rankeval.operators.dense import hashed_encoder
 from rankeval.plans import report, rungs
-from rankeval.sources import cache, dataset, index, remote, runs, tree
+from rankeval.sources import cache, dataset, index, remote, runs, split_file, tree
 from rankeval.streaming import incremental
 
 PROVENANCE = runs.Provenance("abc-dirty", "d", "rev", "dev", 7, "run it", "2026-01-01")
@@ -39,22 +40,26 @@ def test_broken_predictions_are_refused(spark, row):
         runs.checked(predictions(spark, [row])).collect()
 
 
+#: What each commit of the shop's repository writes (None: deletes).
+HISTORY = [
+    {"shop/stock.py": "LEVEL = 3\n", "shop/cart.py": "class Cart: ...\n", "spec/cart_test.py": "check\n", "notes.txt": "to do\n"},
+    {"shop/audit.py": "TRAIL = []\n", "shop/cart.py": "def refund(): ...\n"},
+    {"notes.txt": None, "shop/stock.py": None},
+]
+
+
 @pytest.fixture(scope="module")
 def clone(tmp_path_factory):
-    root = tmp_path_factory.mktemp("clones")
-    repo = root / "own__name"
-    repo.mkdir()
-    git = lambda *a: subprocess.run(["git", "-C", repo, "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, text=True).stdout.strip()
-    git("init", "-q")
-    pins = []
-    for files in ({"pkg/core.py": "def first(): ...\n", "pkg/util.py": "SHARED = 1\n", "tests/test_core.py": "x\n", "README.md": "# docs\n"}, {"pkg/core.py": "def second(): ...\n", "pkg/added.py": "NEW = True\n"}):
-        for name, body in files.items():
-            (repo / name).parent.mkdir(exist_ok=True)
-            (repo / name).write_text(body)
-        git("add", ".")
-        git("commit", "-qm", "x")
-        pins.append(git("rev-parse", "HEAD"))
-    return root, pins
+    """(folder of clones, its commits): one import stream makes the whole history."""
+    root, stream = tmp_path_factory.mktemp("clones"), []
+    for n, files in enumerate(HISTORY, 1):
+        stream.append(f"commit refs/heads/main\nmark :{n}\ncommitter t <t@t> {n} +0000\ndata 1\nx\n" + (f"from :{n - 1}\n" if n > 1 else ""))
+        stream += [f"D {path}\n" if body is None else f"M 100644 inline {path}\ndata {len(body)}\n{body}\n" for path, body in files.items()]
+    repo = str(root / "own__name")
+    subprocess.run(["git", "init", "-q", "-b", "main", repo], check=True)
+    subprocess.run(["git", "-C", repo, "fast-import", "--quiet"], input="".join(stream).encode(), check=True)
+    log = subprocess.run(["git", "-C", repo, "rev-list", "--reverse", "main"], check=True, capture_output=True, text=True)
+    return root, log.stdout.split()
 
 
 def test_git_trees(spark, clone):
@@ -62,38 +67,92 @@ def test_git_trees(spark, clone):
     tree.register(spark)
     load = lambda kind, pin: spark.read.format(kind).option("root", str(root)).option("pins", f"own/name@{pin}").load()
     first = load("git_tree", pins[0])
-    assert {r.path for r in tree.source_files(first).collect()} == {"pkg/core.py", "pkg/util.py"}
+    assert {r.path for r in tree.source_files(first).collect()} == {"shop/cart.py", "shop/stock.py"}
     assert load("git_tree", pins[1]).count() == 5
     both = spark.read.format("git_blobs").option("root", str(root)).option("pins", f"own/name@{pins[0]},own/name@{pins[1]}").load().select("blob", "text").distinct()
     texts = {r.text for r in tree.wanted_blobs(first, both).collect()}
-    assert texts == {"def first(): ...\n", "SHARED = 1\n", "x\n", "# docs\n"}
+    assert texts == {"class Cart: ...\n", "LEVEL = 3\n", "check\n", "to do\n"}
     with pytest.raises(tree.CommitUnavailable):
         tree.git(str(root / "own__name"), "cat-file", "-p", "f" * 40)
+    assert load("git_tree", pins[2]).count() == 3
     assert tree.code_version(str(root / "own__name")) and tree.code_version("/") == "unknown"
     files = tree.source_files(load("git_tree", pins[1])).select(F.lit("own").alias("corpus"), "path", "blob")
-    q = spark.createDataFrame([("q", "own", "second call fails in pkg/core.py")], "query string, corpus string, text string")
+    q = spark.createDataFrame([("q", "own", "refund call fails in shop/cart.py")], "query string, corpus string, text string")
     t = {"files": files, "blobs": both, "queries": q}
     for name in ("bm25", "bm25-chunks", "bm25-chunks-bodies"):
         got = [r.doc for r in rungs.RUNGS[name](t).orderBy("rank").collect()]
-        assert sorted(got) == ["pkg/added.py", "pkg/core.py", "pkg/util.py"] and got[0] == "pkg/core.py", name
-    t["vectors"] = spark.createDataFrame([("own", "pkg/util.py", 0, [1.0, 0.0]), ("own", "pkg/core.py", 0, [0.6, 0.8]), ("own", "pkg/core.py", 1, [0.0, 1.0])], "corpus string, path string, pos int, embedding array<float>")
+        assert sorted(got) == ["shop/audit.py", "shop/cart.py", "shop/stock.py"] and got[0] == "shop/cart.py", name
+    t["vectors"] = spark.createDataFrame([("own", "shop/stock.py", 0, [1.0, 0.0]), ("own", "shop/cart.py", 0, [0.6, 0.8]), ("own", "shop/cart.py", 1, [0.0, 1.0])], "corpus string, path string, pos int, embedding array<float>")
     t["query_vectors"] = spark.createDataFrame([("q", "own", [0.0, 1.0])], "query string, corpus string, query_embedding array<float>")
-    assert [r.doc for r in rungs.embed(t).orderBy("rank").collect()] == ["pkg/core.py", "pkg/util.py"]
+    assert [r.doc for r in rungs.embed(t).orderBy("rank").collect()] == ["shop/cart.py", "shop/stock.py"]
     base = rungs.hybrid(t)
-    assert [r.doc for r in base.orderBy("rank").collect()] == ["pkg/core.py", "pkg/util.py", "pkg/added.py"]
-    reply = spark.createDataFrame([("q", "pkg/util.py\nother/x.py")], "query string, text string")
-    assert [r.doc for r in rungs.reply_reranked(base, reply, 2).orderBy("rank").collect()] == ["pkg/util.py", "pkg/core.py", "pkg/added.py"]
-    t["replies"] = spark.createDataFrame([("q", "m1", "pkg/util.py"), ("q", "m2", "pkg/added.py")], "query string, model string, text string")
-    assert [r.doc for r in rungs.rerank_with("m2")(t).orderBy("rank").collect()][0] == "pkg/added.py"
-    t["pair_scores"] = spark.createDataFrame([("q", "pkg/added.py", 2.0)], "query string, doc string, rescore double")
-    assert [r.doc for r in rungs.RUNGS["cross-encoder"](t).orderBy("rank").collect()][0] == "pkg/added.py"
+    assert [r.doc for r in base.orderBy("rank").collect()] == ["shop/cart.py", "shop/stock.py", "shop/audit.py"]
+    reply = spark.createDataFrame([("q", "shop/stock.py\nother/x.py")], "query string, text string")
+    assert [r.doc for r in rungs.reply_reranked(base, reply, 2).orderBy("rank").collect()] == ["shop/stock.py", "shop/cart.py", "shop/audit.py"]
+    t["replies"] = spark.createDataFrame([("q", "m1", "shop/stock.py"), ("q", "m2", "shop/audit.py")], "query string, model string, text string")
+    assert [r.doc for r in rungs.rerank_with("m2")(t).orderBy("rank").collect()][0] == "shop/audit.py"
+    t["pair_scores"] = spark.createDataFrame([("q", "shop/audit.py", 2.0)], "query string, doc string, rescore double")
+    assert [r.doc for r in rungs.RUNGS["cross-encoder"](t).orderBy("rank").collect()][0] == "shop/audit.py"
     pairs = {r.doc: r.text for r in rungs.pair_texts(t, base).collect()}
-    assert pairs["pkg/core.py"] == "pkg/core.py\ndef second()\ndef second(): ..." and len(pairs) == 3
+    assert pairs["shop/cart.py"] == "shop/cart.py\ndef refund()\ndef refund(): ..." and len(pairs) == 3
     call = lambda name, *paths: [(name, list(paths), False, False)]
-    t["steps"] = spark.createDataFrame([("q", 0, "", 0.1, 1.0, call("read_file", "README.md")), ("q", 1, "", 0.1, 1.0, call("submit_ranking", "README.md", "nope"))], agent.STEP_SCHEMA)
-    t["steps"] = t["steps"].union(spark.createDataFrame([("q", 2, "", 0.1, 1.0, call("submit_ranking", "pkg/util.py"))], agent.STEP_SCHEMA))
+    t["steps"] = spark.createDataFrame([("q", 0, "", 0.1, 1.0, call("read_file", "notes.txt")), ("q", 1, "", 0.1, 1.0, call("submit_ranking", "notes.txt", "nope"))], agent.STEP_SCHEMA)
+    t["steps"] = t["steps"].union(spark.createDataFrame([("q", 2, "", 0.1, 1.0, call("submit_ranking", "shop/stock.py"))], agent.STEP_SCHEMA))
     for name in ("agent", "agent-no-tools"):
-        assert [r.doc for r in rungs.RUNGS[name](t).orderBy("rank").collect()] == ["pkg/util.py", "pkg/core.py", "pkg/added.py"]
+        assert [r.doc for r in rungs.RUNGS[name](t).orderBy("rank").collect()] == ["shop/stock.py", "shop/cart.py", "shop/audit.py"]
+
+
+def test_single_reads_and_kept_listings(spark, clone, tmp_path):
+    root, pins = str(clone[0]), clone[1]
+    assert tree.has_clone(root, "own/name") and not tree.has_clone(root, "own/other")
+    assert tree.has_commit(root, "own/name", pins[0]) and not tree.has_commit(root, "own/name", "f" * 40) and not tree.has_commit(root, "own/other", pins[0])
+    assert tree.read_file(root, "own/name", pins[0], "shop/cart.py") == "class Cart: ...\n"
+    blobs = dict(tree.listing(root, "own/name", pins[1]))
+    assert tree.read_blob(root, "own/name", blobs["shop/cart.py"]) == "def refund(): ...\n"
+    for wrong in (lambda: tree.read_file(root, "own/name", pins[2], "shop/stock.py"), lambda: tree.read_blob(root, "own/name", "f" * 40), lambda: tree.listing(root, "own/name", "f" * 40, str(tmp_path))):
+        with pytest.raises(tree.CommitUnavailable):
+            wrong()
+    made = tree.listing(root, "own/name", pins[1], str(tmp_path))
+    assert dict(made) == blobs and [f.name for f in (tmp_path / "own__name").iterdir()] == [f"{pins[1]}.json"]
+    (tmp_path / "own__name" / f"{pins[1]}.json").write_text('[["kept", "there"]]')
+    assert tree.listing(root, "own/name", pins[1], str(tmp_path)) == [("kept", "there")]
+    tree.register(spark)
+    kept = spark.read.format("git_tree").option("root", root).option("pins", f"own/name@{pins[1]}").option("cache", str(tmp_path)).load()
+    assert [r.path for r in kept.collect()] == ["kept"]
+    (tmp_path / "own__name" / f"{pins[1]}.json").write_text("[broken")
+    assert dict(tree.listing(root, "own/name", pins[1], str(tmp_path))) == blobs
+
+
+def test_split_files(spark, tmp_path):
+    sides = spark.createDataFrame([("b", "dev"), ("a", "dev"), ("c", "test"), ("a", "ci")], "instance_id string, side string")
+    split = split_file.of_table(sides, dataset="d", revision="r", seed=7)
+    path = str(tmp_path / "split.json")
+    split_file.write(split, path)
+    assert split_file.read(path) == split and (split.dev, split.test, split.ci_slice) == (("a", "b"), ("c",), ("a",))
+    text = (tmp_path / "split.json").read_text()
+    assert text.startswith('{\n  "dataset": "d",\n  "revision": "r",\n  "seed": 7,\n  "dev_count": 2') and '\n    "b"\n' in text
+    rows = spark.createDataFrame([("b", 1), ("x", 2), ("a", 3)], "instance_id string, v int")
+    assert [r.v for r in splits.select_side(rows, split.rows(spark), "dev").collect()] == [3, 1]
+    (tmp_path / "split.json").write_text(text.replace('"dev_count": 2', '"dev_count": 3'))
+    for bad in (path, str(tmp_path / "none.json")):
+        with pytest.raises(split_file.SplitFileError):
+            split_file.read(bad)
+
+
+def test_seeded_sample_is_the_generators(spark):
+    ids = [f"i{n:03}" for n in range(300)]
+    df = spark.createDataFrame([(i,) for i in random.Random(9).sample(ids, 300)], "instance_id string").repartition(5)
+    for n, seed in ((40, 0), (40, 3), (999, 0)):
+        assert [r.instance_id for r in splits.seeded_sample(df, n, seed=seed).collect()] == random.Random(seed).sample(ids, min(n, 300))
+    assert splits.seeded_sample(df.limit(0), 3).count() == 0
+
+
+def test_agent_keys(spark):
+    kind = "name string, messages array<struct<type:string,content:string,tool_calls:array<string>,tool_call_id:string>>, tools array<string>"
+    ask = [("human", "find it", None, None)]
+    rows = [("base", ask, ["t1"]), ("again", [("human", "find it", [], "")], ["t1"]), ("tools", ask, ["t2"]), ("longer", [*ask, ("ai", None, ["grep"], None)], ["t1"]), ("none", ask, None), ("empty", ask, [])]
+    got = {r.name: r.k for r in spark.createDataFrame(rows, kind).select("name", cache.agent_key("messages", "tools").alias("k")).collect()}
+    assert got["base"] == got["again"] and got["none"] == got["empty"] and len(set(got.values())) == 4
 
 
 def test_index(spark, tmp_path):
@@ -150,6 +209,21 @@ def test_replies_on_executors(spark):
     assert made.first().text == "P"
 
 
+def test_keys_and_budgets(spark, monkeypatch):
+    monkeypatch.setenv("RE_KEY", " k ")
+    assert remote.api_key("RE_KEY") == "k"
+    monkeypatch.setenv("RE_KEY", " ")
+    with pytest.raises(remote.MissingKey, match="RE_KEY"):
+        remote.api_key("RE_KEY")
+    remote.within_budget(0.0, 0, 1.0)
+    remote.within_budget(0.5, 1, 1.0)
+    for spent, calls in ((1.0, 5), (0.9, 1)):
+        with pytest.raises(remote.BudgetSpent):
+            remote.within_budget(spent, calls, 1.0)
+    q = spark.createDataFrame([("a",), (None,)], "text string")
+    assert [r.text for r in index.query_texts(q, index.Model("m", "r", 2, "ask: ")).collect()] == ["ask: a", "ask: "]
+
+
 def test_env(tmp_path, monkeypatch):
     monkeypatch.setenv("RE_SET", "kept")
     f = tmp_path / ".env"
