@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankeval.session import ship
+
 DIGITS = 6
 #: Bound on the query block that is broadcast, in numbers; more queries go in more blocks.
 BLOCK_NUMBERS = 4_000_000
@@ -30,6 +32,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     Query blocks of bounded size are broadcast; each batch of vectors gives at most k candidates a query (a matrix product,
     then a partial sort), so what is shuffled does not grow with the number of vectors in a batch.
     """
+    ship(vectors.sparkSession)
     rows = queries.select("query", "query_embedding").toLocalIterator()
     out, block, width = None, [], 1
     for row in rows:
@@ -61,11 +64,49 @@ def _block(vectors: DataFrame, block: list, k: int) -> DataFrame:
     return vectors.select("id", "embedding").mapInPandas(run, "query bigint, id bigint, score double")
 
 
+def best_of(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, path, score, pos): for each query and path the best of the path's vectors (path, pos, embedding), the first of equals.
+
+    Queries go out in blocks of bounded size; a batch of vectors gives a row for each of its paths and query, so what is
+    shuffled is smaller than all pairs by the number of vectors that a path has in a batch.
+    """
+    ship(vectors.sparkSession)
+    kind, out, block = vectors.schema["path"].dataType.simpleString(), None, []
+
+    def scanned(block: list) -> DataFrame:
+        sent = vectors.sparkSession.sparkContext.broadcast((np.array([r.query for r in block]), np.array([r.query_embedding for r in block], np.float64)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, q = sent.value
+            for batch in batches:
+                if not len(batch) or not len(names):
+                    continue
+                batch = batch.sort_values(["path", "pos"])
+                paths, pos = batch["path"].to_numpy(), batch["pos"].to_numpy()
+                near = np.round(q @ np.stack(batch["embedding"].to_numpy()).astype(np.float64).T, DIGITS)
+                first = np.flatnonzero(np.concatenate([[True], paths[1:] != paths[:-1]]))
+                for a, b in zip(first, [*first[1:], len(paths)], strict=True):
+                    at = near[:, a:b].argmax(1)  # the first of equals
+                    yield pd.DataFrame({"query": names, "path": paths[a], "score": near[np.arange(len(names)), a + at], "pos": pos[a + at]})
+
+        return vectors.select("path", "pos", "embedding").mapInPandas(run, f"query bigint, path {kind}, score double, pos bigint")
+
+    for row in queries.select("query", "query_embedding").toLocalIterator():
+        block.append(row)
+        if len(block) * max(1, len(row.query_embedding)) >= BLOCK_NUMBERS:
+            out, block = scanned(block) if out is None else out.unionByName(scanned(block)), []
+    if block or out is None:
+        out = scanned(block) if out is None else out.unionByName(scanned(block))
+    best = F.max(F.struct("score", (-F.col("pos")).alias("p")))
+    return out.groupBy("query", "path").agg(best.alias("b")).select("query", "path", F.col("b.score").alias("score"), (-F.col("b.p")).alias("pos"))
+
+
 def extend_index(tree: DataFrame, index: DataFrame | None, chunks: DataFrame, encode: Callable[[list[str]], np.ndarray], batch: int = 256) -> DataFrame:
     """(blob, pos, embedding) rows for the chunks of blobs that the tree holds and the index does not; unit length.
 
     tree: (blob, ...); chunks: (blob, pos, text). encode takes texts and gives a row for each; it is called in batches.
     """
+    ship(tree.sparkSession)
     new = tree.select("blob").distinct()
     if index is not None:
         new = new.join(index.select("blob").distinct(), "blob", "left_anti")

@@ -64,13 +64,19 @@ def full_ranking(scored: DataFrame, docs: DataFrame, queries: DataFrame) -> Data
 
 
 def top_k(scored: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The first k of full_ranking(). Only queries with fewer than k positive scores meet documents without a match."""
+    """The first k of full_ranking(). Only queries with fewer than k positive scores meet documents without a match.
+
+    The best rows (k a query at most) are made at once and kept, as what follows depends on them: where every query has k
+    of them nothing else is read. That is a job while the plan is built.
+    """
     keys = ["query", "corpus"]
     positive = F.when(F.col("score") > 0, 0).otherwise(1)
     w = Window.partitionBy(*keys)
-    best = scored.withColumn("rank", F.row_number().over(w.orderBy(positive, F.desc("score"), "doc"))).where(F.col("rank") <= k).drop("rank")
+    best = scored.withColumn("rank", F.row_number().over(w.orderBy(positive, F.desc("score"), "doc"))).where(F.col("rank") <= k).drop("rank").persist()
     full = best.where("score > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("have")).where(F.col("have") >= k)
     short = queries.select(*keys, F.col("tokens").alias("asked")).join(full, keys, "left_anti")
+    if short.isEmpty():
+        return best.select(*keys, "doc", "score").withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "doc")))
     # Scores of 0: documents that share no token. The first k of them are enough.
     none = short.join(docs.select("corpus", "doc", "tokens"), "corpus").where(~F.arrays_overlap("tokens", "asked")).select(*keys, "doc", F.lit(0.0).alias("score"))
     none = none.withColumn("rank", F.row_number().over(w.orderBy("doc"))).where(F.col("rank") <= k).drop("rank")

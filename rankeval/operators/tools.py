@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankeval.functions.text import existing_form, first_lines_within, is_source
 from rankeval.operators.chunking import definitions
+from rankeval.operators.literal import literal_hits
 
 MAX_HITS, MAX_LINES, MAX_CHARS = 30, 200, 4000
 
@@ -14,10 +15,9 @@ MAX_HITS, MAX_LINES, MAX_CHARS = 30, 200, 4000
 def grep(tree: DataFrame, blobs: DataFrame, patterns: DataFrame, limit: int = MAX_HITS) -> DataFrame:
     """(request, path, hits, shown): source files that hold the pattern literally, in tree order; binary ones never do.
 
-    patterns: (request, corpus, pattern), few: each text is read once and met with all of them, blob by blob, before paths join.
+    patterns: (request, corpus, pattern): each text is read once for all of them, blob by blob, before paths join.
     """
-    texts = blobs.where(~F.col("text").contains("\0"))
-    found = texts.join(patterns.select("pattern").distinct(), F.col("text").contains(F.col("pattern"))).select("blob", "pattern")
+    found = literal_hits(blobs.where(~F.col("text").contains("\0")), patterns, key="blob")
     files = tree.where(is_source("path")).join(found, "blob").join(patterns, ["corpus", "pattern"]).select("request", "path")
     w = Window.partitionBy("request")
     return files.select("request", "path", F.count(F.lit(1)).over(w).alias("hits"), (F.row_number().over(w.orderBy("path")) <= limit).alias("shown"))
@@ -55,7 +55,7 @@ def find_definition(tree: DataFrame, blobs: DataFrame, symbols: DataFrame) -> Da
     Blobs without the symbol's last part are not parsed.
     """
     s = symbols.withColumn("pattern", F.substring_index("symbol", ".", -1))
-    near = blobs.join(s.select("pattern").distinct(), F.col("text").contains(F.col("pattern"))).select("blob", "text").distinct()
+    near = blobs.join(literal_hits(blobs, s, key="blob").select("blob").distinct(), "blob", "left_semi").select("blob", "text").distinct()
     d = definitions(near).select("blob", "name", "line", "signature")
     files = tree.where(is_source("path")).join(d, "blob")
     named = (F.col("name") == F.col("symbol")) | F.col("name").endswith(F.concat(F.lit("."), F.col("symbol")))

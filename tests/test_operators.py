@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rankeval.operators import agent, budget, chunking, dense, evaluate, lexical, ranking, splits, tools
+from rankeval.operators import agent, budget, chunking, dense, evaluate, lexical, literal, ranking, splits, tools
 
 ONE = "corpus string, doc string, tokens array<string>"
 
@@ -188,6 +188,32 @@ if os:
 '''
 
 
+def test_literal_hits(spark):
+    texts = [("a", "one two three"), ("b", "twotwo"), ("c", None), ("d", ""), ("e", "x" * 100000 + "%_"), ("b", "twotwo")]
+    df = spark.createDataFrame([(k, t, "x") for k, t in texts], "blob string, text string, pattern string")
+    patterns = ["two", "wo t", "%_", "", None, "two", "none", "one two three"]
+    p = spark.createDataFrame([(x,) for x in patterns], "pattern string")
+    want = sorted((k, x) for k, t in texts for x in {*patterns} - {None} if t is not None and x in t)
+    for size in (10**6, 1):
+        assert sorted(map(tuple, literal.literal_hits(df, p, key="blob", slice_chars=size).collect())) == want
+    assert literal.literal_hits(df, p.limit(0), key="blob").count() == 0 and literal.literal_hits(df.limit(0), p, key="blob").count() == 0
+
+
+def test_best_vector_of_each_path(spark):
+    r = random.Random(5)
+    v = [(f"p{i % 7}", i, [float(r.randrange(-2, 3)) for _ in range(3)]) for i in range(60)]
+    q = [(n, [float(r.randrange(-2, 3)) for _ in range(3)]) for n in range(5)]
+    vectors = spark.createDataFrame(v, "path string, pos long, embedding array<double>").repartition(4)
+    queries = spark.createDataFrame(q, "query long, query_embedding array<double>")
+    want = {}
+    for n, x in q:
+        for path, pos, y in v:
+            score = sum(a * b for a, b in zip(x, y, strict=True))
+            want[n, path] = max(want.get((n, path), (-99.0, 0)), (score, -pos))
+    got = {(b.query, b.path): (b.score, -b.pos) for b in dense.best_of(vectors, queries).collect()}
+    assert got == want and dense.best_of(vectors, queries.limit(0)).count() == 0
+
+
 def test_chunks(spark):
     names = [c.name for c in chunking.chunks_of(SOURCE)]
     assert names == ["A", "A.f", "A.f.inner", "A.g"]
