@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from rankeval.plans import rank_queries, text_queries  # noqa: F401
+from rankeval.plans import rank_queries, rung_queries, text_queries  # noqa: F401
 from rankeval.plans.base import CATALOG
 
 

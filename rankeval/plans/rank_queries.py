@@ -78,10 +78,9 @@ def dense_topk(t: Tables) -> DataFrame:
 @query(f"WITH s AS (SELECT q.vec_id AS query, v.label, {_DOT} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) SELECT query, label, max(score) AS score FROM s GROUP BY ALL")
 def dense_max(t: Tables) -> DataFrame:
     """Vectors as chunks of the file that is their label: the best one counts."""
-    v = t.embeddings.select(F.lit(0).alias("corpus"), F.struct(F.col("label").alias("path"), F.col("vec_id").alias("pos")).alias("id"), "embedding")
-    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.lit(0).alias("corpus"), F.col("embedding").alias("query_embedding"))
-    s = dense.scores(v, q).select("query", "corpus", "id.path", "id.pos", "score")
-    return lexical.best_chunk(s).select("query", F.col("path").alias("label"), "score")
+    v = t.embeddings.select(F.col("label").alias("path"), F.col("vec_id").alias("pos"), "embedding")
+    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_embedding"))
+    return dense.best_of(v, q).select("query", F.col("path").alias("label"), "score")
 
 
 @query(f"""WITH {sql_bm25(_DOCS, _ITEMS)}, {_TOP}, other AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score, doc) AS rank FROM ranked WHERE rank <= 20),
@@ -416,7 +415,16 @@ def index_incremental(t: Tables) -> DataFrame:
     return new.select("blob", F.col("pos").cast("int").alias("pos"), F.round(F.sqrt(dense.dot("embedding", "embedding")), 4).alias("norm"))
 
 
-@query()
+#: Longest pair that a scorer reads, in tokens.
+PAIR_LIMIT = 512
+
+
+@query(f"""WITH {sql_bm25(_DOCS, _ITEMS)}, {_TOP}, tr AS (SELECT b.item_id, d.doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text)),
+p AS (SELECT r.query AS item_id, r.doc AS doc_id, r.rank, d.n_chars // 4 AS tokens, coalesce(tr.doc_id = r.doc, false) AS ok FROM ranked r JOIN documents d ON d.doc_id = r.doc LEFT JOIN tr ON tr.item_id = r.query AND tr.doc_id = r.doc WHERE r.rank <= 20),
+m AS (SELECT 'short first' AS model, -tokens AS s, * FROM p UNION ALL SELECT 'as fused', -rank, * FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY model, item_id ORDER BY s DESC, doc_id) AS place FROM m)
+SELECT model, count(*) FILTER (place = 1)::BIGINT AS n, count(*) FILTER (place = 1 AND ok)::BIGINT AS hits, sum(tokens)::BIGINT AS tokens, round(avg(tokens), 4) AS mean, quantile_cont(tokens, 0.5)::DOUBLE AS median, max(tokens)::BIGINT AS longest,
+round(100.0 * avg((tokens > 512)::INT), 4) AS percent_over FROM o GROUP BY model""")
 def reranker_bakeoff(t: Tables) -> DataFrame:
     """Two stand-in scorers over the same heads: first places that hold the truth, against the fused order, and pair lengths."""
     from rankeval.plans.text_queries import contains_join
@@ -424,8 +432,13 @@ def reranker_bakeoff(t: Tables) -> DataFrame:
     head, truth = _topk(t, 20).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank"), contains_join(t).withColumn("right", F.lit(True))
     pairs = head.join(truth, ["item_id", "doc_id"], "left").join(t.documents.select("doc_id", F.expr("n_chars div 4").alias("tokens")), "doc_id")
     models = F.explode(F.array(F.struct(F.lit("short first").alias("model"), (-F.col("tokens")).alias("score")), F.struct(F.lit("as fused").alias("model"), (-F.col("rank")).cast("long").alias("score")))).alias("m")
-    best = pairs.select("item_id", "doc_id", "tokens", "right", models).groupBy("m.model", "item_id").agg(F.max_by("right", F.struct("m.score", (-F.col("doc_id")).alias("d"))).alias("right"), F.sum("tokens").alias("tokens"))
-    return best.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if("right").alias("hits"), F.sum("tokens").alias("tokens"))
+    scored = pairs.select("item_id", "doc_id", "tokens", "right", models).select("m.model", "m.score", "item_id", "doc_id", "tokens", "right")
+    best = scored.groupBy("model", "item_id").agg(F.max_by(F.coalesce("right", F.lit(False)), F.struct("score", (-F.col("doc_id")).alias("d"))).alias("right"))
+    lengths = scored.groupBy("model").agg(
+        F.sum("tokens").alias("tokens"), F.round(F.avg("tokens"), 4).alias("mean"), F.percentile("tokens", 0.5).alias("median"), F.max("tokens").alias("longest"),
+        F.round(100.0 * F.avg((F.col("tokens") > PAIR_LIMIT).cast("int")), 4).alias("percent_over"),
+    )
+    return best.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if("right").alias("hits")).join(lengths, "model")
 
 
 @query()

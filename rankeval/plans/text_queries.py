@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankeval.functions import patches, stats, text
 from rankeval.operators import chunking, evaluate, ranking, tools
+from rankeval.operators.literal import literal_hits
 from rankeval.plans.base import SQL_LINES, SQL_PATH, Tables, order_paths, part_path, query, sql_is_source, sql_is_test, sql_norm, sql_tokens
 from rankeval.sources import cache, dataset, tree
 
@@ -120,14 +121,16 @@ def _doc_files(t: Tables) -> DataFrame:
     return t.documents.select(F.col("lang").alias("corpus"), F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.md5(F.col("text").cast("binary")).alias("blob"), "text")
 
 
-@query("""WITH f AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l, text FROM documents)
-SELECT doc_id AS request, len(l)::BIGINT AS lines, coalesce(array_to_string(list_transform(l[2:5], lambda x, i: lpad((i + 1)::VARCHAR, 6, ' ') || '  ' || x), chr(10)), '') AS body FROM f WHERE len(l) >= 2
-AND list_sum(list_transform(l[2:5], lambda x: length(x) + 9)) <= 4000""".replace("\\\\n", "\\n"))
+@query(r"""WITH f AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\n$', ''), chr(10)) END AS l FROM documents),
+x AS (SELECT doc_id, unnest(l[2:5]) AS x, generate_subscripts(l[2:5], 1) AS i FROM f),
+r AS (SELECT doc_id, i, lpad((i + 1)::VARCHAR, 6, ' ') || '  ' || x AS w, sum(length(x) + 9) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM x),
+b AS (SELECT doc_id, string_agg(w, chr(10) ORDER BY i) FILTER (used <= 4000) AS body, bool_or(used > 4000) AS truncated FROM r GROUP BY doc_id)
+SELECT f.doc_id AS request, len(l)::BIGINT AS lines, coalesce(body, '') AS body, coalesce(truncated, false) AS truncated, len(l) < 2 AS rejected FROM f LEFT JOIN b ON f.doc_id = b.doc_id""")
 def read_range(t: Tables) -> DataFrame:
-    """Lines 2 to 5 of every document that has a second line and whose lines fit."""
+    """Lines 2 to 5 of every document; cut where they are too long, rejected where there is no second line."""
     files = _doc_files(t)
     wanted = t.documents.select(F.col("doc_id").alias("request"), F.col("lang").alias("corpus"), F.concat(F.lit("./src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit(2).alias("first"), F.lit(5).alias("last"))
-    return tools.read_range(wanted, files).where("not rejected and not truncated").select("request", "lines", "body")
+    return tools.read_range(wanted, files).select("request", "lines", F.coalesce("body", F.lit("")).alias("body"), "truncated", "rejected")
 
 
 GREP = ("the", "Licensed under", "der", "no such text", "idiot", "%")
@@ -151,8 +154,9 @@ def blob_dedup_join(t: Tables) -> DataFrame:
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text)")
 def contains_join(t: Tables) -> DataFrame:
-    items, docs = t.benchmark.select("item_id", F.col("text").alias("pattern")), t.documents.select("doc_id", "text")
-    return docs.join(items, F.col("text").contains(F.col("pattern"))).select("item_id", "doc_id")
+    """One scan of the documents for all items; hits then meet the items by their text."""
+    items = t.benchmark.select("item_id", F.col("text").alias("pattern"))
+    return literal_hits(t.documents, items, key="doc_id").join(items, "pattern").select("item_id", "doc_id")
 
 
 @query("""WITH h AS (SELECT b.item_id, d.lang, count(*) AS n FROM benchmark b, documents d WHERE contains(d.text, b.text) GROUP BY ALL),
@@ -222,7 +226,8 @@ def reply_counters(t: Tables) -> DataFrame:
 _CODE = "'class C' || p_partkey || '(Base):' || chr(10) || '    ' || repeat(chr(34), 3) || p_type || repeat(chr(34), 3) || chr(10) || '    x = ' || p_size || chr(10) || '    @wraps' || chr(10) || '    async def m' || p_size || '(self, a: int=1) -> str:' || chr(10) || '        return a' || chr(10) || 'if x:' || chr(10) || '    def hidden(): pass' || chr(10)"
 
 
-def _code(t: Tables) -> DataFrame:
+def python_sources(t: Tables) -> DataFrame:
+    """(blob, text): a Python source made of each part."""
     lit, key, size = F.lit, F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     return t.part.select(F.col("p_partkey").alias("blob"), F.concat(lit("class C"), key, lit('(Base):\n    """'), "p_type", lit('"""\n    x = '), size, lit("\n    @wraps\n    async def m"), size, lit("(self, a: int=1) -> str:\n        return a\nif x:\n    def hidden(): pass\n")).alias("text"))
 
@@ -231,13 +236,13 @@ def _code(t: Tables) -> DataFrame:
 md5('class C' || p_partkey || '(Base):' || chr(10) || '    ' || repeat('"', 3) || p_type || repeat('"', 3) || chr(10) || '    x = ' || p_size || chr(10) || '    @wraps') AS content FROM part UNION ALL
 SELECT p_partkey, 1, 'C' || p_partkey || '.m' || p_size, 'function', 'def C' || p_partkey || '.m' || p_size || '(self, a: int=1) -> str', '', 5, md5('    async def m' || p_size || '(self, a: int=1) -> str:' || chr(10) || '        return a') FROM part""")
 def ast_chunks(t: Tables) -> DataFrame:
-    c = chunking.chunked(_code(t), bodies=True)
+    c = chunking.chunked(python_sources(t), bodies=True)
     return c.select("blob", "pos", "name", "kind", "signature", "docstring", "line", F.md5(F.col("content").cast("binary")).alias("content"))
 
 
 @query("SELECT p_partkey AS blob, 'C' || p_partkey AS name, 1 AS line FROM part UNION ALL SELECT p_partkey, 'C' || p_partkey || '.m' || p_size, 5 FROM part")
 def definitions(t: Tables) -> DataFrame:
-    return chunking.definitions(_code(t)).select("blob", "name", "line")
+    return chunking.definitions(python_sources(t)).select("blob", "name", "line")
 
 
 @query()
@@ -261,9 +266,9 @@ def latest_per_key(t: Tables) -> DataFrame:
     return evaluate.last_per_key(t.events.select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('20260804:' || doc_id), doc_id LIMIT 100")
 def uniform_sample(t: Tables) -> DataFrame:
     """A uniform sample of 100 documents, the same at every run: those of the smallest seeded hashes."""
-    return t.documents.select("doc_id", "lang").orderBy(F.xxhash64(F.lit(20260804), "doc_id")).limit(100)
+    return t.documents.select("doc_id", "lang").orderBy(F.md5(F.concat(F.lit("20260804:"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(100)
 
 
