@@ -302,8 +302,9 @@ def links(docs: DataFrame, described: DataFrame, k: int, percent: int, table_row
     sketch = _sketch(described)
     prefixes = staged(_prefixes(docs, k, percent, sketch), "prefixes")
     own = prefixes.join(reps.drop("copies"), ["r1", "r2"]).select("node", "n", "need", F.explode("tokens").alias("token"))
-    # Written first, so that the shuffle behind it is gone before the next one.
-    shared = staged(own.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("token"), "shared")
+    # Counts alone travel here; a token that only rows of one set hold finds no guest below. Written first, so that the
+    # shuffle behind it is gone before the next one.
+    shared = staged(own.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token"), "shared")
     live = staged(own.join(shared, "token"), "tokens")
     unstage(prefixes)
     unstage(shared)
