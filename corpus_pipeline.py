@@ -2,8 +2,9 @@
 
 Defined results of the stages: a row with a null id is never dropped as a near copy;
 null and empty texts pass every stage as they are and have no tokens; equal rows are judged alike, except that rows of
-one id go or stay together as near copies; of ties the smallest id stays; very long texts are treated whole; an empty
-table gives an empty table; further columns are kept, whatever their names.
+one id go or stay together as near copies, and an id of several raw documents is compared as it comes alone; of ties the
+smallest id stays; very long texts are treated whole; an empty table gives an empty table; further columns are kept,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -35,9 +36,29 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return _sized(line_dedup.dedup_lines(docs, counts=False, emptied=False), docs.columns)
 
 
+def _unedited(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and raw text of the rows whose lines are all lines of the one document that has their id.
+
+    Lines are told by 64-bit hashes, so of docs these alone are shuffled. Ids of several raw documents are left out.
+    """
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw"))
+    several = raw.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    lines = lambda c: F.array_distinct(F.transform(F.split(c, "\n", -1), lambda line: F.xxhash64(line)))
+    left = docs.select("doc_id", lines("text").alias("lines")).join(raw.join(several, "doc_id", "left_anti"), "doc_id")
+    return left.where(F.size(F.array_except("lines", lines("raw"))) == 0).select("doc_id", F.col("raw").alias("text"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id; texts are compared as they come."""
-    gone = settled(lambda: ngram_join.lesser(docs, k=SHINGLE_WORDS, percent=SIMILAR_PERCENT), "copies").withColumnRenamed("doc_id", "_gone")
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Documents are compared as they come, and as they were before the stage in front cut the lines that they share: what is
+    left of a near copy behind that stage does not resemble its original any more. A text that is not left of the raw
+    document with its id (a table of other documents) is compared as it comes alone.
+    """
+    near = lambda rows: ngram_join.lesser(rows, k=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    own = settled(lambda: near(docs), "copies")
+    raw = settled(lambda: near(settled(lambda: _unedited(spark, docs, sf_dir), "unedited")), "copies")
+    gone = own.unionByName(raw).distinct().withColumnRenamed("doc_id", "_gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 

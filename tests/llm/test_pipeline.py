@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rankeval.llm import bpe, labelled, toxicity
@@ -54,7 +55,7 @@ def brute(spark):
     docs = {d: "\n".join(x for x in t.split("\n") if not (len(key(x)) >= 10 and many[key(x)] > 1 and first[key(x)] != d)) for d, t in docs.items()}
     docs = {d: t for d, t in docs.items() if t == raw[d] or t.strip(BLANK)}
     yield {d: hashlib.md5(t.encode()).hexdigest() for d, t in docs.items()}
-    gone = near_copies(docs)
+    gone = near_copies(docs) | near_copies({d: raw[d] for d in docs})
     docs = {d: t for d, t in docs.items() if d not in gone}
     yield set(docs)
     windows = {}
@@ -120,7 +121,7 @@ def test_stages_with_odd_rows(spark):
     assert last.count() == 7 and last.where("doc_id in (3, 4)").agg({"n_tokens": "sum"}).first()[0] == 0
 
 
-def test_copies_behind_line_dedup(spark):
+def test_copies_behind_line_dedup(spark, tmp_path):
     """Exact copies go as emptied documents, near copies that keep their lines go to the join, blank texts stay."""
     r = random.Random(4)
     line = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(80))
@@ -128,7 +129,27 @@ def test_copies_behind_line_dedup(spark):
     rows += [(100 + i, rows[i][1].replace("\n", " x\n") + " y") for i in range(10)]
     rows += [(200, rows[0][1]), (201, "  "), (202, None), (203, rows[1][1].upper() + "\n\n \t")]
     docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
     cut = corpus_pipeline.drop_repeated_lines(spark, docs, "").cache()
     assert {x.doc_id for x in cut.collect()} == {d for d, _ in rows} - {200, 203}
-    kept = corpus_pipeline.drop_near_copies(spark, cut, "")
+    kept = corpus_pipeline.drop_near_copies(spark, cut, str(tmp_path))
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {*range(20), 201, 202}
+
+
+def test_near_copies_go_though_their_lines_were_cut(spark, tmp_path):
+    """Planted copies with a few words changed on one line: the stage behind line dedup finds them by their raw texts."""
+    r = random.Random(4)
+    line = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(12))
+    rows = [(i, "\n".join(line() for _ in range(10))) for i in range(60)]
+    rows += [(100 + i, rows[i][1].rpartition("\n")[0] + "\n" + line()[:20] + rows[i][1].rpartition("\n")[2][20:]) for i in range(30)]
+    rows += [(200, rows[0][1]), (201, "  "), (202, None), (None, "without an id"), (300, rows[50][1] + "\nof one id"), (300, rows[51][1] + "\nof one id too")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    cut = corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).cache()
+    assert {x.doc_id for x in cut.collect()} == {d for d, _ in rows} - {200}
+    kept = corpus_pipeline.drop_near_copies(spark, cut, str(tmp_path))
+    # An id of several raw documents is compared as it comes.
+    assert kept.columns == docs.columns and sorted(-1 if x.doc_id is None else x.doc_id for x in kept.collect()) == [-1, *range(60), 201, 202, 300, 300]
+    # Rows that are not left of the raw documents are compared as they come.
+    other = docs.where("doc_id between 100 and 202").withColumn("text", F.concat(F.lit("other "), F.col("doc_id").cast("string")))
+    assert corpus_pipeline.drop_near_copies(spark, other, str(tmp_path)).count() == 33
