@@ -18,6 +18,8 @@ from rankeval.session import ship
 
 #: Bytes of text that the numpy kernels take at a time; a longer document is taken whole, alone.
 CHUNK_BYTES = 1 << 20
+#: A key is hot if more than one of so many rows has it; fewer than this many can be, so these may be broadcast.
+HOT_SHARE = 2000
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

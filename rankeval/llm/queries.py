@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankeval.llm import bpe, chat, decontaminate, knn_quality, licences, line_dedup, ngram_join, quality_rules, suffix_dedup, toxicity
+from rankeval.llm import bpe, chat, decontaminate, knn_quality, licences, line_dedup, ngram_join, quality_rules, secret_scan, spelling, suffix_dedup, toxicity, vector_codes
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_suffix_array_dedup": suffix_dedup.op8,
         "op9_line_dedup": line_dedup.op9,
         "op10_quality_classifier": knn_quality.op10,
+        "op11_spelling_variants": spelling.op11,
+        "op12_vector_codes": vector_codes.op12,
+        "op13_secret_scan": secret_scan.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {"op7_quality_rules": quality_rules.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_secret_scan": secret_scan.ORACLE}
