@@ -163,10 +163,11 @@ def counters(results: DataFrame) -> DataFrame:
 
 def call_stats(results: DataFrame, cap: int) -> DataFrame:
     """Upper median, mean and the rows at the cap of `calls`; a cap of 0 is never reached."""
-    from rankeval.functions.stats import upper_median
+    from rankeval.functions import order
 
     at = F.count_if(F.col("calls") >= cap) if cap else F.lit(0).cast("long")
-    return results.agg(upper_median("calls").alias("median"), F.round(F.avg("calls"), 1).alias("mean"), at.alias("at_cap"), F.count(F.lit(1)).alias("n"))
+    rows = results.agg(F.round(F.avg("calls"), 1).alias("mean"), at.alias("at_cap"), F.count(F.lit(1)).alias("n"))
+    return order.beside(rows, order.upper_median(results, "calls", []), []).select("median", "mean", "at_cap", "n")
 
 
 def roster(calls: DataFrame, credits: DataFrame) -> DataFrame:

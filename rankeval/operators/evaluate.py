@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.functions.stats import mcnemar, ratio, upper_median, wilson
+from rankeval.functions import order
+from rankeval.functions.stats import log_mcnemar, mcnemar, ratio, wilson
 
 SMALL_GROUP = 3
 OTHER = "other"
@@ -31,13 +32,23 @@ def measures(z: str = "hit") -> list[Column]:
     return [
         n.alias("n"), F.round(ratio(hits, n), 6).alias("top_1"), F.round(ci["low"], 6).alias("ci_low"), F.round(ci["high"], 6).alias("ci_high"),
         F.round(zero(F.avg("recall_3")), 6).alias("recall_3"), F.round(zero(F.avg("recall_5")), 6).alias("recall_5"),
-        F.round(zero(F.sum("latency")), 6).alias("latency_total"), F.round(zero(upper_median("latency")), 6).alias("latency_median"),
+        F.round(zero(F.sum("latency")), 6).alias("latency_total"),
         F.round(zero(F.sum("cost")), 6).alias("cost_total"), F.round(ratio(zero(F.sum("cost")), n), 6).alias("cost_each"),
     ]
 
 
+#: Names of the measures in their order.
+MEASURES = ("n", "top_1", "ci_low", "ci_high", "recall_3", "recall_5", "latency_total", "latency_median", "cost_total", "cost_each")
+
+
+def _measured(rows: DataFrame, scores: DataFrame, groups: list[str]) -> DataFrame:
+    """rows of measures() with the median latency of the same groups of scores."""
+    both = order.beside(rows, order.upper_median(scores, "latency", groups), groups)
+    return both.withColumn("latency_median", F.round(F.coalesce("median", F.lit(0.0)), 6))
+
+
 def overall(scores: DataFrame) -> DataFrame:
-    return scores.agg(*measures())
+    return _measured(scores.agg(*measures()), scores, []).select(*MEASURES)
 
 
 def bucketed(scores: DataFrame, group: str, small: int = SMALL_GROUP) -> DataFrame:
@@ -47,12 +58,17 @@ def bucketed(scores: DataFrame, group: str, small: int = SMALL_GROUP) -> DataFra
 
 
 def by_group(scores: DataFrame, group: str, small: int = SMALL_GROUP) -> DataFrame:
-    return bucketed(scores, group, small).groupBy(group).agg(*measures())
+    rows = bucketed(scores, group, small)
+    return _measured(rows.groupBy(group).agg(*measures()), rows, [group]).select(group, *MEASURES)
 
 
 def report(scores: DataFrame, group: str, small: int = SMALL_GROUP) -> DataFrame:
-    """The overall row (group null) and the group rows in one pass."""
-    return bucketed(scores, group, small).groupingSets([[], [F.col(group)]], group).agg(*measures())
+    """The overall row (group null) and the group rows in one pass; the medians in another."""
+    rows = bucketed(scores, group, small)
+    sets = rows.groupingSets([[], [F.col(group)]], group).agg(F.grouping(group).cast("int").alias("_all"), *measures())
+    each = F.explode(F.array(F.struct(F.lit(1).alias("_all"), F.lit(None).cast(rows.schema[group].dataType).alias("_g")), F.struct(F.lit(0).alias("_all"), F.col(group).alias("_g"))))
+    twice = rows.select("latency", each.alias("s")).select("latency", "s._all", F.col("s._g").alias(group))
+    return _measured(sets, twice, ["_all", group]).select(group, *MEASURES)
 
 
 def matched(a: DataFrame, b: DataFrame, key: str = "instance_id") -> DataFrame:
@@ -73,7 +89,7 @@ def contingency(pairs: DataFrame) -> DataFrame:
 
 def compared(pairs: DataFrame) -> DataFrame:
     c = contingency(pairs)
-    return c.withColumns({"delta": F.round(ratio(F.col("b_only") - F.col("a_only"), "n"), 6), "p_value": F.round(mcnemar("a_only", "b_only"), 8)})
+    return c.withColumns({"delta": F.round(ratio(F.col("b_only") - F.col("a_only"), "n"), 6), "p_value": F.round(mcnemar("a_only", "b_only"), 8), "log_p": F.round(log_mcnemar("a_only", "b_only"), 6)})
 
 
 def verdict() -> Column:

@@ -88,10 +88,21 @@ def sql_wilson(h: str, n: str) -> tuple[str, str]:
     return tuple(f"CASE WHEN ({n}) > 0 THEN least(1.0, greatest(0.0, ({mid} {s} {half}) / (1 + {z2} / ({n})))) ELSE 0.0 END" for s in "-+")  # type: ignore[return-value]
 
 
+def sql_log_mcnemar(a: str, b: str) -> str:
+    terms = f"list_transform(range(0, least({a}, {b}) + 1), lambda i: lgamma(({a}) + ({b}) + 1) - lgamma(i + 1) - lgamma(({a}) + ({b}) - i + 1) - (({a}) + ({b})) * ln(2))"
+    last = f"lgamma(({a}) + ({b}) + 1) - lgamma(least({a}, {b}) + 1) - lgamma(greatest({a}, {b}) + 1) - (({a}) + ({b})) * ln(2)"  # the largest
+    return f"CASE WHEN ({a}) = ({b}) THEN 0.0 ELSE least(0.0, ln(2) + ({last}) + ln(list_sum(list_transform({terms}, lambda x: exp(x - ({last})))))) END"
+
+
 def sql_mcnemar(a: str, b: str) -> str:
     return f"CASE WHEN ({a}) + ({b}) = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least({a}, {b}) + 1), lambda i: exp(lgamma(({a}) + ({b}) + 1) - lgamma(i + 1) - lgamma(({a}) + ({b}) - i + 1) - (({a}) + ({b})) * ln(2))))) END"
 
 
+def sql_quantile(p: float) -> str:
+    """Of a sorted list x of k numbers."""
+    return f"CASE WHEN k = 1 THEN x[1] ELSE x[greatest(1, least(k - 1, floor({p} * (k + 1))::INT))] * (1 - ({p} * (k + 1) - greatest(1, least(k - 1, floor({p} * (k + 1)))))) + x[greatest(1, least(k - 1, floor({p} * (k + 1))::INT)) + 1] * ({p} * (k + 1) - greatest(1, least(k - 1, floor({p} * (k + 1))))) END"
+
+
 def sql_bm25(docs: str, queries: str, b: float = 0.75) -> str:
     """CTEs that end in s(query, doc, score); docs: SELECT doc, toks; queries: SELECT query, toks."""
     return f"""d AS ({docs}), q AS ({queries}),

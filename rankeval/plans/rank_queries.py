@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankeval.functions import stats
+from rankeval.functions import order, stats
 from rankeval.functions.text import normalize_path, tokenize
 from rankeval.operators import agent, budget, dense, evaluate, lexical, ranking, splits
-from rankeval.plans.base import SQL_LINES, Tables, order_paths, query, sql_bm25, sql_mcnemar, sql_norm, sql_tokens, sql_wilson
+from rankeval.plans.base import SQL_LINES, Tables, order_paths, query, sql_bm25, sql_log_mcnemar, sql_mcnemar, sql_norm, sql_quantile, sql_tokens, sql_wilson
 
 # ---------------------------------------------------------------- lexical and dense retrieval
 
@@ -268,10 +268,10 @@ def wilson_ci(t: Tables) -> DataFrame:
     return g.select("c_mktsegment", "hits", "n", F.round(ci["low"], 6).alias("low"), F.round(ci["high"], 6).alias("high"))
 
 
-@query(f"SELECT l_suppkey, a, b, round({sql_mcnemar('a', 'b')}, 8) AS p_value FROM (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_quantity > 35) AS b FROM lineitem GROUP BY l_suppkey)")
+@query(f"SELECT l_suppkey, a, b, round({sql_mcnemar('a', 'b')}, 8) AS p_value, round({sql_log_mcnemar('a', 'b')}, 6) AS log_p FROM (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_quantity > 35) AS b FROM lineitem GROUP BY l_suppkey)")
 def mcnemar_exact(t: Tables) -> DataFrame:
     g = t.lineitem.groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("a"), F.count_if(F.col("l_quantity") > 35).alias("b"))
-    return g.select("l_suppkey", "a", "b", F.round(stats.mcnemar("a", "b"), 8).alias("p_value"))
+    return g.select("l_suppkey", "a", "b", F.round(stats.mcnemar("a", "b"), 8).alias("p_value"), F.round(stats.log_mcnemar("a", "b"), 6).alias("log_p"))
 
 
 def _runs(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -292,7 +292,7 @@ def paired_contingency(t: Tables) -> DataFrame:
     return evaluate.contingency(evaluate.matched(*_runs(t)))
 
 
-@query(f"WITH {_PAIRS} SELECT *, round((b_only - a_only) / n, 6) AS delta, round({sql_mcnemar('a_only', 'b_only')}, 8) AS p_value FROM ct")
+@query(f"WITH {_PAIRS} SELECT *, round((b_only - a_only) / n, 6) AS delta, round({sql_mcnemar('a_only', 'b_only')}, 8) AS p_value, round({sql_log_mcnemar('a_only', 'b_only')}, 6) AS log_p FROM ct")
 def paired_compare(t: Tables) -> DataFrame:
     return evaluate.compared(evaluate.matched(*_runs(t)))
 
@@ -423,8 +423,8 @@ PAIR_LIMIT = 512
 p AS (SELECT r.query AS item_id, r.doc AS doc_id, r.rank, d.n_chars // 4 AS tokens, coalesce(tr.doc_id = r.doc, false) AS ok FROM ranked r JOIN documents d ON d.doc_id = r.doc LEFT JOIN tr ON tr.item_id = r.query AND tr.doc_id = r.doc WHERE r.rank <= 20),
 m AS (SELECT 'short first' AS model, -tokens AS s, * FROM p UNION ALL SELECT 'as fused', -rank, * FROM p),
 o AS (SELECT *, row_number() OVER (PARTITION BY model, item_id ORDER BY s DESC, doc_id) AS place FROM m)
-SELECT model, count(*) FILTER (place = 1)::BIGINT AS n, count(*) FILTER (place = 1 AND ok)::BIGINT AS hits, sum(tokens)::BIGINT AS tokens, round(avg(tokens), 4) AS mean, quantile_cont(tokens, 0.5)::DOUBLE AS median, max(tokens)::BIGINT AS longest,
-round(100.0 * avg((tokens > 512)::INT), 4) AS percent_over FROM o GROUP BY model""")
+SELECT model, count(*) FILTER (place = 1)::BIGINT AS n, count(*) FILTER (place = 1 AND ok)::BIGINT AS hits, sum(tokens)::BIGINT AS tokens, round(avg(tokens), 4) AS mean, {sql_quantile(0.5)} AS median, {sql_quantile(0.9)} AS p90, max(tokens)::BIGINT AS longest,
+round(100.0 * avg((tokens > 512)::INT), 4) AS percent_over FROM o JOIN (SELECT model, list_sort(list(tokens::DOUBLE)) AS x, count(*) AS k FROM o GROUP BY model) USING (model) GROUP BY model, x, k""")
 def reranker_bakeoff(t: Tables) -> DataFrame:
     """Two stand-in scorers over the same heads: first places that hold the truth, against the fused order, and pair lengths."""
     from rankeval.plans.text_queries import contains_join
@@ -435,10 +435,10 @@ def reranker_bakeoff(t: Tables) -> DataFrame:
     scored = pairs.select("item_id", "doc_id", "tokens", "right", models).select("m.model", "m.score", "item_id", "doc_id", "tokens", "right")
     best = scored.groupBy("model", "item_id").agg(F.max_by(F.coalesce("right", F.lit(False)), F.struct("score", (-F.col("doc_id")).alias("d"))).alias("right"))
     lengths = scored.groupBy("model").agg(
-        F.sum("tokens").alias("tokens"), F.round(F.avg("tokens"), 4).alias("mean"), F.percentile("tokens", 0.5).alias("median"), F.max("tokens").alias("longest"),
+        F.sum("tokens").alias("tokens"), F.round(F.avg("tokens"), 4).alias("mean"), F.max("tokens").alias("longest"),
         F.round(100.0 * F.avg((F.col("tokens") > PAIR_LIMIT).cast("int")), 4).alias("percent_over"),
     )
-    return best.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if("right").alias("hits")).join(lengths, "model")
+    return best.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if("right").alias("hits")).join(lengths, "model").join(order.quantiles_exclusive(scored, "tokens", ["model"], {"median": 0.5, "p90": 0.9}), "model")
 
 
 @query()

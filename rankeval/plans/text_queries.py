@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.functions import patches, stats, text
+from rankeval.functions import order, patches, stats, text
 from rankeval.operators import chunking, evaluate, ranking, tools
 from rankeval.operators.literal import literal_hits
-from rankeval.plans.base import SQL_LINES, SQL_PATH, Tables, order_paths, part_path, query, sql_is_source, sql_is_test, sql_norm, sql_tokens
+from rankeval.plans.base import SQL_LINES, SQL_PATH, Tables, order_paths, part_path, query, sql_is_source, sql_is_test, sql_norm, sql_quantile, sql_tokens
 from rankeval.sources import cache, dataset, tree
 
 #: Identifiers in every form that the tokenizer takes apart; the synthetic documents have none.
@@ -176,14 +176,12 @@ def corpus_stats(t: Tables) -> DataFrame:
     return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("chars"), F.max("n").alias("longest"), F.count_distinct("blob").alias("blobs"), F.sum(F.expr("n div 4")).alias("tokens"))
 
 
-def _sql_quantile(p: float) -> str:
-    return f"CASE WHEN k = 1 THEN x[1] ELSE x[greatest(1, least(k - 1, floor({p} * (k + 1))::INT))] * (1 - ({p} * (k + 1) - greatest(1, least(k - 1, floor({p} * (k + 1)))))) + x[greatest(1, least(k - 1, floor({p} * (k + 1))::INT)) + 1] * ({p} * (k + 1) - greatest(1, least(k - 1, floor({p} * (k + 1))))) END"
-
-
-@query(f"WITH g AS (SELECT source, list_sort(list((n_chars // 4)::DOUBLE)) AS x, count(*) AS k, avg(n_chars // 4) AS mean FROM documents GROUP BY source) SELECT source, round(mean, 4) AS mean, round({_sql_quantile(0.5)}, 4) AS median, round({_sql_quantile(0.9)}, 4) AS p90 FROM g")
+@query(f"WITH g AS (SELECT source, list_sort(list((n_chars // 4)::DOUBLE)) AS x, count(*) AS k, avg(n_chars // 4) AS mean FROM documents GROUP BY source) SELECT source, round(mean, 4) AS mean, round({sql_quantile(0.5)}, 4) AS median, round({sql_quantile(0.9)}, 4) AS p90 FROM g")
 def quantiles_exclusive(t: Tables) -> DataFrame:
     d = t.documents.select("source", F.expr("n_chars div 4").alias("x"))
-    return d.groupBy("source").agg(F.round(F.avg("x"), 4).alias("mean"), F.round(stats.quantile_exclusive("x", 0.5), 4).alias("median"), F.round(stats.quantile_exclusive("x", 0.9), 4).alias("p90"))
+    mean = d.groupBy("source").agg(F.round(F.avg("x"), 4).alias("mean"))
+    q = order.quantiles_exclusive(d, "x", ["source"], {"median": 0.5, "p90": 0.9})
+    return order.beside(mean, q, ["source"]).select("source", "mean", F.round("median", 4).alias("median"), F.round("p90", 4).alias("p90"))
 
 
 @query(f"""WITH {SQL_LINES} SELECT o, md5(string_agg('### ' || path || chr(10) || CASE WHEN flag = 'N' THEN '(no snippet available)' ELSE flag || n END, chr(10) || chr(10) ORDER BY n, path, CASE WHEN flag = 'N' THEN '' ELSE flag || n END)) AS prompt FROM lines GROUP BY o""")

@@ -1,10 +1,12 @@
 import math
+import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from rankeval.functions import patches, stats, text
+from rankeval.functions import order, patches, stats, text
+from rankeval.operators import evaluate
 
 
 def column(spark, values, f):
@@ -65,21 +67,45 @@ def test_patches(spark):
 
 
 def test_wilson_and_mcnemar(spark):
-    df = spark.createDataFrame([(0, 0), (0, 16), (7, 7), (0, 1), (1, 5), (5, 1), (9, 19), (18, 22), (3000, 3100)], "a long, b long")
-    got = [r[0] for r in df.select(stats.mcnemar("a", "b")).collect()]
-    exact = lambda a, b: min(1.0, 2 * sum(math.comb(a + b, i) for i in range(min(a, b) + 1)) / 2 ** (a + b)) if a + b else 1.0
-    assert all(math.isclose(g, exact(r.a, r.b), rel_tol=1e-9) for g, r in zip(got, df.collect(), strict=True)) and math.isclose(got[4], 7 / 32)
+    pairs = [(0, 0), (0, 16), (7, 7), (0, 1), (1, 5), (5, 1), (9, 19), (18, 22), (3000, 3100), (1, 2), (12, 13), (499, 501), (10, 3000), (0, 5000), (2500, 9000)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    got = df.select("a", "b", stats.mcnemar("a", "b").alias("p"), stats.log_mcnemar("a", "b").alias("log_p")).collect()
+    for r in got:
+        n, ways = r.a + r.b, 2 * sum(math.comb(r.a + r.b, i) for i in range(min(r.a, r.b) + 1))
+        exact = min(0.0, math.log(ways) - n * math.log(2)) if n else 0.0
+        assert math.isclose(r.log_p, exact, rel_tol=1e-12, abs_tol=1e-11) and math.isclose(r.p, math.exp(exact), rel_tol=1e-8)
+    assert math.isclose(got[4].p, 7 / 32)
+    # Far beyond what can be counted out: against the normal law near the middle, against Chernoff's bound far from it.
+    big = spark.createDataFrame([(500_000_000 - 10_000, 500_000_000 + 10_000), (10**9, 3 * 10**9), (0, 10**12)], "a long, b long")
+    near, far, none = (r[0] for r in big.select(stats.log_mcnemar("a", "b")).collect())
+    z = (20_000 - 1) / math.sqrt(10**9)
+    assert math.isclose(math.exp(near), math.erfc(z / math.sqrt(2)), rel_tol=1e-6)
+    chernoff = -4e9 * (math.log(2) + 0.25 * math.log(0.25) + 0.75 * math.log(0.75))
+    assert chernoff - 20 < far < chernoff and math.isclose(none, (1 - 10**12) * math.log(2))
     ci = spark.createDataFrame([(0, 0), (5, 10), (10, 10), (50, 100)], "h long, n long").select(stats.wilson("h", "n").alias("c")).collect()
     low, high = [r.c.low for r in ci], [r.c.high for r in ci]
     assert (low[0], high[0]) == (0, 0) and low[1] < 0.5 < high[1] and 1 - 1e-12 < high[2] <= 1 and high[3] - low[3] < high[1] - low[1]
 
 
 def test_medians_and_quantiles(spark):
-    for values in ([3.0], [1.0, 2.0], [5.0, 1.0, 4.0, 2.0], list(map(float, range(37)))):
-        df = spark.createDataFrame([(v,) for v in values], "x double")
-        m, q = df.agg(stats.upper_median("x"), stats.quantile_exclusive("x", 0.9)).first()
-        assert m == sorted(values)[len(values) // 2]
-        if len(values) > 1:
-            assert math.isclose(q, statistics.quantiles(values, n=10)[8])
-
-
+    r = random.Random(4)
+    groups = {"one": [3.0], "two": [1.0, 2.0], "four": [5.0, 1.0, 4.0, 2.0], None: list(map(float, range(37))), "same": [2.0] * 500 + [1.0, 9.0], "many": [round(r.gauss(0, 50), 1) for _ in range(3000)]}
+    df = spark.createDataFrame([(g, v) for g, values in groups.items() for v in [*values, None]] + [("none", None)], "g string, x double").repartition(7)
+    med = {x.g: x["median"] for x in order.upper_median(df, "x", ["g"]).collect()}
+    assert med == {g: sorted(v)[len(v) // 2] for g, v in groups.items()}
+    ex = {x.g: (x.q, x.h) for x in order.quantiles_exclusive(df, "x", ["g"], {"q": 0.9, "h": 0.5}).collect()}
+    for g, v in groups.items():
+        if len(v) > 1:
+            assert math.isclose(ex[g][0], statistics.quantiles(v, n=10)[8]) and math.isclose(ex[g][1], statistics.quantiles(v, n=2)[0])
+    assert ex["one"] == (3.0, 3.0)
+    everything = sorted(v for values in groups.values() for v in values)
+    assert order.upper_median(df, "x", []).first()[0] == everything[len(everything) // 2]
+    assert order.upper_median(df.limit(0), "x", []).count() == 0
+    rows = order.beside(df.groupBy("g").count(), order.upper_median(df, "x", ["g"]), ["g"])
+    assert {x.g: x["median"] for x in rows.collect()} == med | {"none": None}
+
+
+def test_no_group_is_collected(spark):
+    scores = spark.createDataFrame([(1, "a", True, 1.0, 1.0, 1.0, 1.0)], "instance_id int, grp string, hit boolean, recall_3 double, recall_5 double, latency double, cost double")
+    for df in (evaluate.overall(scores), evaluate.by_group(scores, "grp"), evaluate.report(scores, "grp")):
+        assert "collect_list" not in df._jdf.queryExecution().toString()
