@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankeval.llm import secret_scan, spelling, vector_codes
+
 SF = "/root/testdata/sf0.01"
 
 
