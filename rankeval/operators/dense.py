@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rankeval.session import ship
 
@@ -21,82 +24,112 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, id, score) of every query in a corpus with every vector of it, joined on corpus. For few vectors a corpus."""
-    return vectors.join(queries, "corpus").select("query", "corpus", "id", F.round(dot("embedding", "query_embedding"), DIGITS).alias("score"))
+def _blocks(queries: DataFrame, corpus: bool) -> Iterator[tuple]:
+    """(query, corpus, vectors) of queries in blocks of bounded size, as arrays; one empty block without any."""
+    block, width, some = [], 1, False
+    for row in queries.select("query", *(["corpus"] if corpus else []), "query_embedding").toLocalIterator():
+        width = max(1, len(row[-1]))
+        block.append(row)
+        if len(block) * width >= BLOCK_NUMBERS:
+            yield _arrays(block)
+            block, some = [], True
+    if block or not some:
+        yield _arrays(block)
+
+
+def _arrays(block: list) -> tuple:
+    return _objects([r[0] for r in block]), _objects([r[1] for r in block]), np.array([r[-1] for r in block], np.float64)
+
+
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that have a vector, their vectors); null vectors are left out, others must be whole and of this width."""
+    at = np.flatnonzero(~np.asarray(column.is_null()))
+    column = column.take(pa.array(at))
+    if len(at) and set(column.value_lengths().to_pylist()) != {width} or column.flatten().null_count:
+        raise ValueError(f"a vector is not {width} numbers long")
+    return at, column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), width)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, id, score, rank): the k nearest of all vectors (id, embedding) for each query (query, query_embedding).
 
     Query blocks of bounded size are broadcast; each batch of vectors gives at most k candidates a query (a matrix product,
-    then a partial sort), so what is shuffled does not grow with the number of vectors in a batch.
+    then a partial sort), so what is shuffled does not grow with the number of vectors in a batch. Rows without a vector
+    are left out; a vector of another length is an error. Ids and queries keep their types.
     """
     ship(vectors.sparkSession)
-    rows = queries.select("query", "query_embedding").toLocalIterator()
-    out, block, width = None, [], 1
-    for row in rows:
-        width = max(1, len(row.query_embedding))
-        block.append(row)
-        if len(block) * width >= BLOCK_NUMBERS:
-            part = _block(vectors, block, k)
-            out, block = part if out is None else out.unionByName(part), []
-    if block or out is None:
-        part = _block(vectors, block, k)
+    rows, out = vectors.select("id", "embedding"), None
+    types = [queries.schema["query"].dataType, rows.schema["id"].dataType]
+    schema = f"query {types[0].simpleString()}, id {types[1].simpleString()}, score double"
+    for block in _blocks(queries, False):
+        sent = vectors.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, _, q = sent.value
+            kinds = [to_arrow_type(t) for t in types]
+            for batch in batches:
+                at, v = _matrix(batch.column(1), q.shape[1]) if len(names) else ([], None)
+                if not len(at):
+                    continue
+                ids = batch.column(0).take(pa.array(at))
+                place = np.argsort(np.asarray(pc.sort_indices(ids)))  # of equally near ones the first by id
+                near = np.round(q @ v.T, DIGITS)
+                order = np.lexsort((np.broadcast_to(place, near.shape), -near), axis=1)[:, :k]
+                query = pa.array(np.repeat(names, order.shape[1]).tolist(), kinds[0])
+                yield pa.RecordBatch.from_arrays([query, ids.take(pa.array(order.ravel())).cast(kinds[1]), pa.array(np.take_along_axis(near, order, 1).ravel())], ["query", "id", "score"])
+
+        part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _block(vectors: DataFrame, block: list, k: int) -> DataFrame:
-    sent = vectors.sparkSession.sparkContext.broadcast((np.array([r.query for r in block]), np.array([r.query_embedding for r in block], np.float64)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, q = sent.value
-        for batch in batches:
-            if not len(batch) or not len(names):
-                continue
-            ids, v = batch["id"].to_numpy(), np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            near = np.round(q @ v.T, DIGITS)
-            order = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, :k]
-            yield pd.DataFrame({"query": np.repeat(names, order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(near, order, 1).ravel()})
-
-    return vectors.select("id", "embedding").mapInPandas(run, "query bigint, id bigint, score double")
-
-
 def best_of(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, path, score, pos): for each query and path the best of the path's vectors (path, pos, embedding), the first of equals.
 
-    Queries go out in blocks of bounded size; a batch of vectors gives a row for each of its paths and query, so what is
-    shuffled is smaller than all pairs by the number of vectors that a path has in a batch.
+    Where both tables have a corpus, a query meets the vectors of its own corpus alone. Queries go out in blocks of bounded
+    size; a batch of vectors gives a row for each of its paths and query, so what is shuffled is smaller than all pairs by
+    the number of vectors that a path has in a batch. Vectors and types are treated as in top_k().
     """
     ship(vectors.sparkSession)
-    kind, out, block = vectors.schema["path"].dataType.simpleString(), None, []
-
-    def scanned(block: list) -> DataFrame:
-        sent = vectors.sparkSession.sparkContext.broadcast((np.array([r.query for r in block]), np.array([r.query_embedding for r in block], np.float64)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, q = sent.value
+    corpus = "corpus" in vectors.columns and "corpus" in queries.columns
+    rows = vectors.select("path", F.col("pos").cast("long").alias("pos"), "embedding", *(["corpus"] if corpus else []))
+    types, out = [queries.schema["query"].dataType, rows.schema["path"].dataType], None
+    schema = f"query {types[0].simpleString()}, path {types[1].simpleString()}, score double, pos bigint"
+    for block in _blocks(queries, corpus):
+        sent = vectors.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, own, q = sent.value
+            kinds = [to_arrow_type(t) for t in types]
             for batch in batches:
-                if not len(batch) or not len(names):
+                at, v = _matrix(batch.column(2), q.shape[1]) if len(names) else ([], None)
+                if not len(at):
                     continue
-                batch = batch.sort_values(["path", "pos"])
-                paths, pos = batch["path"].to_numpy(), batch["pos"].to_numpy()
-                near = np.round(q @ np.stack(batch["embedding"].to_numpy()).astype(np.float64).T, DIGITS)
-                first = np.flatnonzero(np.concatenate([[True], paths[1:] != paths[:-1]]))
-                for a, b in zip(first, [*first[1:], len(paths)], strict=True):
-                    at = near[:, a:b].argmax(1)  # the first of equals
-                    yield pd.DataFrame({"query": names, "path": paths[a], "score": near[np.arange(len(names)), a + at], "pos": pos[a + at]})
-
-        return vectors.select("path", "pos", "embedding").mapInPandas(run, f"query bigint, path {kind}, score double, pos bigint")
-
-    for row in queries.select("query", "query_embedding").toLocalIterator():
-        block.append(row)
-        if len(block) * max(1, len(row.query_embedding)) >= BLOCK_NUMBERS:
-            out, block = scanned(block) if out is None else out.unionByName(scanned(block)), []
-    if block or out is None:
-        out = scanned(block) if out is None else out.unionByName(scanned(block))
+                part = batch.take(pa.array(at))
+                keys = ["corpus", "path", "pos"] if corpus else ["path", "pos"]
+                order = np.asarray(pc.sort_indices(pa.table({c: part.column(part.schema.get_field_index(c)) for c in keys}), [(c, "ascending") for c in keys]))
+                part, v = part.take(pa.array(order)), v[order]
+                paths, pos, group = part.column(0), part.column(1).to_numpy(), part.column(3).to_pylist() if corpus else None
+                code = np.asarray(paths.dictionary_encode().indices)
+                edge = code[1:] != code[:-1]
+                if corpus:
+                    edge |= np.array([a != b for a, b in zip(group[1:], group[:-1], strict=True)], bool)
+                first = np.flatnonzero(np.concatenate([[True], edge]))
+                near = np.round(q @ v.T, DIGITS)
+                for a, b in zip(first, [*first[1:], len(pos)], strict=True):
+                    mine = np.flatnonzero(own == group[a]) if corpus else np.arange(len(names))
+                    best = near[mine, a:b].argmax(1)  # the first of equals
+                    yield pa.RecordBatch.from_arrays([pa.array(names[mine].tolist(), kinds[0]), paths.take(pa.array(np.full(len(mine), a))).cast(kinds[1]), pa.array(near[mine, a + best]), pa.array(pos[a + best])], ["query", "path", "score", "pos"])
+
+        part = rows.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
     best = F.max(F.struct("score", (-F.col("pos")).alias("p")))
     return out.groupBy("query", "path").agg(best.alias("b")).select("query", "path", F.col("b.score").alias("score"), (-F.col("b.p")).alias("pos"))
 

@@ -1,12 +1,10 @@
-"""BM25 over one or many corpora, all queries at once."""
+"""BM25 over one or many corpora, all queries at once; sources/postings.py has it over a stored index."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.functions.text import tokenize
-
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
 
@@ -55,39 +53,6 @@ def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B, e
     return tf.join(terms, ["corpus", "token"]).groupBy("query", "corpus", "doc").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
-def full_ranking(scored: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every document of a query's corpus, those without a common token at 0, by score and then id."""
-    every = queries.select("query", "corpus").join(docs.select("corpus", "doc"), "corpus")
-    rows = every.join(scored, ["query", "corpus", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    w = Window.partitionBy("query", "corpus").orderBy(F.desc("score"), "doc")
-    return rows.withColumn("rank", F.row_number().over(w))
-
-
-def top_k(scored: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The first k of full_ranking(). Only queries with fewer than k positive scores meet documents without a match.
-
-    The best rows (k a query at most) are made at once and kept, as what follows depends on them: where every query has k
-    of them nothing else is read. That is a job while the plan is built.
-    """
-    keys = ["query", "corpus"]
-    positive = F.when(F.col("score") > 0, 0).otherwise(1)
-    w = Window.partitionBy(*keys)
-    best = scored.withColumn("rank", F.row_number().over(w.orderBy(positive, F.desc("score"), "doc"))).where(F.col("rank") <= k).drop("rank").persist()
-    full = best.where("score > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("have")).where(F.col("have") >= k)
-    short = queries.select(*keys, F.col("tokens").alias("asked")).join(full, keys, "left_anti")
-    if short.isEmpty():
-        return best.select(*keys, "doc", "score").withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "doc")))
-    # Scores of 0: documents that share no token. The first k of them are enough.
-    none = short.join(docs.select("corpus", "doc", "tokens"), "corpus").where(~F.arrays_overlap("tokens", "asked")).select(*keys, "doc", F.lit(0.0).alias("score"))
-    none = none.withColumn("rank", F.row_number().over(w.orderBy("doc"))).where(F.col("rank") <= k).drop("rank")
-    both = best.select(*keys, "doc", "score").unionByName(none)
-    return both.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
-
-
-def tokenized(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("tokens", tokenize(text))
-
-
 def best_chunk(scored: DataFrame) -> DataFrame:
     """(query, corpus, path, pos, score) to a row for each path: its best score and the earliest chunk that has it."""
     best = F.max(F.struct("score", (-F.col("pos")).alias("p")))

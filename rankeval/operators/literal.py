@@ -1,66 +1,23 @@
-"""Which texts hold which literal patterns: one scan of the texts, whatever the number of patterns."""
+"""Which texts hold which literal patterns, by the stored index of text pieces (sources/grams.py)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankeval.session import ship
+from rankeval.sources import grams
+from rankeval.sources.store import shared_folder
 
-#: Bound on the patterns that go out together, in characters; more patterns take more scans.
-SLICE_CHARS = 4_000_000
 
-
-def _slices(patterns: DataFrame, limit: int) -> Iterator[list[str]]:
-    """The distinct patterns, none of them null, in lists of bounded size; at least one list."""
-    held, size, some = [], 0, False
-    for (p,) in patterns.select("pattern").where("pattern is not null").distinct().toLocalIterator():
-        if held and size + len(p) > limit:
-            yield held
-            held, size, some = [], 0, True
-        held.append(p)
-        size += len(p) + 1
-    if held or not some:
-        yield held
-
-
-def _automaton(patterns: list[str]):
-    import ahocorasick
-
-    out = ahocorasick.Automaton()
-    for p in patterns:
-        if p:
-            out.add_word(p, p)
-    out.make_automaton()
-    return out
-
-
-def literal_hits(texts: DataFrame, patterns: DataFrame, *, key: str, text: str = "text", slice_chars: int = SLICE_CHARS) -> DataFrame:
+def literal_hits(texts: DataFrame, patterns: DataFrame, *, key: str, text: str = "text", store: str | None = None) -> DataFrame:
     """(key, pattern) of every row of texts and every distinct pattern that its text holds; an empty pattern is everywhere.
 
-    The patterns become an automaton that reads a text once, so the work is that of the texts and the hits, not of their
-    product with the patterns. Null texts hold nothing, null patterns are nowhere; repeated rows give repeated hits.
+    store: a folder that keeps the index from call to call, for texts whose key stands for their content; texts that it
+    lacks are added. Without it the index is made for this call. Rows with a null key or text hold nothing, null patterns
+    are nowhere; repeated rows give repeated hits.
     """
-    ship(texts.sparkSession)
-    rows, out = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null"), None
-    kind = rows.schema["key"].dataType.simpleString()
-    for held in _slices(patterns, slice_chars):
-        sent = rows.sparkSession.sparkContext.broadcast(held)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            search = _automaton(sent.value)
-            always = [p for p in sent.value if not p]
-            for batch in batches:
-                at, found = [], []
-                for i, t in enumerate(batch.column(1).to_pylist()):
-                    own = [*always, *({p for _, p in search.iter(t)} if len(search) else ())]
-                    at += [i] * len(own)
-                    found += own
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["key", "pattern"])
-
-        part = rows.mapInArrow(run, f"key {kind}, pattern string")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("key", key)
+    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    index = grams.ready(texts.sparkSession, store or f"{shared_folder(texts.sparkSession)}/grams-{uuid.uuid4().hex}", rows)
+    return index.search(rows, patterns).withColumnRenamed("key", key)

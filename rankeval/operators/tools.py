@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankeval.functions.text import existing_form, first_lines_within, is_source
@@ -10,14 +10,23 @@ from rankeval.operators.chunking import definitions
 from rankeval.operators.literal import literal_hits
 
 MAX_HITS, MAX_LINES, MAX_CHARS = 30, 200, 4000
+#: What ends a line, here and where sources are cut into chunks.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
-def grep(tree: DataFrame, blobs: DataFrame, patterns: DataFrame, limit: int = MAX_HITS) -> DataFrame:
+def _numbered(line: Column) -> Column:
+    """A line's number, at least six characters wide."""
+    n = line.cast("string")
+    return F.when(F.length(n) < 6, F.lpad(n, 6, " ")).otherwise(n)
+
+
+def grep(tree: DataFrame, blobs: DataFrame, patterns: DataFrame, limit: int = MAX_HITS, store: str | None = None) -> DataFrame:
     """(request, path, hits, shown): source files that hold the pattern literally, in tree order; binary ones never do.
 
-    patterns: (request, corpus, pattern): each text is read once for all of them, blob by blob, before paths join.
+    patterns: (request, corpus, pattern): blobs are searched once for all of them, before paths join. store: as in
+    literal_hits().
     """
-    found = literal_hits(blobs.where(~F.col("text").contains("\0")), patterns, key="blob")
+    found = literal_hits(blobs.where(~F.col("text").contains("\0")), patterns, key="blob", store=store)
     files = tree.where(is_source("path")).join(found, "blob").join(patterns, ["corpus", "pattern"]).select("request", "path")
     w = Window.partitionBy("request")
     return files.select("request", "path", F.count(F.lit(1)).over(w).alias("hits"), (F.row_number().over(w.orderBy("path")) <= limit).alias("shown"))
@@ -31,12 +40,12 @@ def read_range(requests: DataFrame, files: DataFrame, *, max_lines: int = MAX_LI
     """
     r = requests.withColumn("path", existing_form("path")).join(files, ["corpus", "path"], "left")
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(F.regexp_replace(text, r"(\r\n|[\n\r])\z", ""), r"\r\n|[\n\r]", -1)
+    lines = F.split(F.regexp_replace(text, f"({LINE_END})\\z", ""), LINE_END, -1)
     n = F.when(text == "", 0).otherwise(F.size(lines))
     bad = F.col("text").isNull() | (F.col("first") < 1) | (F.col("last") < F.col("first")) | (F.col("first") > n)
     own = F.slice(lines, F.greatest(F.col("first"), F.lit(1)), F.greatest(F.lit(0), F.col("last") - F.col("first") + 1))
     own = F.slice(own, F.lit(1), F.greatest(F.lit(0), n - F.col("first") + 1))
-    numbered = F.transform(own, lambda x, i: F.concat(F.lpad((F.col("first") + i).cast("string"), 6, " "), F.lit("  "), x))
+    numbered = F.transform(own, lambda x, i: F.concat(_numbered(F.col("first") + i), F.lit("  "), x))
     r = r.select("request", "path", n.cast("long").alias("lines"), bad.alias("rejected"), F.when(~bad, numbered).alias("w"))
     r = r.withColumn("kept", first_lines_within(F.col("w"), max_lines, max_chars))
     return r.select("request", "path", "lines", F.array_join("kept", "\n").alias("body"), F.coalesce(F.size("kept") < F.size("w"), F.lit(False)).alias("truncated"), "rejected")
@@ -45,17 +54,17 @@ def read_range(requests: DataFrame, files: DataFrame, *, max_lines: int = MAX_LI
 def outline(files: DataFrame) -> DataFrame:
     """(path, n, body): `line  signature` of each definition, cut to fit. files: (path, text)."""
     d = definitions(files, key="path").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", "line", "signature"))).alias("d"))
-    body = F.transform("d", lambda x: F.concat(F.lpad(x["line"].cast("string"), 6, " "), F.lit("  "), x["signature"]))
+    body = F.transform("d", lambda x: F.concat(_numbered(x["line"]), F.lit("  "), x["signature"]))
     return d.select("path", F.size("d").alias("n"), F.array_join(first_lines_within(body, MAX_LINES, MAX_CHARS), "\n").alias("body"))
 
 
-def find_definition(tree: DataFrame, blobs: DataFrame, symbols: DataFrame) -> DataFrame:
+def find_definition(tree: DataFrame, blobs: DataFrame, symbols: DataFrame, store: str | None = None) -> DataFrame:
     """(request, path, line, signature) of definitions named by the symbol or ending in it. symbols: (request, corpus, symbol).
 
     Blobs without the symbol's last part are not parsed.
     """
     s = symbols.withColumn("pattern", F.substring_index("symbol", ".", -1))
-    near = blobs.join(literal_hits(blobs, s, key="blob").select("blob").distinct(), "blob", "left_semi").select("blob", "text").distinct()
+    near = blobs.join(literal_hits(blobs, s, key="blob", store=store).select("blob").distinct(), "blob", "left_semi").select("blob", "text").distinct()
     d = definitions(near).select("blob", "name", "line", "signature")
     files = tree.where(is_source("path")).join(d, "blob")
     named = (F.col("name") == F.col("symbol")) | F.col("name").endswith(F.concat(F.lit("."), F.col("symbol")))

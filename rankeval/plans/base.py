@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankeval.session import ship
+from rankeval.sources.store import shared_folder, signature
 
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -21,6 +22,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def store(self, name: str, *tables: DataFrame) -> str:
+        """A folder for what is derived from tables: another one once their files change."""
+        return f"{shared_folder(self.spark)}/{name}-{signature(*tables)}"
+
 
 def query(sql: str | None = None):
     """Register f(tables) under its name, with the SQL that gives the same rows."""

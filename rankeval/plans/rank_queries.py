@@ -9,14 +9,11 @@ from rankeval.functions import order, stats
 from rankeval.functions.text import normalize_path, tokenize
 from rankeval.operators import agent, budget, dense, evaluate, lexical, ranking, splits
 from rankeval.plans.base import SQL_LINES, Tables, order_paths, query, sql_bm25, sql_log_mcnemar, sql_mcnemar, sql_norm, sql_quantile, sql_tokens, sql_wilson
+from rankeval.sources.postings import ready
 
 # ---------------------------------------------------------------- lexical and dense retrieval
 
 
-def _docs(t: Tables) -> DataFrame:
-    return t.documents.select(F.lit(0).alias("corpus"), F.col("doc_id").alias("doc"), tokenize("text").alias("tokens"))
-
-
 def _items(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query"), F.lit(0).alias("corpus"), tokenize("text").alias("tokens"))
 
@@ -26,9 +23,12 @@ _TOP = """ranked AS (SELECT query, doc, score, row_number() OVER (PARTITION BY q
 (SELECT q.query, d.doc, coalesce(s.score, 0.0) AS score FROM q, d LEFT JOIN s ON s.query = q.query AND s.doc = d.doc))"""
 
 
-def _topk(t: Tables, k: int, b: float = 0.75) -> DataFrame:
-    docs, items = _docs(t), _items(t)
-    return lexical.top_k(lexical.bm25(docs, items, b=b), docs, items, k)
+def _topk(t: Tables, k: int) -> DataFrame:
+    """From the stored postings of the documents, which are made at the first use."""
+    d = t.documents
+    docs = d.select(F.lit(0).alias("corpus"), F.col("doc_id").alias("doc"), "text")
+    index = ready(t.spark, t.store("documents", d), docs, lambda new: new.select("corpus", "doc", F.lit(0).alias("pos"), tokenize("text").alias("tokens")))
+    return index.search(_items(t), k)
 
 
 @query(f"WITH {sql_bm25(_DOCS, _ITEMS)}, {_TOP} SELECT query AS item_id, doc AS doc_id, score, rank::BIGINT AS rank FROM ranked WHERE rank <= 10")
@@ -52,16 +52,16 @@ def retrieval_eval(t: Tables) -> DataFrame:
 _CHUNKS = f"SELECT (doc_id, i) AS doc, {sql_tokens('x')} AS toks FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)"
 
 
-@query(f"""WITH {sql_bm25(_CHUNKS, _ITEMS)}, b AS (SELECT query, doc[1] AS doc_id, max(score) AS score FROM s GROUP BY ALL), f AS (SELECT s.query, s.doc[1] AS doc_id, b.score, min(s.doc[2]) AS pos FROM s JOIN b ON b.query = s.query AND b.doc_id = s.doc[1] AND b.score = s.score GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query AS item_id, doc_id, score, pos::INT AS pos, rank::BIGINT AS rank FROM r WHERE rank <= 10 AND score > 0""")
+@query(f"""WITH {sql_bm25(_CHUNKS, _ITEMS)}, p AS (SELECT query, doc[1] AS doc_id, min((-score, doc[2])) AS b FROM s WHERE score > 0 GROUP BY ALL),
+e AS (SELECT q.query, d.doc_id, coalesce(-p.b[1], 0.0) AS score, coalesce(p.b[2], 0) AS pos FROM q CROSS JOIN (SELECT DISTINCT doc[1] AS doc_id FROM d) d LEFT JOIN p ON p.query = q.query AND p.doc_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM e) SELECT query AS item_id, doc_id, score, pos::INT AS pos, rank::BIGINT AS rank FROM r WHERE rank <= 10""")
 def bm25_chunks(t: Tables) -> DataFrame:
     """Lines as chunks: a document scores as its best line, and names it."""
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "x"))
-    docs = lines.select(F.lit(0).alias("corpus"), F.struct("doc_id", "pos").alias("doc"), tokenize("x").alias("tokens"))
-    scored = lexical.bm25(docs, _items(t))
-    best = lexical.best_chunk(scored.select("query", "corpus", F.col("doc.doc_id").alias("path"), F.col("doc.pos").alias("pos"), "score"))
-    top = ranking.ranked(best, "query", doc="path").where("rank <= 10 and score > 0")
-    return top.select(F.col("query").alias("item_id"), F.col("path").alias("doc_id"), "score", "pos", F.col("rank").cast("long").alias("rank"))
+    d = t.documents
+    docs = d.select(F.lit(0).alias("corpus"), F.col("doc_id").alias("doc"), "text")
+    lines = lambda new: new.select("corpus", "doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "x")).select("corpus", "doc", "pos", tokenize("x").alias("tokens"))
+    top = ready(t.spark, t.store("lines", d), docs, lines).search(_items(t), 10)
+    return top.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score", "pos", F.col("rank").cast("long").alias("rank"))
 
 
 _DOT = "round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)"

@@ -14,13 +14,14 @@ EMBEDDED = 200
 SHOWN = 10
 
 
-def _tables(t: Tables) -> dict[str, DataFrame]:
+def _tables(t: Tables) -> dict:
     corpus = F.lit("all").alias("corpus")
     path = lambda c: F.concat(F.lit("src/f"), c.cast("string"), F.lit(".py")).alias("path")
     asked = t.part.where("p_partkey % 50 = 0")
     v, number = t.embeddings, F.col("vec_id") % EMBEDDED + 1
     vectors = t.embeddings.select(F.col("vec_id").alias("of"), F.col("embedding").alias("query_embedding"))
     return {
+        "store": t.store("ladder", t.part),
         "files": t.part.select(corpus, path(F.col("p_partkey")), F.col("p_partkey").alias("blob")),
         "blobs": python_sources(t),
         "queries": asked.select(F.col("p_partkey").alias("query"), corpus, F.concat("p_type", F.lit(" wraps x"), F.col("p_size").cast("string")).alias("text")),
@@ -66,22 +67,22 @@ _SHOW = f"SELECT query, doc, score, rank::BIGINT AS rank FROM {{}} WHERE rank <=
 @query(f"""WITH {sql_bm25(f"SELECT {_PATH} AS doc, list_concat({_PATH_TOKENS}, {sql_tokens('(' + _FILE + ')')}) AS toks FROM part", _ISSUES)},
 r AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (SELECT q.query, d.doc, coalesce(s.score, 0.0) AS score FROM q CROSS JOIN d LEFT JOIN s ON s.query = q.query AND s.doc = d.doc)) {_SHOW.format('r')}""")
 def rung_bm25(t: Tables) -> DataFrame:
-    return _shown(rungs.RUNGS["bm25"](_tables(t)))
+    return _shown(rungs.RUNGS["bm25"](_tables(t), SHOWN))
 
 
 @query(f"WITH {_sql_by_chunks(False)} {_SHOW.format('lex')}")
 def rung_bm25_chunks(t: Tables) -> DataFrame:
-    return _shown(rungs.RUNGS["bm25-chunks"](_tables(t)))
+    return _shown(rungs.RUNGS["bm25-chunks"](_tables(t), SHOWN))
 
 
 @query(f"WITH {_sql_by_chunks(True)} {_SHOW.format('lex')}")
 def rung_bm25_chunks_bodies(t: Tables) -> DataFrame:
-    return _shown(rungs.RUNGS["bm25-chunks-bodies"](_tables(t)))
+    return _shown(rungs.RUNGS["bm25-chunks-bodies"](_tables(t), SHOWN))
 
 
 @query(f"WITH {_SQL_DENSE} {_SHOW.format('den')}")
 def rung_embed(t: Tables) -> DataFrame:
-    return _shown(rungs.RUNGS["embed"](_tables(t)))
+    return _shown(rungs.RUNGS["embed"](_tables(t), SHOWN))
 
 
 _SQL_HYBRID = f"""{_sql_by_chunks(True)}, {_SQL_DENSE},
@@ -92,4 +93,4 @@ h AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)
 @query(f"WITH {_SQL_HYBRID} {_SHOW.format('h')}")
 def rung_hybrid(t: Tables) -> DataFrame:
     """Chunk bodies and vectors, fused by reciprocal ranks."""
-    return _shown(rungs.RUNGS["hybrid"](_tables(t)))
+    return _shown(rungs.RUNGS["hybrid"](_tables(t), SHOWN))

@@ -1,18 +1,24 @@
 """The ladder of rankers: each takes tables and gives (query, doc, rank, score) for all queries at once.
 
 Tables: files (corpus, path, blob), blobs (blob, text), queries (query, corpus, text); dense rankers take vectors
-(corpus, path, pos, embedding) and query_vectors (query, corpus, query_embedding).
+(corpus, path, pos, embedding) and query_vectors (query, corpus, query_embedding). With "store", a folder, chunks and
+postings are kept there from run to run: only blobs that it lacks are parsed, and ranking reads no text. With k the
+lexical rankers give the first k without summing up all that match.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankeval.functions.text import is_source, tokenize, tokenize_path
-from rankeval.operators import agent, chunking, dense, lexical, ranking
+from rankeval.operators import agent, chunking, dense, ranking
+from rankeval.sources import postings, store
+from rankeval.sources.chunks import Chunks
+from rankeval.sources.postings import Postings, ready
 
 
 def _queries(t: dict[str, DataFrame]) -> DataFrame:
@@ -23,50 +29,79 @@ def _sources(t: dict[str, DataFrame]) -> DataFrame:
     return t["files"].where(is_source("path"))
 
 
-def _ranked(scored: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
-    return lexical.full_ranking(scored, docs, queries).select("query", "doc", "rank", "score")
+def _store(t: dict[str, DataFrame], name: str) -> str:
+    """Where an index of these tables is kept: below t["store"], or in a folder of its own for this use alone."""
+    spark = t["files"].sparkSession
+    return f"{t['store']}/{name}" if "store" in t else f"{store.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def bm25(t: dict[str, DataFrame]) -> DataFrame:
+def _file_index(t: dict[str, DataFrame]) -> Postings:
     """A document is a file: the tokens of its path and its text. Each blob is tokenized once."""
-    texts = t["blobs"].select("blob", tokenize("text").alias("words"))
     none = F.array().cast("array<string>")
-    docs = _sources(t).join(texts, "blob", "left").select("corpus", F.col("path").alias("doc"), F.concat(tokenize_path("path"), F.coalesce("words", none)).alias("tokens"))
-    return _ranked(lexical.bm25(docs, _queries(t)), docs, _queries(t))
 
+    def make(new: DataFrame) -> DataFrame:
+        words = t["blobs"].join(new.select("blob").distinct(), "blob", "left_semi").select("blob", tokenize("text").alias("words"))
+        return new.join(words, "blob", "left").select("corpus", "doc", F.lit(0).alias("pos"), F.concat(tokenize_path("doc"), F.coalesce("words", none)).alias("tokens"))
 
-def _chunk_scores(t: dict[str, DataFrame], bodies: bool) -> DataFrame:
-    """(query, corpus, path, score, pos): the best chunk of every file that has a blob."""
-    own = _sources(t)
-    blobs = t["blobs"].join(own.select("blob").distinct(), "blob", "left_semi")
-    chunks = chunking.chunked(blobs, bodies=bodies).select("blob", "pos", tokenize(chunking.chunk_text()).alias("words"))
-    docs = own.join(chunks, "blob").select("corpus", F.struct("path", "pos").alias("doc"), F.concat(tokenize_path("path"), F.col("words")).alias("tokens"))
-    scored = lexical.bm25(docs, _queries(t))
-    every = _queries(t).select("query", "corpus").join(docs.select("corpus", "doc"), "corpus").join(scored, ["query", "corpus", "doc"], "left")
-    return lexical.best_chunk(every.select("query", "corpus", "doc.path", "doc.pos", F.coalesce("score", F.lit(0.0)).alias("score")))
+    return ready(t["files"].sparkSession, _store(t, "files"), _sources(t).select("corpus", F.col("path").alias("doc"), "blob"), make)
 
 
-def _by_file(best: DataFrame) -> DataFrame:
-    return ranking.ranked(best.withColumnRenamed("path", "doc"), "query").select("query", "doc", "rank", "score")
+def _chunks(t: dict[str, DataFrame], bodies: bool) -> Chunks:
+    held = Chunks(t["files"].sparkSession, _store(t, "chunks"), bodies=bodies)
+    held.extend(_sources(t), t["blobs"])
+    return held
 
 
-def bm25_chunks(t: dict[str, DataFrame]) -> DataFrame:
-    return _by_file(_chunk_scores(t, False))
+def _chunk_index(t: dict[str, DataFrame], bodies: bool) -> Postings:
+    """A document is a file that has a blob, in its chunks, each with the tokens of the path in front."""
 
+    def make(new: DataFrame) -> DataFrame:
+        rows = new.join(_chunks(t, bodies).rows().select("blob", "pos", "tokens"), "blob")
+        return rows.select("corpus", "doc", "pos", F.concat(tokenize_path("doc"), "tokens").alias("tokens"))
 
-def bm25_chunks_bodies(t: dict[str, DataFrame]) -> DataFrame:
-    return _by_file(_chunk_scores(t, True))
+    own = _sources(t).join(t["blobs"].select("blob"), "blob", "left_semi")
+    return ready(t["files"].sparkSession, _store(t, "bodies" if bodies else "heads"), own.select("corpus", F.col("path").alias("doc"), "blob"), make)
 
 
-def embed(t: dict[str, DataFrame]) -> DataFrame:
-    scored = dense.scores(t["vectors"].select("corpus", F.struct("path", "pos").alias("id"), "embedding"), t["query_vectors"])
-    return _by_file(lexical.best_chunk(scored.select("query", "corpus", "id.path", "id.pos", "score")))
+def _lexical(index: Postings, queries: DataFrame, k: int | None) -> DataFrame:
+    """(query, corpus, doc, score, pos, rank): the first k, or with None all documents."""
+    if k:
+        return index.search(queries, k)
+    keys = ["query", "corpus", "doc"]
+    matched = index.full(queries)
+    below = matched.groupBy(*keys).agg(F.count(F.lit(1)).alias("met"), F.collect_set(F.when(F.col("score") < 0, F.col("pos"))).alias("below"))
+    sizes = index.docs().groupBy("corpus", "doc").agg(F.count(F.lit(1)).cast("int").alias("chunks"))
+    every = queries.select("query", "corpus").join(sizes, "corpus").join(postings.best_chunks(matched), keys, "left").join(below, keys, "left")
+    # A chunk without a common token scores 0, which may be more than its document's best match.
+    own = (F.col("score") > 0) | (F.col("met") == F.col("chunks"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(0), F.col("chunks") - 1), F.coalesce("below", F.array().cast("array<int>"))))
+    rows = every.select(*keys, F.when(own, F.col("score")).otherwise(0.0).alias("score"), F.when(own, F.col("pos")).otherwise(free).alias("pos"))
+    return ranking.ranked(rows, "query")
 
 
-def hybrid(t: dict[str, DataFrame]) -> DataFrame:
-    """Both lists by reciprocal ranks."""
+def bm25(t: dict[str, DataFrame], k: int | None = None) -> DataFrame:
+    return _lexical(_file_index(t), _queries(t), k).select("query", "doc", "rank", "score")
+
+
+def bm25_chunks(t: dict[str, DataFrame], k: int | None = None) -> DataFrame:
+    return _lexical(_chunk_index(t, False), _queries(t), k).select("query", "doc", "rank", "score")
+
+
+def bm25_chunks_bodies(t: dict[str, DataFrame], k: int | None = None) -> DataFrame:
+    return _lexical(_chunk_index(t, True), _queries(t), k).select("query", "doc", "rank", "score")
+
+
+def embed(t: dict[str, DataFrame], k: int | None = None) -> DataFrame:
+    best = dense.best_of(t["vectors"], t["query_vectors"])
+    rows = ranking.ranked(best.withColumnRenamed("path", "doc"), "query").select("query", "doc", "rank", "score")
+    return rows.where(F.col("rank") <= k) if k else rows
+
+
+def hybrid(t: dict[str, DataFrame], k: int | None = None) -> DataFrame:
+    """Both lists by reciprocal ranks. Every rank of either list counts, so both are taken whole."""
     lists = bm25_chunks_bodies(t).withColumn("list", F.lit(0)).unionByName(embed(t).withColumn("list", F.lit(1)))
-    return ranking.rrf(lists)
+    fused = ranking.rrf(lists)
+    return fused.where(F.col("rank") <= k) if k else fused
 
 
 def reranked(base: DataFrame, scorer: DataFrame, k: int = ranking.HEAD) -> DataFrame:
@@ -89,10 +124,10 @@ def cross_encoder(t: dict[str, DataFrame]) -> DataFrame:
 
 def pair_texts(t: dict[str, DataFrame], base: DataFrame, k: int = ranking.HEAD) -> DataFrame:
     """(query, doc, issue, text) for a pair scorer: the head's paths, each with its best chunk, empty parts left out."""
-    best = _chunk_scores(t, True).select("query", "corpus", F.col("path").alias("doc"), "pos")
+    best = _lexical(_chunk_index(t, True), _queries(t), None).select("query", "corpus", "doc", "pos")
     head = base.where(F.col("rank") <= k).select("query", "doc").join(best, ["query", "doc"])
     blobs = head.join(_sources(t).select("corpus", F.col("path").alias("doc"), "blob"), ["corpus", "doc"])
-    chunks = chunking.chunked(t["blobs"].join(blobs.select("blob").distinct(), "blob", "left_semi"), bodies=True).select("blob", "pos", chunking.chunk_text().alias("chunk"))
+    chunks = _chunks(t, True).rows().select("blob", "pos", chunking.chunk_text().alias("chunk"))
     rows = blobs.join(chunks, ["blob", "pos"], "left").join(t["queries"].select("query", F.col("text").alias("issue")), "query")
     return rows.select("query", "doc", "issue", F.array_join(F.filter(F.array("doc", "chunk"), lambda x: x != ""), "\n").alias("text"))
 

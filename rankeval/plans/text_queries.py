@@ -123,7 +123,7 @@ def _doc_files(t: Tables) -> DataFrame:
 
 @query(r"""WITH f AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\n$', ''), chr(10)) END AS l FROM documents),
 x AS (SELECT doc_id, unnest(l[2:5]) AS x, generate_subscripts(l[2:5], 1) AS i FROM f),
-r AS (SELECT doc_id, i, lpad((i + 1)::VARCHAR, 6, ' ') || '  ' || x AS w, sum(length(x) + 9) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM x),
+r AS (SELECT doc_id, i, CASE WHEN i < 999999 THEN lpad((i + 1)::VARCHAR, 6, ' ') ELSE (i + 1)::VARCHAR END || '  ' || x AS w, sum(length(x) + 9) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM x),
 b AS (SELECT doc_id, string_agg(w, chr(10) ORDER BY i) FILTER (used <= 4000) AS body, bool_or(used > 4000) AS truncated FROM r GROUP BY doc_id)
 SELECT f.doc_id AS request, len(l)::BIGINT AS lines, coalesce(body, '') AS body, coalesce(truncated, false) AS truncated, len(l) < 2 AS rejected FROM f LEFT JOIN b ON f.doc_id = b.doc_id""")
 def read_range(t: Tables) -> DataFrame:
@@ -141,7 +141,7 @@ SELECT pattern, path, count(*) OVER (PARTITION BY pattern)::BIGINT AS hits, row_
 def grep_literal(t: Tables) -> DataFrame:
     files = _doc_files(t).withColumn("corpus", F.lit("all"))
     wanted = t.spark.createDataFrame([(g, "all", g) for g in GREP], "request string, corpus string, pattern string")
-    return tools.grep(files.select("corpus", "path", "blob"), files.select("blob", "text").distinct(), wanted).withColumnRenamed("request", "pattern")
+    return tools.grep(files.select("corpus", "path", "blob"), files.select("blob", "text").distinct(), wanted, store=t.store("blob-grams", t.documents)).withColumnRenamed("request", "pattern")
 
 
 @query(f"SELECT doc_id, md5(text) AS blob, len({sql_tokens('text')})::BIGINT AS n_tokens FROM documents")
@@ -154,9 +154,9 @@ def blob_dedup_join(t: Tables) -> DataFrame:
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text)")
 def contains_join(t: Tables) -> DataFrame:
-    """One scan of the documents for all items; hits then meet the items by their text."""
+    """Documents that share the rarest pieces of an item are looked at; hits then meet the items by their text."""
     items = t.benchmark.select("item_id", F.col("text").alias("pattern"))
-    return literal_hits(t.documents, items, key="doc_id").join(items, "pattern").select("item_id", "doc_id")
+    return literal_hits(t.documents, items, key="doc_id", store=t.store("document-grams", t.documents)).join(items, "pattern").select("item_id", "doc_id")
 
 
 @query("""WITH h AS (SELECT b.item_id, d.lang, count(*) AS n FROM benchmark b, documents d WHERE contains(d.text, b.text) GROUP BY ALL),

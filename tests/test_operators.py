@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankeval.operators import agent, budget, chunking, dense, evaluate, lexical, literal, ranking, splits, tools
+from rankeval.sources import grams
 
 ONE = "corpus string, doc string, tokens array<string>"
 
@@ -21,12 +22,6 @@ def test_bm25_closed_form(spark):
     scored = lexical.bm25(df, q)
     got = {r.doc: r.score for r in scored.collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], abs_tol=2e-6) for d in want)
-    full = [(r.query, r.doc, r["rank"]) for r in lexical.full_ranking(scored, df, q).orderBy("query", "rank").collect()]
-    order = sorted(docs, key=lambda d: (-got.get(d, 0.0), d))
-    assert full == [("empty", d, i + 1) for i, d in enumerate(docs)] + [("q", d, i + 1) for i, d in enumerate(order)]
-    for k in (2, 4, 9):
-        top = [(r.query, r.doc, r["rank"]) for r in lexical.top_k(scored, df, q, k).orderBy("query", "rank").collect()]
-        assert top == [x for x in full if x[2] <= k]
 
 
 def test_best_chunk(spark):
@@ -43,8 +38,26 @@ def test_dense(spark):
     near = lambda a: sorted(range(52), key=lambda i: (-round(sum(x * y for x, y in zip(a, v[i][1], strict=True)), 6), i))[:4]
     assert [top[3, i] for i in (1, 2, 3, 4)] == near(v[3][1]) and [top[50, i] for i in (1, 2, 3, 4)] == [0, 1, 2, 3]
     assert dense.top_k(df, q.limit(0), 4).count() == 0
-    s = dense.scores(df.withColumn("corpus", F.lit(0)), q.withColumn("corpus", F.lit(0)))
-    assert s.count() == 104
+
+
+@pytest.mark.parametrize("ids,kind,asked", [(lambda i: f"v{i:02d}", "string", "int"), (lambda i: i, "int", "string"), (lambda i: i, "long", "long")])
+def test_dense_keeps_types_and_leaves_rows_without_a_vector_out(spark, ids, kind, asked):
+    v = [(ids(i), [float(i % 3), 1.0]) for i in range(12)] + [(ids(12), None), (None, [9.0, 0.0])]
+    df = spark.createDataFrame(v, f"id {kind}, embedding array<float>")
+    q = spark.createDataFrame([("7" if asked == "string" else 7, [1.0, 0.0])], f"query {asked}, query_embedding array<double>")
+    got = dense.top_k(df, q, 4).orderBy("rank").collect()
+    assert [x.id for x in got] == [None, ids(2), ids(5), ids(8)] and dict(dense.top_k(df, q, 4).dtypes)["query"] == q.dtypes[0][1]
+    paths = df.select(F.col("id").alias("path"), F.lit(3).alias("pos"), "embedding")
+    assert {(x.path, x.score) for x in dense.best_of(paths.where("path is not null"), q).collect()} == {(ids(i), float(i % 3)) for i in range(12)}
+    for odd in ([1.0], [1.0, None]):
+        with pytest.raises(Exception, match="not 2 numbers long"):
+            dense.top_k(spark.createDataFrame([(ids(0), odd)], df.schema), q, 4).collect()
+
+
+def test_best_vector_within_the_corpus(spark):
+    vectors = spark.createDataFrame([("a", "p", 0, [1.0]), ("a", "p", 1, [3.0]), ("b", "p", 0, [5.0]), ("b", "q", 0, [2.0]), ("c", "p", 0, [9.0])], "corpus string, path string, pos int, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(1, "a", [1.0]), (2, "b", [1.0]), (3, "b", [-1.0])], "query int, corpus string, query_embedding array<double>")
+    assert sorted(tuple(x) for x in dense.best_of(vectors, queries).collect()) == [(1, "p", 3.0, 1), (2, "p", 5.0, 0), (2, "q", 2.0, 0), (3, "p", -5.0, 0), (3, "q", -2.0, 0)]
 
 
 def test_index_grows_by_what_is_new(spark):
@@ -191,14 +204,37 @@ if os:
 def test_literal_hits(spark):
     texts = [("a", "one two three"), ("b", "twotwo"), ("c", None), ("d", ""), ("e", "x" * 100000 + "%_"), ("b", "twotwo")]
     df = spark.createDataFrame([(k, t, "x") for k, t in texts], "blob string, text string, pattern string")
-    patterns = ["two", "wo t", "%_", "", None, "two", "none", "one two three"]
-    p = spark.createDataFrame([(x,) for x in patterns], "pattern string")
-    want = sorted((k, x) for k, t in texts for x in {*patterns} - {None} if t is not None and x in t)
-    for size in (10**6, 1):
-        assert sorted(map(tuple, literal.literal_hits(df, p, key="blob", slice_chars=size).collect())) == want
+    asked = ["two", "one two three", "", None, "%_", "x" * 90_000 + "%", "none of it here", "two"]
+    p = spark.createDataFrame([(x,) for x in asked], "pattern string")
+    want = sorted((k, x) for k, t in texts for x in {y for y in asked if y is not None} if t is not None and x in t)
+    assert sorted(map(tuple, literal.literal_hits(df, p, key="blob").collect())) == want
     assert literal.literal_hits(df, p.limit(0), key="blob").count() == 0 and literal.literal_hits(df.limit(0), p, key="blob").count() == 0
 
 
+@pytest.mark.parametrize("seed,cap", [(1, 64), (2, 2), (3, 0)])
+def test_literal_index_against_brute_force(spark, tmp_path, monkeypatch, seed, cap):
+    monkeypatch.setattr(grams, "LEAST_CAP", cap)
+    monkeypatch.setattr(grams, "SLICE_CHARS", 40)
+    r = random.Random(seed)
+    piece = lambda n: "".join(r.choice("abcdeé \n") for _ in range(n))
+    shared = [piece(12) for _ in range(5)]
+    texts = {i: r.choice(shared) + piece(r.randrange(0, 80)) + r.choice(shared) for i in range(150)}
+    asked = {t[a : a + r.randrange(0, 30)] for t in r.sample(list(texts.values()), 25) for a in [r.randrange(len(t))]} | {piece(9), piece(3), *shared}
+    df = spark.createDataFrame(list(texts.items()), "key long, text string")
+    p = spark.createDataFrame([(x,) for x in asked], "pattern string")
+    index = grams.Grams(spark, f"{tmp_path}/g")
+    assert [index.extend(x) for x in (df.where("key < 60"), df, df)] == [60, 90, 0]
+    want = sorted((k, x) for k, t in texts.items() for x in asked if x in t)
+    assert sorted(map(tuple, index.search(df, p).collect())) == want
+    pairs, blind = index.candidates(p)
+    blind = {(x.part, x.pattern) for x in blind.collect()}
+    assert {x for _, x in blind} >= {x for x in asked if len(x.encode()) < grams.PIECE + grams.WINDOW - 1}
+    may = {(x.key, x.pattern) for x in pairs.collect()}
+    assert may | {(k, x) for k in texts for x in asked if (int(k >= 60), x) in blind} >= set(want)
+    if cap == 64:
+        assert len(may) < 3 * len(want) + 20 and not {x for _, x in blind if len(x) > 20}
+
+
 def test_best_vector_of_each_path(spark):
     r = random.Random(5)
     v = [(f"p{i % 7}", i, [float(r.randrange(-2, 3)) for _ in range(3)]) for i in range(60)]
@@ -319,5 +355,10 @@ def test_tools(spark):
     want = spark.createDataFrame([(1, "c", "./f", 2, 9), (2, "c", "f", 4, 9), (3, "c", "g", 1, 2), (4, "c", "f", 3, 1), (5, "c", "f", 0, 1)], "request int, corpus string, path string, first int, last int")
     got = {r.request: r for r in tools.read_range(want, files).collect()}
     assert got[1].body == "     2  l2\n     3  l3" and got[1].lines == 3 and not got[1].rejected and all(got[i].rejected for i in (2, 3, 4, 5))
+    long = spark.createDataFrame([("c", "f", "x\n" * 999_999 + "million\nand one"), ("c", "g", "a\x0cb\u2028c\r\nd\x85")], files.schema)
+    ask = spark.createDataFrame([(1, "c", "f", 999_999, 1_000_001), (2, "c", "g", 1, 9)], want.schema)
+    got = {r.request: r for r in tools.read_range(ask, long).collect()}
+    assert got[1].body == "999999  x\n1000000  million\n1000001  and one" and got[1].lines == 1_000_001
+    assert got[2].body == "     1  a\n     2  b\n     3  c\n     4  d" and got[2].lines == 4
     cut = {r.request: r for r in tools.read_range(want, files, max_lines=1).collect()}
     assert cut[1].body == "     2  l2" and cut[1].truncated
