@@ -37,14 +37,14 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     ship(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         yield from run(batches)
+        give_back()
 
     return df.mapInArrow(task, schema)
 
 
 def give_back() -> None:
-    """Return to the system what a worker's former tasks have freed: workers live on from stage to stage."""
+    """Return to the system what a task has freed: its worker lives on, idle, through the stages that follow."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
