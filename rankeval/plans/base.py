@@ -117,3 +117,14 @@ raw AS (SELECT t, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM (SELECT t, count(*
 idf AS (SELECT t, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
 qt AS (SELECT query, t, count(*) AS qtf FROM (SELECT query, unnest(toks) AS t FROM q) GROUP BY query, t),
 s AS (SELECT query, doc, round(sum(idf * qtf * tf * 2.5 / (tf + 1.5 * (1 - {b} + {b} * dl / avgdl))), 6) AS score FROM qt JOIN idf USING (t) JOIN tf USING (t), st GROUP BY query, doc)"""
+
+
+def sql_windows(budget: int) -> str:
+    """CTEs (to follow WITH RECURSIVE) that end in win(doc_id, w, s): line windows of the documents, w from 1."""
+    return f"""ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS m FROM documents),
+le AS (SELECT doc_id, i, CASE WHEN i < m THEN x || chr(10) ELSE x END AS x FROM ln),
+pc AS (SELECT doc_id, i, j, substring(x, (j * {budget} + 1)::BIGINT, {budget}) AS s, length(x) <= {budget} AS joins FROM (SELECT *, unnest(range(0, (length(x) - 1) // {budget} + 1)) AS j FROM le WHERE x <> '')),
+pn AS (SELECT doc_id, s, joins, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k FROM pc),
+wn AS (SELECT doc_id, k, 1::BIGINT AS w, length(s) AS size FROM pn WHERE k = 1 UNION ALL
+SELECT p.doc_id, p.k, CASE WHEN p.joins AND wn.size + length(p.s) <= {budget} THEN wn.w ELSE wn.w + 1 END, CASE WHEN p.joins AND wn.size + length(p.s) <= {budget} THEN wn.size + length(p.s) ELSE length(p.s) END FROM wn JOIN pn p ON p.doc_id = wn.doc_id AND p.k = wn.k + 1),
+win AS (SELECT doc_id, w, string_agg(s, '' ORDER BY k) AS s FROM wn JOIN pn USING (doc_id, k) GROUP BY doc_id, w)"""

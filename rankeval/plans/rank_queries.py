@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankeval.functions import order, stats
 from rankeval.functions.text import normalize_path, tokenize
 from rankeval.operators import agent, budget, dense, evaluate, lexical, ranking, splits
-from rankeval.plans.base import SQL_LINES, Tables, order_paths, query, sql_bm25, sql_log_mcnemar, sql_mcnemar, sql_norm, sql_quantile, sql_tokens, sql_wilson
+from rankeval.plans.base import SQL_LINES, Tables, order_paths, query, sql_bm25, sql_log_mcnemar, sql_mcnemar, sql_norm, sql_quantile, sql_tokens, sql_windows, sql_wilson
 from rankeval.sources.postings import ready
 
 # ---------------------------------------------------------------- lexical and dense retrieval
@@ -403,12 +403,12 @@ def agent_replay(t: Tables) -> DataFrame:
     return r.select("instance_id", "stop", F.array_join("ranking", ",").alias("ranking"), "calls", "steps", "guardrail_retries", F.size("off_list").alias("n_off_list"), F.size("recalled").alias("n_recalled"), F.round("cost", 6).alias("cost"), "credited")
 
 
-@query()
+@query(f"WITH RECURSIVE {sql_windows(2048)}, f AS (SELECT md5(text) AS blob, min(doc_id) AS doc_id FROM documents GROUP BY 1 HAVING min(lang) <> 'en') SELECT blob, (w - 1)::INT AS pos, CASE WHEN regexp_matches(s, '\\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM f JOIN win USING (doc_id)")
 def index_incremental(t: Tables) -> DataFrame:
     """Vectors for the contents of all documents that the index, here of one language, does not have yet."""
     from rankeval.operators import chunking
 
-    files = t.documents.select("lang", F.md5(F.col("text").cast("binary")).alias("blob"), "text").dropDuplicates(["blob"])
+    files = t.documents.groupBy(F.md5(F.col("text").cast("binary")).alias("blob")).agg(F.min("lang").alias("lang"), F.min("text").alias("text"))
     chunks = files.select("blob", F.posexplode(chunking.line_windows("text", 2048)).alias("pos", "text"))
     have = files.where("lang = 'en'").select("blob")
     new = dense.extend_index(files.select("blob"), have, chunks, dense.hashed_encoder())
@@ -441,10 +441,24 @@ def reranker_bakeoff(t: Tables) -> DataFrame:
     return best.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if("right").alias("hits")).join(lengths, "model").join(order.quantiles_exclusive(scored, "tokens", ["model"], {"median": 0.5, "p90": 0.9}), "model")
 
 
-@query()
+#: An encoder's batches: tokens and rows of one at most.
+BATCH_TOKENS, BATCH_ROWS = 4096, 64
+
+
+@query(f"""WITH RECURSIVE {sql_windows(2048)}, tk AS (SELECT length(s) // 4 AS t FROM win), tn AS (SELECT t, count(*) AS n FROM tk GROUP BY t), ti AS (SELECT t, n, row_number() OVER (ORDER BY t) AS i FROM tn),
+fo AS (SELECT 0::BIGINT AS i, 0::BIGINT AS t, 0::BIGINT AS b, 0::BIGINT AS r, 0::BIGINT AS h, 0::BIGINT AS closed UNION ALL
+SELECT z.i, z.t, z.b + z.new, CASE WHEN z.rest = 0 THEN z.r + z.n ELSE z.rest - (z.new - 1) * z.fit END, CASE WHEN z.rest = 0 THEN z.h + z.n * z.t ELSE (z.rest - (z.new - 1) * z.fit) * z.t END, 0 FROM
+(SELECT y.*, ((y.rest + y.fit - 1) // y.fit)::BIGINT AS new FROM (SELECT x.*, x.n - least(x.n, x.free) AS rest FROM (SELECT ti.i, ti.t, ti.n, fo.b, fo.r, fo.h,
+ CASE WHEN ti.t = 0 THEN {BATCH_ROWS} ELSE greatest(1, least({BATCH_ROWS}, {BATCH_TOKENS} // greatest(ti.t, 1))) END AS fit,
+ CASE WHEN fo.r = 0 THEN CASE WHEN ti.t = 0 THEN {BATCH_ROWS} ELSE greatest(1, least({BATCH_ROWS}, {BATCH_TOKENS} // greatest(ti.t, 1))) END ELSE greatest(0, least({BATCH_ROWS} - fo.r, CASE WHEN ti.t = 0 THEN {BATCH_ROWS} ELSE ({BATCH_TOKENS} - fo.h) // ti.t END)) END AS free
+ FROM fo JOIN ti ON ti.i = fo.i + 1) x) y) z)
+SELECT count(*)::BIGINT AS chunks, sum(t)::BIGINT AS tokens, round(100.0 * avg((t > 256)::INT), 4) AS percent_over, round(100.0 * sum(greatest(0, t - 256)) / sum(t), 4) AS percent_dropped, (count(*) * 384 * 4)::BIGINT AS index_bytes,
+(SELECT max(b) + 1 FROM fo)::BIGINT AS batches, round(count(*) / (SELECT max(b) + 1 FROM fo), 4) AS rows_each, round(sum(t) / (SELECT max(b) + 1 FROM fo), 4) AS tokens_each FROM tk""")
 def bench_metrics(t: Tables) -> DataFrame:
-    """Of windows as an encoder would see them: how many, how many are over its limit, and the share of tokens cut off."""
-    from rankeval.operators import chunking
+    """Of windows as an encoder would see them: how many, how many are over its limit, the share of tokens cut off, and batches."""
+    from rankeval.operators import batching, chunking
 
-    w = t.documents.select(F.explode(chunking.line_windows("text", 2048)).alias("w")).select(F.expr("length(w) div 4").alias("tokens"))
-    return w.agg(F.count(F.lit(1)).alias("chunks"), F.sum("tokens").alias("tokens"), F.round(100.0 * F.avg((F.col("tokens") > 256).cast("int")), 4).alias("percent_over"), F.round(100.0 * F.sum(F.greatest(F.lit(0), F.col("tokens") - 256)) / F.sum("tokens"), 4).alias("percent_dropped"), (F.count(F.lit(1)) * 384 * 4).alias("index_bytes"))
+    w = t.documents.select("doc_id", F.posexplode(chunking.line_windows("text", 2048)).alias("pos", "w")).select(F.struct("doc_id", "pos").alias("id"), F.expr("length(w) div 4").alias("tokens"))
+    all_ = w.agg(F.count(F.lit(1)).alias("chunks"), F.sum("tokens").alias("tokens"), F.round(100.0 * F.avg((F.col("tokens") > 256).cast("int")), 4).alias("percent_over"), F.round(100.0 * F.sum(F.greatest(F.lit(0), F.col("tokens") - 256)) / F.sum("tokens"), 4).alias("percent_dropped"), (F.count(F.lit(1)) * 384 * 4).alias("index_bytes"))
+    held = batching.rates(batching.batched(w, key="id", tokens="tokens", budget=BATCH_TOKENS, most=BATCH_ROWS), "tokens")
+    return order.beside(all_, held.select("batches", "rows_each", "tokens_each"), [])

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankeval.functions import order, patches, stats, text
-from rankeval.operators import chunking, evaluate, ranking, tools
+from rankeval.operators import chunking, evaluate, ranking, sampling, tools
 from rankeval.operators.literal import literal_hits
-from rankeval.plans.base import SQL_LINES, SQL_PATH, Tables, order_paths, part_path, query, sql_is_source, sql_is_test, sql_norm, sql_quantile, sql_tokens
+from rankeval.plans.base import SQL_LINES, SQL_PATH, Tables, order_paths, part_path, query, sql_is_source, sql_is_test, sql_norm, sql_quantile, sql_tokens, sql_windows
 from rankeval.sources import cache, dataset, tree
 
 #: Identifiers in every form that the tokenizer takes apart; the synthetic documents have none.
@@ -243,11 +243,11 @@ def definitions(t: Tables) -> DataFrame:
     return chunking.definitions(python_sources(t)).select("blob", "name", "line")
 
 
-@query()
+@query(f"WITH RECURSIVE {sql_windows(512)} SELECT d.doc_id, count(w)::BIGINT AS n, max(length(s))::INT AS longest, md5(coalesce(string_agg(s, chr(1) ORDER BY w), '')) AS windows FROM documents d LEFT JOIN win ON win.doc_id = d.doc_id GROUP BY d.doc_id")
 def line_windowing(t: Tables) -> DataFrame:
-    """Windows of at most 512 characters; a fold over lines that plain SQL does not have."""
+    """Windows of at most 512 characters, by a fold over the lines of each text."""
     w = t.documents.select("doc_id", chunking.line_windows("text", 512).alias("w"))
-    return w.select("doc_id", F.size("w").cast("long").alias("n"), F.array_max(F.transform("w", lambda x: F.length(x))).alias("longest"), (F.array_join("w", "") == "").alias("empty"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n"), F.array_max(F.transform("w", lambda x: F.length(x))).alias("longest"), F.md5(F.array_join("w", "\x01").cast("binary")).alias("windows"))
 
 
 @query("SELECT c_custkey, c_name, ord FROM (SELECT c_custkey, c_name, c_nationkey * 1000000 + row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('7:' || c_custkey), c_custkey::VARCHAR) AS ord, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('7:' || c_custkey), c_custkey::VARCHAR) <= round_even(count(*) OVER (PARTITION BY c_nationkey) * 0.5, 0) AS dev FROM customer) WHERE dev")
@@ -270,3 +270,7 @@ def uniform_sample(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "lang").orderBy(F.md5(F.concat(F.lit("20260804:"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(100)
 
 
+@query()
+def reservoir_sample(t: Tables) -> DataFrame:
+    """50 documents of each language, every set of them as likely as any other; the number of rows is all that SQL could tell."""
+    return sampling.reservoir(t.documents.select("doc_id", "lang"), 50, seed=20260804, group="lang")

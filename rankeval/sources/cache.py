@@ -23,6 +23,11 @@ def agent_key(messages: Column | str, tools: Column | str) -> Column:
     return F.sha2(F.concat_ws("\n", F.lit("agent"), F.to_json(m), F.coalesce(F.to_json(tools), F.lit("[]"))).cast("binary"), 256)
 
 
+def step_key(messages: Column | str, tools: Column | str, *, model: Column | str, provider: Column | str, reasoning: Column | str, max_tokens: Column | str) -> Column:
+    """The key under which an agent's reply is stored: the question, and all of the model's setting that shapes the answer."""
+    return cache_key(model, provider, reasoning, max_tokens, agent_key(messages, tools))
+
+
 def lookup(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """requests with the reply of the same `key` and `cached`. A reply that is not whole (null text) is a miss."""
     known = responses.where(F.col("text").isNotNull()).groupBy("key").agg(F.max(F.struct("text", "cost")).alias("r"))

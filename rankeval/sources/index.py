@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankeval.sources.runs import _path
+from rankeval.sources.store import Conflict, Log, delete
 
 
 class IndexIncompatible(ValueError):
@@ -30,31 +30,61 @@ class Model:
         return f"{self.name.replace('/', '__')}@{self.revision[:12]}"
 
 
-def _place(root: str, model: Model) -> str:
-    return f"{root.rstrip('/')}/model={model.slug}"
+VECTORS = "blob string, pos int, embedding array<float>"
+
+
+def _opened(spark: SparkSession, root: str, model: Model) -> tuple[Log, list[dict]]:
+    log = Log(spark, f"{root.rstrip('/')}/model={model.slug}")
+    entries = log.entries()
+    if entries:
+        m = entries[0]
+        if (m["name"], m["revision"], m["dimensions"]) != (model.name, model.revision, model.dimensions):
+            raise IndexIncompatible(f"made with {m['name']}@{m['revision']} of {m['dimensions']}")
+    return log, entries
 
 
 def open_index(spark: SparkSession, root: str, model: Model) -> DataFrame | None:
     """(blob, pos, embedding), or None before the first write."""
-    meta = f"{root.rstrip('/')}/_meta/{model.slug}"
-    fs, p = _path(spark, meta)
-    if not fs.exists(p):
-        return None
-    m = spark.read.json(meta).first()
-    if (m["name"], m["revision"], m["dimensions"]) != (model.name, model.revision, model.dimensions):
-        raise IndexIncompatible(f"made with {m['name']}@{m['revision']} of {m['dimensions']}")
-    return spark.read.schema("blob string, pos int, embedding array<float>").parquet(_place(root, model))
-
-
-def append(vectors: DataFrame, root: str, model: Model) -> None:
-    """Add rows. Vectors of another length are refused before anything is written."""
-    spark = vectors.sparkSession
+    log, entries = _opened(spark, root, model)
+    return log.table("vectors", entries)
+
+
+def append(vectors: DataFrame, root: str, model: Model) -> int:
+    """Add the vectors of blobs that are not there yet, all of a call or none; how many blobs these are.
+
+    What is written is seen once its entry stands in the index's log, with the model beside it. Vectors of another length
+    are refused. Of two writers the later one looks again at what is there, so no blob comes in twice.
+    """
     size = F.when(F.size("embedding") == model.dimensions, F.col("embedding")).otherwise(F.raise_error(F.lit(f"vectors of {model.dimensions} expected")))
-    vectors.withColumn("embedding", size).write.mode("append").parquet(_place(root, model))
-    meta = f"{root.rstrip('/')}/_meta/{model.slug}"
-    fs, p = _path(spark, meta)
-    if not fs.exists(p):
-        spark.createDataFrame([(model.name, model.revision, model.dimensions)], "name string, revision string, dimensions int").coalesce(1).write.json(meta)
+    rows = vectors.select("blob", "pos", size.alias("embedding"))
+    while True:
+        log, entries = _opened(vectors.sparkSession, root, model)
+        new = rows.join(log.table("blobs", entries), "blob", "left_anti") if entries else rows
+        part = log.new_folder()
+        written = log.write(new, part, "vectors")
+        n = log.write(written.groupBy("blob").agg(F.count(F.lit(1)).alias("chunks")), part, "blobs").count()
+        if entries and not n:
+            delete(vectors.sparkSession, part)
+            return 0
+        try:
+            log.commit(part, len(entries), name=model.name, revision=model.revision, dimensions=model.dimensions, blobs=n, bytes=written.count() * model.dimensions * 4)
+            return n
+        except Conflict:
+            delete(vectors.sparkSession, part)
+
+
+def has(blobs: DataFrame, root: str, model: Model) -> DataFrame:
+    """blobs (blob, ...) with `indexed`, from the list of blobs alone."""
+    log, entries = _opened(blobs.sparkSession, root, model)
+    if not entries:
+        return blobs.withColumn("indexed", F.lit(False))
+    return blobs.join(log.table("blobs", entries).select("blob", F.lit(True).alias("_in")), "blob", "left").withColumn("indexed", F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def size(spark: SparkSession, root: str, model: Model) -> tuple[int, int]:
+    """(blobs, bytes of vectors) as the log has them."""
+    _, entries = _opened(spark, root, model)
+    return sum(e["blobs"] for e in entries), sum(e["bytes"] for e in entries)
 
 
 def query_texts(queries: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +153,10 @@ def test_agent_keys(spark):
     ask = [("human", "find it", None, None)]
     rows = [("base", ask, ["t1"]), ("again", [("human", "find it", [], "")], ["t1"]), ("tools", ask, ["t2"]), ("longer", [*ask, ("ai", None, ["grep"], None)], ["t1"]), ("none", ask, None), ("empty", ask, [])]
     got = {r.name: r.k for r in spark.createDataFrame(rows, kind).select("name", cache.agent_key("messages", "tools").alias("k")).collect()}
+    setting = {"model": F.lit("m"), "provider": F.lit("p"), "reasoning": F.lit("low"), "max_tokens": F.lit(100)}
+    settings = [setting, setting | {"max_tokens": F.lit(101)}, setting | {"model": F.lit("n")}, setting | {"reasoning": F.lit("high")}]
+    one = spark.createDataFrame(rows[:1], kind)
+    assert len({one.select(cache.step_key("messages", "tools", **x)).first()[0] for x in [*settings, setting]}) == 4
     assert got["base"] == got["again"] and got["none"] == got["empty"] and len(set(got.values())) == 4
 
 
@@ -168,7 +173,26 @@ def test_index(spark, tmp_path):
     with pytest.raises(index.IndexMissing, match="b2"):
         index.require(spark.createDataFrame([("b1",), ("b2",)], "blob string"), got)
     with pytest.raises(Exception, match="vectors of 2"):
-        index.append(v.withColumn("embedding", F.array(F.lit(1.0).cast("float"))), root, model)
+        index.append(v.withColumns({"blob": F.lit("b2"), "embedding": F.array(F.lit(1.0).cast("float"))}), root, model)
+    assert index.open_index(spark, root, model).count() == 1 and index.size(spark, root, model) == (1, 8)  # what the failed write left is not seen
+    more = v.unionByName(v.withColumns({"blob": F.lit("b2")})).unionByName(v.withColumns({"blob": F.lit("b2"), "pos": F.lit(1)}))
+    assert [index.append(more, root, model) for _ in range(2)] == [1, 0] and index.size(spark, root, model) == (2, 24)
+    assert {(r.blob, r.indexed) for r in index.has(spark.createDataFrame([("b2",), ("b3",)], "blob string"), root, model).collect()} == {("b2", True), ("b3", False)}
+
+
+def test_two_index_writers(spark, tmp_path, monkeypatch):
+    model, root = index.Model("m", "r" * 12, 1), str(tmp_path / "i")
+    v = spark.createDataFrame([("b1", 0, [1.0]), ("b2", 0, [2.0])], "blob string, pos int, embedding array<float>")
+    commit, late = index.Log.commit, [True]
+
+    def second(log, *args, **meta):
+        if late.pop() if late else False:  # the other writer is done between this one's look and its commit
+            assert index.append(v.where("blob = 'b1'"), root, model) == 1
+        commit(log, *args, **meta)
+
+    monkeypatch.setattr(index.Log, "commit", second)
+    assert index.append(v, root, model) == 1
+    assert sorted(r.blob for r in index.open_index(spark, root, model).collect()) == ["b1", "b2"]
 
 
 def test_index_follows_a_stream(spark, tmp_path):
@@ -209,6 +233,50 @@ def test_replies_on_executors(spark):
     assert made.first().text == "P"
 
 
+def test_calls_have_a_deadline():
+    began, tries = time.monotonic(), []
+
+    def slow():
+        tries.append(None)
+        if len(tries) < 3:
+            time.sleep(30)
+        return remote.Reply(200, {"ok": len(tries)})
+
+    counted = []
+    assert remote.send(slow, lambda s: None, 0.2, lambda: counted.append(None)) == {"ok": 3} and len(counted) == 2 and time.monotonic() - began < 10
+    with pytest.raises(KeyError):
+        remote.send(lambda: {}["x"], lambda s: None, 1.0)
+
+
+def test_replies_are_stored_as_they_come(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def call(prompt):
+        n = len(list(calls.glob(f"{prompt}-*")))
+        (calls / f"{prompt}-{n}").touch()
+        if prompt == "bad":
+            return remote.Reply(400, {})
+        if prompt == "busy" and n < 2:
+            return remote.Reply(503, {})
+        return remote.Reply(200, {"text": None if prompt == "none" and n == 0 else prompt.upper(), "cost": 0.5, "finish_reason": "length" if prompt == "long" else "stop"})
+
+    ask = lambda *p: spark.createDataFrame([(f"k-{x}", x) for x in p], "key string, prompt string")
+    run = lambda df: remote.answered(df, call, str(tmp_path / "store"), waves=3, sleep=lambda s: None)
+    counts = lambda df: remote.counters(df).first().asDict()
+    first = run(ask("a", "busy", "long", "none", "a"))
+    assert {r.prompt: (r.text, r.cached, r.retries) for r in first.collect()} == {"a": ("A", False, 0), "busy": ("BUSY", False, 2), "long": ("LONG", False, 0), "none": (None, False, 0)}
+    assert counts(first) == {"calls": 4, "cache_hits": 0, "retries": 2, "truncated": 1, "empty": 1, "spent": 2.0} and first.count() == 5
+    made = len(list(calls.iterdir()))
+    again = run(ask("a", "busy", "long"))
+    assert counts(again)["calls"] == 0 and counts(again)["cache_hits"] == 3 and len(list(calls.iterdir())) == made
+    with pytest.raises(Exception, match="status 400"):
+        run(ask("bad"))
+    last = run(ask("a", "none", "new"))
+    assert {r.prompt: (r.text, r.cached) for r in last.collect()} == {"a": ("A", True), "none": ("NONE", False), "new": ("NEW", False)}
+    assert run(ask("x").limit(0)).count() == 0
+
+
 def test_keys_and_budgets(spark, monkeypatch):
     monkeypatch.setenv("RE_KEY", " k ")
     assert remote.api_key("RE_KEY") == "k"
