@@ -1,4 +1,5 @@
 import random
+import re
 import subprocess
 import time
 
@@ -103,6 +104,40 @@ def test_git_trees(spark, clone):
         assert [r.doc for r in rungs.RUNGS[name](t).orderBy("rank").collect()] == ["shop/stock.py", "shop/cart.py", "shop/audit.py"]
 
 
+def test_git_filters_reach_the_reader_and_objects_are_dealt_out(spark, clone, tmp_path):
+    root, pins = clone
+    tree.register(spark)
+    source = lambda kind: spark.read.format(kind).option("root", str(root)).option("pins", ",".join(f"own/name@{p}" for p in pins)).option("slices", 4).load()
+    whole = source("git_tree")
+    plain = sorted(map(tuple, whole.collect()))
+    for holds, by in ((F.col("path").startswith("shop/"), lambda r: r[2].startswith("shop/")), (F.col("path").isin("shop/cart.py", "none"), lambda r: r[2] == "shop/cart.py"), (F.col("commit") == pins[1], lambda r: r[1] == pins[1]), (F.col("repo") == "else/where", lambda r: False)):
+        some = whole.where(holds)
+        assert sorted(map(tuple, some.collect())) == [r for r in plain if by(r)]
+        assert not re.search(r"\bFilter ", some._jdf.queryExecution().executedPlan().toString())  # nothing is left for Spark to filter
+    assert whole.where(F.col("commit") == pins[1]).rdd.getNumPartitions() == 1
+    blobs = source("git_blobs")
+    assert blobs.rdd.getNumPartitions() == 4
+    texts = {(r.blob, r.text) for r in blobs.collect()}
+    assert blobs.count() == len(texts) == len({r[3] for r in plain})  # once, in however many commits
+    table = spark.createDataFrame([("own/name", p) for p in pins] * 2, "repo string, commit string")
+    assert sorted(map(tuple, tree.trees(table, str(root)).collect())) == plain
+    asked = tree.trees(table, str(root)).select("repo", "blob").union(spark.createDataFrame([("own/name", "f" * 40)], "repo string, blob string"))
+    got = tree.contents(asked, str(root))
+    assert {(r.blob, r.text) for r in got.collect()} == texts and got.count() == len(texts)
+
+
+def test_large_objects_stream(tmp_path):
+    """More objects than a pipe holds, both ways; a reader that stops early ends git."""
+    repo = tmp_path / "own__big"
+    subprocess.run(["git", "init", "-q", "-b", "main", str(repo)], check=True)
+    stream = "".join(f"blob\nmark :{i + 1}\ndata 50\n{i:050d}\n" for i in range(3000)) + "commit refs/heads/main\nmark :9999\ncommitter a <a@b> 0 +0000\ndata 1\nx\n" + "".join(f"M 100644 :{i + 1} f{i}\n" for i in range(3000))
+    subprocess.run(["git", "-C", str(repo), "fast-import", "--quiet"], input=stream.encode(), check=True)
+    commit = subprocess.run(["git", "-C", str(repo), "rev-parse", "main"], check=True, capture_output=True, text=True).stdout.strip()
+    names = [b for _, b in tree.listing(str(tmp_path), "own/big", commit)]
+    assert [int(c) for _, c in tree.Streamed(str(repo), names)] == sorted(range(3000), key=lambda i: f"f{i}")
+    assert next(iter(tree.Streamed(str(repo), names)))[0] == names[0]
+
+
 def test_single_reads_and_kept_listings(spark, clone, tmp_path):
     root, pins = str(clone[0]), clone[1]
     assert tree.has_clone(root, "own/name") and not tree.has_clone(root, "own/other")
