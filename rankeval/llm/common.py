@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rankeval.session import ship
 
 #: Bytes of text that the numpy kernels take at a time; a longer document is taken whole, alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: A key is hot if more than one of so many rows has it; fewer than this many can be, so these may be broadcast.
 HOT_SHARE = 2000
 
@@ -37,6 +37,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     ship(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # the others keep what they free, beside what the process itself keeps
         yield from run(batches)
         give_back()
 
