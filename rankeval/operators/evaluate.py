@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankeval.functions import order
 from rankeval.functions.stats import log_mcnemar, mcnemar, ratio, wilson
+from rankeval.operators import ranking
 
 SMALL_GROUP = 3
 OTHER = "other"
@@ -24,6 +25,28 @@ def joined(predictions: DataFrame, truth: DataFrame, key: str = "instance_id") -
     return predictions.join(truth, key)
 
 
+def score_one(prediction: Column, instance: Column) -> Column:
+    """The score of one prediction (a struct of instance_id, ranked_files, latency, cost, stop) for its instance (instance_id, grp, truth).
+
+    The row fails if the ids differ or one is null: a score of the wrong pair would look like any other.
+    """
+    a, b = prediction["instance_id"], instance["instance_id"]
+    ranked, truth = prediction["ranked_files"], instance["truth"]
+    score = F.struct(
+        a.alias("instance_id"), instance["grp"].alias("grp"), ranking.top1(ranked, truth).alias("hit"), ranking.recall_at(ranked, truth, 3).alias("recall_3"), ranking.recall_at(ranked, truth, 5).alias("recall_5"),
+        prediction["latency"].alias("latency"), prediction["cost"].alias("cost"), prediction["stop"].alias("stop"),
+    )
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("nothing"))
+    return F.when(a == b, score).otherwise(F.raise_error(F.concat(F.lit("prediction of "), shown(a), F.lit(", instance "), shown(b))))
+
+
+def scores(predictions: DataFrame, instances: DataFrame) -> DataFrame:
+    """A row of score_one() for each prediction; predictions of unknown instances are refused."""
+    p = predictions.select("instance_id", F.struct("instance_id", "ranked_files", "latency", "cost", "stop").alias("_p"))
+    i = instances.select("instance_id", F.struct("instance_id", "grp", "truth").alias("_i"))
+    return joined(p, i).select(score_one(F.col("_p"), F.col("_i")).alias("s")).select("s.*")
+
+
 def measures(z: str = "hit") -> list[Column]:
     """Aggregates over (hit, recall_3, recall_5, latency, cost): all rates are 0 for no rows."""
     n, hits = F.count(F.lit(1)), F.coalesce(F.sum(F.col(z).cast("long")), F.lit(0))

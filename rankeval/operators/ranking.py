@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,31 @@ from rankeval.functions.text import normalize_path, reply_line
 DAMPING = 60
 HEAD = 20
 
+#: What a model is asked, around {n} candidates, the {issue} and the rendered {candidates}. Any other text with these marks will do.
+RERANK_TEMPLATE = """Order the {n} source files under "Candidates" by how likely the report below asks for a change in them, likeliest first.
+Answer with their paths alone, each on its own line.
+
+# Report
+
+{issue}
+
+# Candidates
+
+{candidates}
+"""
+#: The same for an agent that may call tools {calls} times and hands its answer in by {submit}.
+AGENT_TEMPLATE = """Order source files by how likely the report below asks for a change in them, likeliest first. {n} candidates are given; others may be found
+with the tools, which may be called {calls} times at most. Hand in the paths by {submit}; all must exist.
+
+# Report
+
+{issue}
+
+# Candidates
+
+{candidates}
+"""
+
 
 def ranked(scored: DataFrame, *keys: str, score: str = "score", doc: str = "doc") -> DataFrame:
     """A unique 1-based rank by score, ties by doc."""
@@ -81,3 +108,22 @@ def parsed_reply(reply: Column, head: Column) -> Column:
 def rendered_candidates(candidates: Column) -> Column:
     """candidates: an array of structs path, snippet."""
     return F.array_join(F.transform(candidates, lambda c: F.concat(F.lit("### "), c["path"], F.lit("\n"), F.when(F.coalesce(c["snippet"], F.lit("")) != "", c["snippet"]).otherwise("(no snippet available)"))), "\n\n")
+
+
+def filled(template: str, **values: Column) -> Column:
+    """template with its {marks} replaced by values, which are taken as they are: a mark inside a value stays. Null is empty."""
+    parts = re.split(r"\{(\w+)\}", template)
+    unknown = set(parts[1::2]) - set(values)
+    if unknown:
+        raise ValueError(f"no value for {sorted(unknown)}")
+    return F.concat(*(F.coalesce(values[x].cast("string"), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+
+
+def prompts(head: DataFrame, issues: DataFrame, template: str = RERANK_TEMPLATE, k: int = HEAD, **values: Column) -> DataFrame:
+    """(query, n, prompt): the first k of head (query, doc, rank, snippet), rendered in their order into the template with each query's issue (query, issue).
+
+    A query without candidates has no prompt, as nothing is to be asked. Of repeated ranks the smaller path is first.
+    """
+    shown = head.where(F.col("rank") <= k).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("doc").alias("path"), "snippet"))).alias("_c"))
+    n = F.size("_c").cast("long")
+    return shown.join(issues.select("query", "issue"), "query").select("query", n.alias("n"), filled(template, n=n, issue=F.col("issue"), candidates=rendered_candidates(F.col("_c")), **values).alias("prompt"))

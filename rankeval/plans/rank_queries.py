@@ -256,6 +256,17 @@ def score_join(t: Tables) -> DataFrame:
     return evaluate.joined(p, truth).select("instance_id", (F.col("k") % 2 == 0).alias("hit"), "segment")
 
 
+@query(f"""WITH {_ORDER_LISTS} SELECT o AS instance_id, o_orderpriority AS grp, coalesce(list_contains(list_transform(truth, lambda x: {sql_norm('x')}), ranking[1]), false) AS hit,
+round({_sql_recall(3)}, 6) AS recall_3, round({_sql_recall(5)}, 6) AS recall_5, o_totalprice / 1000 AS latency, 0.0::DOUBLE AS cost, o_orderstatus AS stop FROM ol JOIN orders ON o = o_orderkey""")
+def score_instances(t: Tables) -> DataFrame:
+    """The order of an order's parts scored against those returned; its priority is the group."""
+    lists, o = _order_lists(t), t.orders
+    about = o.select(F.col("o_orderkey").alias("o"), (F.col("o_totalprice") / 1000).alias("latency"), F.lit(0.0).alias("cost"), F.col("o_orderstatus").alias("stop"))
+    predictions = lists.join(about, "o").select(F.col("o").alias("instance_id"), F.col("ranking").alias("ranked_files"), "latency", "cost", "stop")
+    instances = lists.join(o.select(F.col("o_orderkey").alias("o"), F.col("o_orderpriority").alias("grp")), "o").select(F.col("o").alias("instance_id"), "grp", "truth")
+    return evaluate.scores(predictions, instances).withColumns({c: F.round(c, 6) for c in ("recall_3", "recall_5")})
+
+
 @query("SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
 def stop_histogram(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankeval.operators import ranking
 from rankeval.plans import rungs
 from rankeval.plans.base import Tables, query, sql_bm25, sql_tokens
 from rankeval.plans.text_queries import python_sources
@@ -94,3 +95,28 @@ h AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)
 def rung_hybrid(t: Tables) -> DataFrame:
     """Chunk bodies and vectors, fused by reciprocal ranks."""
     return _shown(rungs.RUNGS["hybrid"](_tables(t), SHOWN))
+
+
+def _sql_filled(template: str, **values: str) -> str:
+    out = "'" + template.replace("'", "''") + "'"
+    for mark, value in values.items():
+        out = out.replace(f"{{{mark}}}", f"' || {value} || '")
+    return out.replace("\n", "' || chr(10) || '")
+
+
+_ISSUE = "p_type || ' wraps x' || p_size"
+_SQL_SNIPPETS = f"""ct AS (SELECT {_PATH} AS doc, 0 AS pos, {_CLASS_HEAD} || {_CLASS_BODY} AS snippet FROM part UNION ALL SELECT {_PATH}, 1, {_METHOD_HEAD} || {_METHOD_BODY} FROM part),
+bc AS (SELECT q.query, d.doc[1] AS doc, d.doc[2] AS pos, row_number() OVER (PARTITION BY q.query, d.doc[1] ORDER BY coalesce(s.score, 0.0) DESC, d.doc[2]) AS r FROM q CROSS JOIN d LEFT JOIN s ON s.query = q.query AND s.doc = d.doc),
+pr AS (SELECT l.query, count(*)::BIGINT AS n, string_agg('### ' || l.doc || chr(10) || snippet, chr(10) || chr(10) ORDER BY l.rank) AS candidates FROM lex l JOIN bc ON bc.query = l.query AND bc.doc = l.doc AND bc.r = 1 JOIN ct ON ct.doc = bc.doc AND ct.pos = bc.pos WHERE l.rank <= {ranking.HEAD} GROUP BY l.query)"""
+_RERANK_SQL = _sql_filled(ranking.RERANK_TEMPLATE, n="n", issue=f"({_ISSUE})", candidates="candidates")
+_AGENT_SQL = _sql_filled(ranking.AGENT_TEMPLATE, n="n", calls="5", submit="'hand_in'", issue=f"({_ISSUE})", candidates="candidates")
+
+
+@query(f"""WITH {_sql_by_chunks(True)}, {_SQL_SNIPPETS} SELECT query, n, sha256({_RERANK_SQL}) AS rerank_sha256, length({_RERANK_SQL})::BIGINT AS rerank_chars, sha256({_AGENT_SQL}) AS agent_sha256 FROM pr JOIN part ON p_partkey = query""")
+def rung_prompts(t: Tables) -> DataFrame:
+    """What a model and an agent are asked about the first of the chunk ranking, each with its best chunk."""
+    tables = _tables(t)
+    base = rungs.RUNGS["bm25-chunks-bodies"](tables, ranking.HEAD)
+    asked, agents = rungs.rerank_prompts(tables, base), rungs.agent_prompts(tables, base, 5, "hand_in")
+    agents = agents.select("query", F.sha2("prompt", 256).alias("agent_sha256"))
+    return asked.join(agents, "query").select("query", "n", F.sha2("prompt", 256).alias("rerank_sha256"), F.length("prompt").cast("long").alias("rerank_chars"), "agent_sha256")

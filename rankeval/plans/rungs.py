@@ -122,21 +122,36 @@ def cross_encoder(t: dict[str, DataFrame]) -> DataFrame:
     return reranked(hybrid(t), t["pair_scores"])
 
 
+def evidence(t: dict[str, DataFrame], base: DataFrame, k: int = ranking.HEAD) -> DataFrame:
+    """(query, doc, rank, snippet): the head's paths, each with its best chunk; null where its blob has none."""
+    best = _lexical(_chunk_index(t, True), _queries(t), None).select("query", "corpus", "doc", "pos")
+    head = base.where(F.col("rank") <= k).select("query", "doc", "rank").join(best, ["query", "doc"], "left")
+    blobs = head.join(_sources(t).select("corpus", F.col("path").alias("doc"), "blob"), ["corpus", "doc"], "left")
+    chunks = _chunks(t, True).rows().select("blob", "pos", chunking.chunk_text().alias("snippet"))
+    return blobs.join(chunks, ["blob", "pos"], "left").select("query", "doc", "rank", "snippet")
+
+
 def pair_texts(t: dict[str, DataFrame], base: DataFrame, k: int = ranking.HEAD) -> DataFrame:
     """(query, doc, issue, text) for a pair scorer: the head's paths, each with its best chunk, empty parts left out."""
-    best = _lexical(_chunk_index(t, True), _queries(t), None).select("query", "corpus", "doc", "pos")
-    head = base.where(F.col("rank") <= k).select("query", "doc").join(best, ["query", "doc"])
-    blobs = head.join(_sources(t).select("corpus", F.col("path").alias("doc"), "blob"), ["corpus", "doc"])
-    chunks = _chunks(t, True).rows().select("blob", "pos", chunking.chunk_text().alias("chunk"))
-    rows = blobs.join(chunks, ["blob", "pos"], "left").join(t["queries"].select("query", F.col("text").alias("issue")), "query")
-    return rows.select("query", "doc", "issue", F.array_join(F.filter(F.array("doc", "chunk"), lambda x: x != ""), "\n").alias("text"))
+    rows = evidence(t, base, k).join(t["queries"].select("query", F.col("text").alias("issue")), "query")
+    return rows.select("query", "doc", "issue", F.array_join(F.filter(F.array("doc", "snippet"), lambda x: x != ""), "\n").alias("text"))
+
+
+def rerank_prompts(t: dict[str, DataFrame], base: DataFrame, template: str = ranking.RERANK_TEMPLATE, k: int = ranking.HEAD) -> DataFrame:
+    """(query, n, prompt): what a model is asked about the head of base."""
+    return ranking.prompts(evidence(t, base, k), t["queries"].select("query", F.col("text").alias("issue")), template, k)
+
+
+def agent_prompts(t: dict[str, DataFrame], base: DataFrame, calls: int = agent.MAX_CALLS, submit: str = "submit_ranking", template: str = ranking.AGENT_TEMPLATE, k: int = ranking.HEAD) -> DataFrame:
+    """The same for an agent with so many calls."""
+    return ranking.prompts(evidence(t, base, k), t["queries"].select("query", F.col("text").alias("issue")), template, k, calls=F.lit(calls), submit=F.lit(submit))
 
 
 def rerank_with(model: str | None = None) -> Callable[[dict[str, DataFrame]], DataFrame]:
-    """The fused head in the order of a model's replies (query, model, text); without a name the only model's."""
+    """The fused head in the order of a model's replies (query, model, text). Without a name, or of replies without models, there is one model."""
 
     def run(t: dict[str, DataFrame]) -> DataFrame:
-        replies = t["replies"] if model is None else t["replies"].where(F.col("model") == model)
+        replies = t["replies"] if model is None or "model" not in t["replies"].columns else t["replies"].where(F.col("model") == model)
         return reply_reranked(hybrid(t), replies)
 
     return run
@@ -154,8 +169,11 @@ def agent_with(cap: int) -> Callable[[dict[str, DataFrame]], DataFrame]:
     return run
 
 
-#: Rerankers by reply and agents come in as many cells as there are recorded models: rerank_with(name), agent_with(cap).
+#: The recorded models of the named cells.
+REPLY_CELLS = {"rerank": "gpt-oss-high", "rerank-gpt-oss-low": "gpt-oss-low", "rerank-deepseek-off": "deepseek-off", "rerank-deepseek-on": "deepseek-on"}
+#: Further cells are made by rerank_with(name) and agent_with(cap).
 RUNGS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
     "bm25": bm25, "bm25-chunks": bm25_chunks, "bm25-chunks-bodies": bm25_chunks_bodies, "embed": embed, "hybrid": hybrid, "cross-encoder": cross_encoder,
-    "rerank": rerank_with(), "agent": agent_with(agent.MAX_CALLS), "agent-no-tools": agent_with(0),
+    **{name: rerank_with(model) for name, model in REPLY_CELLS.items()},
+    "agent": agent_with(agent.MAX_CALLS), "agent-no-tools": agent_with(0),
 }

@@ -362,3 +362,29 @@ def test_tools(spark):
     assert got[2].body == "     1  a\n     2  b\n     3  c\n     4  d" and got[2].lines == 4
     cut = {r.request: r for r in tools.read_range(want, files, max_lines=1).collect()}
     assert cut[1].body == "     2  l2" and cut[1].truncated
+
+
+def test_one_prediction_is_scored_for_its_own_instance(spark):
+    p = "struct<instance_id:string,ranked_files:array<string>,latency:double,cost:double,stop:string>"
+    i = "struct<instance_id:string,grp:string,truth:array<string>>"
+    pair = lambda a, b, ranked, truth: spark.createDataFrame([((a, ranked, 1.0, 0.5, "answered"), (b, "g", truth))], f"p {p}, i {i}").select(evaluate.score_one(F.col("p"), F.col("i")).alias("s")).first().s
+    s = pair("x", "x", ["./b.py", "a.py", "c.py", "d.py"], ["b.py", "d.py"])
+    assert (s.instance_id, s.grp, s.hit, s.recall_3, s.recall_5, s.stop) == ("x", "g", True, 0.5, 1.0, "answered")
+    assert (s := pair("x", "x", [], ["b.py"])).hit is False and s.recall_5 == 0 and pair("x", "x", ["b.py"], []).recall_3 == 0
+    for a, b in (("x", "y"), (None, "y"), ("x", None)):
+        with pytest.raises(Exception, match="prediction of"):
+            pair(a, b, ["b.py"], ["b.py"])
+    rows = spark.createDataFrame([("x", ["b.py"], 1.0, 0.5, "answered"), ("z", ["b.py"], 1.0, 0.5, "answered")], "instance_id string, ranked_files array<string>, latency double, cost double, stop string")
+    truth = spark.createDataFrame([("x", "g", ["b.py"]), ("y", "g", ["b.py"])], "instance_id string, grp string, truth array<string>")
+    assert evaluate.scores(rows.where("instance_id = 'x'"), truth).count() == 1 and evaluate.scores(rows.limit(0), truth).count() == 0
+    with pytest.raises(evaluate.UnknownRows, match="z"):
+        evaluate.scores(rows, truth)
+
+
+def test_prompts_take_values_as_they_are(spark):
+    head = spark.createDataFrame([("q", "b.py", 2, None), ("q", "a.py", 1, "def {issue}(): ..."), ("q", "c.py", 3, ""), ("r", "a.py", 1, "x")], "query string, doc string, rank int, snippet string")
+    issues = spark.createDataFrame([("q", "broken {candidates} {n}"), ("r", None), ("none", "x")], "query string, issue string")
+    got = {r.query: (r.n, r.prompt) for r in ranking.prompts(head, issues, "{n}: {issue}\n{candidates}|{calls}", 2, calls=F.lit(3)).collect()}
+    assert got == {"q": (2, "2: broken {candidates} {n}\n### a.py\ndef {issue}(): ...\n\n### b.py\n(no snippet available)|3"), "r": (1, "1: \n### a.py\nx|3")}
+    with pytest.raises(ValueError, match="calls"):
+        ranking.prompts(head, issues, ranking.AGENT_TEMPLATE)

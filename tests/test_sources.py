@@ -95,6 +95,10 @@ def test_git_trees(spark, clone):
     assert [r.doc for r in rungs.rerank_with("m2")(t).orderBy("rank").collect()][0] == "shop/audit.py"
     t["pair_scores"] = spark.createDataFrame([("q", "shop/audit.py", 2.0)], "query string, doc string, rescore double")
     assert [r.doc for r in rungs.RUNGS["cross-encoder"](t).orderBy("rank").collect()][0] == "shop/audit.py"
+    assert [r.doc for r in rungs.RUNGS["rerank-deepseek-on"](t | {"replies": t["replies"].withColumn("model", F.when(F.col("model") == "m1", "deepseek-on").otherwise("gpt-oss-high"))}).orderBy("rank").collect()][0] == "shop/stock.py"
+    assert len(rungs.RUNGS) == 12
+    told = rungs.agent_prompts(t, base, 3).first()
+    assert told.n == 3 and "refund call fails" in told.prompt and "### shop/cart.py\ndef refund()\ndef refund(): ...\n\n### shop/stock.py\n" in told.prompt and "3 times at most" in told.prompt
     pairs = {r.doc: r.text for r in rungs.pair_texts(t, base).collect()}
     assert pairs["shop/cart.py"] == "shop/cart.py\ndef refund()\ndef refund(): ..." and len(pairs) == 3
     call = lambda name, *paths: [(name, list(paths), False, False)]
