@@ -71,3 +71,19 @@ def test_difference_cover():
     for v in (32, 64, 100):
         d = set(suffix_dedup.difference_cover(v).tolist())
         assert all(any((i + s) % v in d and (j + s) % v in d for s in range(v)) for i in range(v) for j in range(v))
+
+
+def test_planted_passages_of_short_and_long_words(spark, tmp_path):
+    """A passage of 400 bytes or more is caught wherever it stands; a shorter one, however many its words, and clean documents stay."""
+    r = random.Random(9)
+    words = lambda n, size: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(*size))) for _ in range(n))
+    passages = [words(n, size) for n in (51, 60, 80, 100, 120) for size in ((2, 4), (3, 7), (8, 12))]
+    docs = [(3 * i + j, f"{words(r.randrange(0, 80), (2, 9))}\n{p} {words(r.randrange(0, 80), (2, 9))}") for i, p in enumerate(passages) for j in range(3)]
+    docs += [(100 + i, words(150, (2, 9))) for i in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = suffix_dedup.op8(spark, str(tmp_path)).collect()
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got), key=str) == brute(docs, 400)
+    lost = {x.doc_id: x.n_removed for x in got}
+    long = [len(p) >= 400 for p in passages]
+    assert 3 < sum(long) < len(long) and all((lost[3 * i + j] >= len(p)) == yes for i, (p, yes) in enumerate(zip(passages, long, strict=True)) for j in range(3))
+    assert all(not n for d, n in lost.items() if d >= 100)
