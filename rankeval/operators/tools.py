@@ -71,3 +71,75 @@ def find_definition(tree: DataFrame, blobs: DataFrame, symbols: DataFrame, store
     # Equal last parts first, so that the join is by key.
     files = files.withColumn("pattern", F.substring_index("name", ".", -1))
     return files.join(s, ["corpus", "pattern"]).where(named).select("request", "path", "line", "signature")
+
+
+def _requested(requests: DataFrame, tree: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(corpus, path, text) of the files that are asked for. A file whose content is not there is no fault of who asks: the job fails."""
+    wanted = requests.select("corpus", existing_form("path").alias("path")).distinct()
+    held = tree.join(wanted, ["corpus", "path"], "left_semi").join(blobs.select("blob", "text", F.lit(True).alias("_held")), "blob", "left")
+    lost = F.raise_error(F.concat(F.lit("content is missing: "), F.col("path")))
+    return held.select("corpus", "path", F.when(F.col("_held"), F.coalesce("text", F.lit(""))).otherwise(lost).alias("text"))
+
+
+def _answer(text: Column, paths: Column, truncated: Column, rejected: Column) -> list[Column]:
+    none = F.array().cast("array<string>")
+    return [F.col("request"), text.alias("text"), F.coalesce(paths, none).alias("paths"), F.coalesce(truncated, F.lit(False)).alias("truncated"), rejected.alias("rejected")]
+
+
+def _listed(requests: DataFrame, rows: DataFrame, nothing: str) -> DataFrame:
+    """Answers from rows (request, at, path, line, more): the lines in the order of `at`, within the caps; a request without any is told so."""
+    found = rows.groupBy("request").agg(F.sort_array(F.collect_list(F.struct("at", "line", "path"))).alias("_l"), F.max("more").alias("more"))
+    every = requests.select("request").join(found, "request", "left")
+    lines = F.transform("_l", lambda x: x["line"])
+    kept = first_lines_within(lines, MAX_LINES, MAX_CHARS)
+    paths = F.array_distinct(F.transform(F.slice("_l", F.lit(1), F.size(kept)), lambda x: x["path"]))
+    return every.select(*_answer(F.coalesce(F.array_join(kept, "\n"), F.lit(nothing)), paths, F.col("more") | (F.size(kept) < F.size(lines)), F.lit(False)))
+
+
+def _read_file(requests: DataFrame, tree: DataFrame, blobs: DataFrame, store: str | None) -> DataFrame:
+    r = read_range(requests, _requested(requests, tree, blobs))
+    return r.select(*_answer(F.when(F.col("rejected"), F.lit("no such file or lines")).otherwise(F.col("body")), F.when(~F.col("rejected"), F.array("path")), F.col("truncated"), F.col("rejected")))
+
+
+def _search_code(requests: DataFrame, tree: DataFrame, blobs: DataFrame, store: str | None) -> DataFrame:
+    asked = requests.where(F.col("pattern") != "")
+    hits = grep(tree, blobs, asked.select("request", "corpus", "pattern"), store=store).where("shown")
+    found = _listed(asked, hits.select("request", F.lit(0).alias("at"), F.col("path").alias("line"), "path", (F.col("hits") > MAX_HITS).alias("more")), "no match")
+    empty = requests.where(F.coalesce(F.col("pattern"), F.lit("")) == "").select(*_answer(F.lit("nothing to look for"), F.lit(None).cast("array<string>"), F.lit(False), F.lit(True)))
+    return found.unionByName(empty)
+
+
+def _file_outline(requests: DataFrame, tree: DataFrame, blobs: DataFrame, store: str | None) -> DataFrame:
+    r = requests.withColumn("path", existing_form("path")).join(_requested(requests, tree, blobs), ["corpus", "path"], "left")
+    lines = outline(r.where("text is not null").select(F.col("request").alias("path"), "text")).withColumnRenamed("path", "request")
+    r = r.join(lines, "request", "left")
+    unknown = F.col("text").isNull()
+    body = F.when(unknown, F.lit("no such file")).otherwise(F.coalesce("body", F.lit("no definitions")))
+    return r.select(*_answer(body, F.when(~unknown, F.array("path")), F.size(F.split("body", "\n", -1)) < F.col("n"), unknown))
+
+
+def _find_definition(requests: DataFrame, tree: DataFrame, blobs: DataFrame, store: str | None) -> DataFrame:
+    d = find_definition(tree, blobs, requests.select("request", "corpus", F.col("pattern").alias("symbol")), store=store)
+    w = Window.partitionBy("request")
+    at = F.row_number().over(w.orderBy("path", "line", "signature"))
+    d = d.select("request", at.alias("at"), "path", F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit("  "), "signature").alias("line"), (F.count(F.lit(1)).over(w) > MAX_HITS).alias("more"))
+    return _listed(requests, d.where(F.col("at") <= MAX_HITS), "no definition")
+
+
+#: What an agent may call by name. Semantic search needs vectors: see dense.best_of().
+TOOLBOX = {"read_file": _read_file, "search_code": _search_code, "file_outline": _file_outline, "find_definition": _find_definition}
+
+
+def answers(requests: DataFrame, tree: DataFrame, blobs: DataFrame, store: str | None = None) -> DataFrame:
+    """(request, text, paths, truncated, rejected): what the tools say to many requests at once, one row each.
+
+    requests: (request string, corpus, tool, path, first, last, pattern), of which each tool takes its own; pattern is the
+    symbol of find_definition. What the caller got wrong (a tool, path, range or pattern that is none) is a rejected
+    answer; content that should be there and is not fails the job. Requests of one tool are answered together.
+    """
+    out = None
+    for name, tool in TOOLBOX.items():
+        part = tool(requests.where(F.col("tool") == name), tree, blobs, store)
+        out = part if out is None else out.unionByName(part)
+    others = requests.where(~F.coalesce(F.col("tool").isin(*TOOLBOX), F.lit(False)))
+    return out.unionByName(others.select(*_answer(F.lit(f"no such tool; there are {', '.join(TOOLBOX)}"), F.lit(None).cast("array<string>"), F.lit(False), F.lit(True))))

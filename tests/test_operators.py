@@ -388,3 +388,23 @@ def test_prompts_take_values_as_they_are(spark):
     assert got == {"q": (2, "2: broken {candidates} {n}\n### a.py\ndef {issue}(): ...\n\n### b.py\n(no snippet available)|3"), "r": (1, "1: \n### a.py\nx|3")}
     with pytest.raises(ValueError, match="calls"):
         ranking.prompts(head, issues, ranking.AGENT_TEMPLATE)
+
+
+def test_tools_answer_by_name(spark):
+    tree = spark.createDataFrame([("c", "a.py", "1"), ("c", "b/x.py", "2"), ("c", "lost.py", "3"), ("d", "a.py", "2")], "corpus string, path string, blob string")
+    blobs = spark.createDataFrame([("1", "class A:\n    def run(self):\n        return go()\n"), ("2", "def go():\n    pass\n")], "blob string, text string")
+    kind = "request string, corpus string, tool string, path string, first int, last int, pattern string"
+    asked = [
+        ("r1", "c", "read_file", "./a.py", 2, 3, None), ("r2", "c", "read_file", "none.py", 1, 2, None), ("r3", "c", "read_file", "a.py", 9, 10, None), ("s1", "c", "search_code", None, None, None, "go()"), ("s2", "c", "search_code", None, None, None, "absent thing"),
+        ("s3", "c", "search_code", None, None, None, ""), ("s4", "d", "search_code", None, None, None, "go()"), ("o1", "c", "file_outline", "a.py", None, None, None), ("o2", "c", "file_outline", "no.py", None, None, None), ("o3", "d", "file_outline", "a.py", None, None, None),
+        ("d1", "c", "find_definition", None, None, None, "A.run"), ("d2", "c", "find_definition", None, None, None, "none"), ("u1", "c", "rm", None, None, None, None), ("u2", "c", None, None, None, None, None),
+    ]
+    got = {r.request: (r.text, r.paths, r.truncated, r.rejected) for r in tools.answers(spark.createDataFrame(asked, kind), tree, blobs).collect()}
+    assert len(got) == len(asked)
+    assert got["r1"] == ("     2      def run(self):\n     3          return go()", ["a.py"], False, False)
+    assert got["s1"] == ("a.py\nb/x.py", ["a.py", "b/x.py"], False, False) and got["s4"][1] == ["a.py"] and got["s2"] == ("no match", [], False, False)
+    assert got["o1"][0].startswith("     1  class A") and got["o1"][1] == ["a.py"] and "go" in got["o3"][0]
+    assert got["d1"][1] == ["a.py"] and got["d1"][0].startswith("a.py:2  ") and got["d2"] == ("no definition", [], False, False)
+    assert {k for k, v in got.items() if v[3]} == {"r2", "r3", "s3", "o2", "u1", "u2"}
+    with pytest.raises(Exception, match="content is missing: lost.py"):
+        tools.answers(spark.createDataFrame([("x", "c", "read_file", "lost.py", 1, 1, None)], kind), tree, blobs).collect()
