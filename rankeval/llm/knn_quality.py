@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankeval.llm.common import NOT_SPACE, Words, chunks, mapped, pieces, raw_texts, table
-from rankeval.llm.labelled import held_out, training_texts
+from rankeval.llm.labelled import distinct, held_out, training_texts
 
 PER_CLASS = 2000
 THRESHOLD = 0.5
@@ -122,7 +122,7 @@ def scored(texts: list[bytes], model: Model, neighbours: int = NEIGHBOURS) -> np
 
 
 def model_of(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text") -> Model:
-    return fit(training_texts(docs, labels, label, per_class, key=key, text=text))
+    return fit(distinct(training_texts(docs, labels, label, per_class, key=key, text=text)))
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", neighbours: int = NEIGHBOURS) -> DataFrame:

@@ -3,7 +3,8 @@
 fit() labels the words of labelled documents: a word is toxic where its document is and where it, or its beginning,
 belongs to toxic documents far more than to others. A chain of two states is trained on these by gradient ascent on the
 conditional likelihood. At scoring, forward-backward gives each word's marginal; runs of words over 0.5 are the offending
-spans, and the expected number of toxic words in them and their share give the document's score by a logistic curve.
+spans; the expected number of toxic words in the spans, and its share of all words, give the document's score by a
+logistic curve. All rows of the sample take part, near copies together as one row.
 
 Defined results: null, empty and wordless texts have no spans and the score of no toxic words; each row is judged by
 itself, so ties, repeated rows and empty tables need nothing special; without labels of both classes nothing is toxic
@@ -13,7 +14,6 @@ by tag() and kept by without_toxic(), whatever their names.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankeval.llm.common import ALNUM, CHUNK_BYTES, Words, chunks, mapped, mixed, pieces, prefix_hash, range_hash, raw_texts, table
-from rankeval.llm.labelled import held_out, training_texts
+from rankeval.llm.labelled import held_out, shares, training_texts
 
 #: Bound on the labelled rows of each class that the model is fitted on.
 PER_CLASS = 3000
@@ -111,37 +111,41 @@ class _Learnt:
     def places(self) -> np.ndarray:
         return np.stack([(h >> np.uint64(64 - BITS)).astype(np.int32) for h in self.hashes], 1)
 
-    def labels(self, toxic: np.ndarray) -> np.ndarray:
-        """1 for words of toxic documents that are typical of those."""
+    def labels(self, toxic: np.ndarray, share: np.ndarray, odds: float, support: float) -> np.ndarray:
+        """1 for words of toxic documents that are typical of those: odds times as frequent there, in the share support of them and in three.
+
+        share: what each document counts.
+        """
         out = np.zeros(len(self.doc), bool)
-        n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+        n1, n0 = share[toxic].sum(), share[~toxic].sum()
         for column in self.hashes:
             token, where = np.unique(column, return_inverse=True)
             pair = np.unique(self.doc.astype(np.int64) * len(token) + where)
             doc, which = pair // max(1, len(token)), pair % max(1, len(token))
-            in1 = np.bincount(which[toxic[doc]], minlength=len(token))
-            in0 = np.bincount(which[~toxic[doc]], minlength=len(token))
-            odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
-            out |= ((odds > np.log(8)) & (in1 >= max(3, 0.01 * n1)))[where]
+            in1 = np.bincount(which, np.where(toxic, share, 0)[doc], len(token))
+            in0 = np.bincount(which, np.where(toxic, 0, share)[doc], len(token))
+            typical = (in1 + 0.5) / (n1 + 1) > odds * (in0 + 0.5) / (n0 + 1)
+            out |= (typical & (in1 > max(3, support * n1) - 1e-6))[where]
         return out & toxic[self.doc]
 
 
-def fit(rows: list[tuple[bytes, int]], *, epochs: int = 8, rate: float = 0.3, l2: float = 1e-6) -> Model:
-    """The chain from four fifths of the rows, the document curve from all of them: a fifth holds too few toxic ones to place it."""
+def fit(rows: list[tuple[bytes, int]], *, epochs: int = 8, rate: float = 0.3, l2: float = 1e-6, odds: float = 8, support: float = 0.01) -> Model:
+    """The chain from all words of all rows, then the document curve from all rows; odds and support say which words are labelled toxic.
+
+    Near copies share the weight of one row.
+    """
     none = Model(np.zeros(1 << BITS, np.float32), -20.0, np.ones((2, 2)), np.array([0.0, 0.0, -50.0]))
-    if len(Counter(y for _, y in rows)) < 2:
+    if len({y for _, y in rows}) < 2:
         return none
-    learn = [r for i, r in enumerate(rows) if i % 5]
-    w = _Learnt.of([t for t, _ in learn])
-    labels = w.labels(np.array([y == 1 for _, y in learn]))
+    texts, toxic = [t for t, _ in rows], np.array([y == 1 for _, y in rows])
+    w, share = _Learnt.of(texts), shares(texts)
+    labels = w.labels(toxic, share, odds, support)
     if not labels.any():
         return none
     # Segments of at most SEGMENT words; a segment is a chain of its own here.
     first = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(w.first[:-1], w.first[1:], strict=True)])
     ends = np.append(first[1:], len(w.doc))
-    hot = np.add.reduceat(labels, first) > 0
-    keep = hot | (np.arange(len(first)) % 3 == 0)  # every third of the segments without a toxic word
-    first, ends = first[keep], ends[keep]
+    weight = share[w.doc[first]]
     places = w.places()
     w.hashes.clear()
     weights, bias, moves = np.zeros(1 << BITS), -4.0, np.zeros((2, 2))
@@ -156,34 +160,34 @@ def fit(rows: list[tuple[bytes, int]], *, epochs: int = 8, rate: float = 0.3, l2
             e = np.exp(np.clip(weights[f].sum(1) + bias, -25, 25))
             m = np.exp(moves)
             p = marginals(e, edge, m)
-            miss = y - p
-            g = np.bincount(f.ravel(), np.repeat(miss, f.shape[1]), 1 << BITS) / len(batch) - l2 * weights
+            each, total = np.repeat(weight[batch], sizes), weight[batch].sum()
+            miss = (y - p) * each
+            g = np.bincount(f.ravel(), np.repeat(miss, f.shape[1]), 1 << BITS) / total - l2 * weights
             # Expected pairs of states from the marginals of two words in a row, under the chain's local coupling.
             inner = np.ones(len(at), bool)
             inner[edge[1:] - 1] = False
             i = np.flatnonzero(inner)
-            observed = np.array([[((1 - y[i]) * (1 - y[i + 1])).sum(), ((1 - y[i]) * y[i + 1]).sum()], [(y[i] * (1 - y[i + 1])).sum(), (y[i] * y[i + 1]).sum()]])
-            expected = _pairs(e, edge, m, i)
-            gm = (observed - expected).ravel()[1:] / len(batch)
+            now, then = np.stack([1 - y[i], y[i]]), np.stack([1 - y[i + 1], y[i + 1]])
+            gm = ((now * each[i]) @ then.T - _pairs(e, edge, m, i, each[i])).ravel()[1:] / total
             grown += g * g
             weights += rate * g / np.sqrt(grown)
-            small = np.array([miss.sum() / len(batch), *gm, 0.0])
+            small = np.array([miss.sum() / total, *gm, 0.0])
             grown_small += small * small
             step = 0.1 * small / np.sqrt(grown_small)
             bias += step[0]
             moves.ravel()[1:] += step[1:4]
     model = Model(weights.astype(np.float32), float(bias), np.exp(np.clip(moves, -8, 8)), np.zeros(3))
     del w, places, labels  # the curve's rows need their own memory
-    texts, x = [t for t, _ in rows], []
+    x = []
     for a, b in chunks(texts):
         part = Words(texts[a:b], ALNUM)
         x.append(document_features(part, _marginals_of(part, model)))
-    model.curve = _logistic(np.concatenate(x), np.array([y for _, y in rows], float))
+    model.curve = _logistic(np.concatenate(x), toxic.astype(float), share)
     return model
 
 
-def _pairs(emit: np.ndarray, first: np.ndarray, moves: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """Expected numbers of [state, next state] over neighbouring words."""
+def _pairs(emit: np.ndarray, first: np.ndarray, moves: np.ndarray, inner: np.ndarray, weight: np.ndarray | float = 1.0) -> np.ndarray:
+    """Expected numbers of [state, next state] over neighbouring words, each counting its weight."""
     p = marginals(emit, first, moves)
     odds = p / np.maximum(1 - p, 1e-12)
     # back = marginal odds / forward odds; the pair (i, i + 1) is forward(i) * move * emission(i + 1) * back(i + 1).
@@ -191,7 +195,7 @@ def _pairs(emit: np.ndarray, first: np.ndarray, moves: np.ndarray, inner: np.nda
     back = odds / np.maximum(ahead, 1e-12)
     a, r = ahead[inner], emit[inner + 1] * back[inner + 1]
     cells = np.stack([np.full(len(a), moves[0, 0]), moves[0, 1] * r, moves[1, 0] * a, moves[1, 1] * a * r])
-    return (cells / cells.sum(0)).sum(1).reshape(2, 2)
+    return (cells * (weight / cells.sum(0))).sum(1).reshape(2, 2)
 
 
 def _forward(emit: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -207,13 +211,13 @@ def _forward(emit: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarr
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Coefficients by Newton steps, with a little shrinkage so that a clean split stays finite."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Coefficients by Newton steps, with a little shrinkage so that a clean split stays finite. weight: what each row counts."""
     v = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.003 * np.eye(len(v))
-        v += np.linalg.solve(h, x.T @ (y - p) - 0.003 * v)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.003 * np.eye(len(v))
+        v += np.linalg.solve(h, x.T @ (weight * (y - p)) - 0.003 * v)
     return v
 
 
@@ -222,7 +226,7 @@ def _marginals_of(w: Words, model: Model) -> np.ndarray:
 
 
 def document_features(w: Words, p: np.ndarray) -> np.ndarray:
-    """Of each text: the logs of its expected toxic words and of their share, from the marginals over a half; 1."""
+    """Of each text: the logs of the expected toxic words among those of its spans (marginals over a half) and of their share; 1."""
     sure = np.bincount(w.doc, np.where(p > 0.5, p, 0.0), len(w.at) - 1)
     n = np.diff(w.first)
     return np.stack([np.log(sure + 0.1), np.log(sure / np.maximum(n, 1) + 1e-3), np.ones(len(n))], 1)

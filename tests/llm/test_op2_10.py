@@ -39,7 +39,7 @@ def chat(r, toxic):
 def test_toxic_spans_and_edges(spark):
     r = random.Random(1)
     rows = [(chat(r, i % 4 == 0).encode(), int(i % 4 == 0)) for i in range(600)]
-    model = toxicity.fit(labelled.distinct(rows))
+    model = toxicity.fit(rows)
     fresh = [(chat(r, i % 2), i % 2) for i in range(200)]
     assert sum((s >= 0.7) == y for (_, s, _), (_, y) in zip(toxicity.scored([t.encode() for t, _ in fresh], model), fresh, strict=True)) >= 196
     docs = [(1, "é was a Rotten, vile thing. Rest", "x"), (2, None, "x"), (3, "", "x"), (4, "rest " * 30000, "x"), (5, "vile", "x"), (5, "vile", "x"), (None, "...", "x")]
@@ -64,6 +64,29 @@ def test_learning_keeps_to_its_rows(spark):
     assert flags[None] is False and all(flags[i] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in range(60))
 
 
+def test_copies_count_as_one_row_and_all_words_are_learnt(spark):
+    r = random.Random(3)
+    texts = [chat(r, i % 3 == 0).encode() for i in range(90)]
+    copies = [texts[7], texts[7] + b" at the end", texts[7]]
+    group = labelled.groups([*texts, *copies, b"", b"", b"two words"])
+    assert group[7] == 7 and group[90:93].tolist() == [7, 7, 7] and group[93] == group[94] == 93 and group[95] == 95
+    share = labelled.shares([*texts, *copies])
+    assert np.isclose(share.sum(), 90) and np.isclose(share[[7, 90, 91, 92]], 0.25).all()
+    # A word that stands in copies of one toxic document alone is no toxic word; one in many documents is, wherever these stand.
+    odd = "zanquilo " + chat(r, False)
+    rows = [(chat(r, i % 4 == 0).encode(), int(i % 4 == 0)) for i in range(300)]
+    model = toxicity.fit([*rows, *[(odd.encode(), 1)] * 40])
+    marks = [list(x[2]) for x in toxicity.scored([b"zanquilo", b"idiotic", b"rotten"], model, spans=True)]
+    assert not marks[0] and marks[1] and marks[2]
+
+
+def test_sample_keeps_near_copies(spark):
+    docs = spark.createDataFrame([(i, "one text for all of them") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    free = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(40))
+    assert len(labelled.training_texts(docs, labels, "toxic", 100)) == free
+
+
 def accuracy(df, labels, column):
     x = df.join(labels, "doc_id").where("held_out")
     return x.agg(F.avg((F.col("predicted") == F.col(column)).cast("int"))).first()[0]
