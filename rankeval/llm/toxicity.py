@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,9 +120,13 @@ class _Learnt:
         out = np.zeros(len(self.doc), bool)
         n1, n0 = share[toxic].sum(), share[~toxic].sum()
         for column in self.hashes:
-            token, where = np.unique(column, return_inverse=True)
-            pair = np.unique(self.doc.astype(np.int64) * len(token) + where)
-            doc, which = pair // max(1, len(token)), pair % max(1, len(token))
+            where, token = pd.factorize(column)
+            where = where.astype(np.int32)
+            pair = self.doc.astype(np.int64) * len(token) + where
+            pair.sort()
+            pair = pair[np.diff(pair, prepend=-1) > 0]
+            doc, which = (pair // max(1, len(token))).astype(np.int32), (pair % max(1, len(token))).astype(np.int32)
+            del pair
             in1 = np.bincount(which, np.where(toxic, share, 0)[doc], len(token))
             in0 = np.bincount(which, np.where(toxic, 0, share)[doc], len(token))
             typical = (in1 + 0.5) / (n1 + 1) > odds * (in0 + 0.5) / (n0 + 1)
