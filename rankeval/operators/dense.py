@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from rankeval.operators.heads import HELD, Best
 from rankeval.session import ship
 
 DIGITS = 6
 #: Bound on the query block that is broadcast, in numbers; more queries go in more blocks.
 BLOCK_NUMBERS = 4_000_000
+#: Products that a task holds at a time.
+CELLS = 1_000_000
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -24,13 +27,13 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def _blocks(queries: DataFrame, corpus: bool) -> Iterator[tuple]:
-    """(query, corpus, vectors) of queries in blocks of bounded size, as arrays; one empty block without any."""
+def _blocks(queries: DataFrame, corpus: bool, most: int = BLOCK_NUMBERS) -> Iterator[tuple]:
+    """(query, corpus, vectors) of queries in blocks of bounded size, at most so many, as arrays; one empty block without any."""
     block, width, some = [], 1, False
     for row in queries.select("query", *(["corpus"] if corpus else []), "query_embedding").toLocalIterator():
         width = max(1, len(row[-1]))
         block.append(row)
-        if len(block) * width >= BLOCK_NUMBERS:
+        if len(block) * width >= BLOCK_NUMBERS or len(block) >= most:
             yield _arrays(block)
             block, some = [], True
     if block or not some:
@@ -59,30 +62,30 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, id, score, rank): the k nearest of all vectors (id, embedding) for each query (query, query_embedding).
 
-    Query blocks of bounded size are broadcast; each batch of vectors gives at most k candidates a query (a matrix product,
-    then a partial sort), so what is shuffled does not grow with the number of vectors in a batch. Rows without a vector
+    Query blocks of bounded size are broadcast; each task gives at most k candidates a query, from matrix products of at most
+    CELLS numbers, so what is held and shuffled does not grow with the number of vectors in a task. Rows without a vector
     are left out; a vector of another length is an error. Ids and queries keep their types.
     """
     ship(vectors.sparkSession)
     rows, out = vectors.select("id", "embedding"), None
     types = [queries.schema["query"].dataType, rows.schema["id"].dataType]
     schema = f"query {types[0].simpleString()}, id {types[1].simpleString()}, score double"
-    for block in _blocks(queries, False):
+    for block in _blocks(queries, False, max(1, HELD // k)):
         sent = vectors.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, _, q = sent.value
             kinds = [to_arrow_type(t) for t in types]
+            best = Best(k, len(names), merged=False)
             for batch in batches:
                 at, v = _matrix(batch.column(1), q.shape[1]) if len(names) else ([], None)
-                if not len(at):
-                    continue
-                ids = batch.column(0).take(pa.array(at))
-                place = np.argsort(np.asarray(pc.sort_indices(ids)))  # of equally near ones the first by id
-                near = np.round(q @ v.T, DIGITS)
-                order = np.lexsort((np.broadcast_to(place, near.shape), -near), axis=1)[:, :k]
-                query = pa.array(np.repeat(names, order.shape[1]).tolist(), kinds[0])
-                yield pa.RecordBatch.from_arrays([query, ids.take(pa.array(order.ravel())).cast(kinds[1]), pa.array(np.take_along_axis(near, order, 1).ravel())], ["query", "id", "score"])
+                step = max(1, CELLS // max(1, len(names)))
+                for i in range(0, len(at), step):
+                    ids = batch.column(0).take(pa.array(at[i : i + step]))
+                    best.add(ids, pa.array(np.zeros(len(ids), np.int64)), np.round(v[i : i + step] @ q.T, DIGITS))
+            for t in best.tables():
+                query = pa.array(names.tolist(), kinds[0]).take(t.column("q").combine_chunks())
+                yield from pa.table([query, t.column("doc").cast(kinds[1]), t.column("score")], ["query", "id", "score"]).combine_chunks().to_batches(10_000)
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -94,8 +97,8 @@ def best_of(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, path, score, pos): for each query and path the best of the path's vectors (path, pos, embedding), the first of equals.
 
     Where both tables have a corpus, a query meets the vectors of its own corpus alone. Queries go out in blocks of bounded
-    size; a batch of vectors gives a row for each of its paths and query, so what is shuffled is smaller than all pairs by
-    the number of vectors that a path has in a batch. Vectors and types are treated as in top_k().
+    size and meet a batch in products of at most CELLS numbers; a batch of vectors gives a row for each of its paths and query,
+    so what is shuffled is smaller than all pairs by the number of vectors that a path has in a batch. Vectors and types are treated as in top_k().
     """
     ship(vectors.sparkSession)
     corpus = "corpus" in vectors.columns and "corpus" in queries.columns
@@ -108,6 +111,7 @@ def best_of(vectors: DataFrame, queries: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, own, q = sent.value
             kinds = [to_arrow_type(t) for t in types]
+            asked, own = pa.array(names.tolist(), kinds[0]), pa.array(own.tolist()) if corpus else None
             for batch in batches:
                 at, v = _matrix(batch.column(2), q.shape[1]) if len(names) else ([], None)
                 if not len(at):
@@ -116,17 +120,30 @@ def best_of(vectors: DataFrame, queries: DataFrame) -> DataFrame:
                 keys = ["corpus", "path", "pos"] if corpus else ["path", "pos"]
                 order = np.asarray(pc.sort_indices(pa.table({c: part.column(part.schema.get_field_index(c)) for c in keys}), [(c, "ascending") for c in keys]))
                 part, v = part.take(pa.array(order)), v[order]
-                paths, pos, group = part.column(0), part.column(1).to_numpy(), part.column(3).to_pylist() if corpus else None
+                paths, pos = part.column(0), part.column(1).to_numpy()
                 code = np.asarray(paths.dictionary_encode().indices)
-                edge = code[1:] != code[:-1]
+                edge, group = code[1:] != code[:-1], None
                 if corpus:
-                    edge |= np.array([a != b for a, b in zip(group[1:], group[:-1], strict=True)], bool)
+                    both = pa.concat_arrays([part.column(3), own.cast(part.column(3).type)]).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                    group, mine = both[: len(pos)], both[len(pos) :]
+                    edge |= group[1:] != group[:-1]
                 first = np.flatnonzero(np.concatenate([[True], edge]))
-                near = np.round(q @ v.T, DIGITS)
-                for a, b in zip(first, [*first[1:], len(pos)], strict=True):
-                    mine = np.flatnonzero(own == group[a]) if corpus else np.arange(len(names))
-                    best = near[mine, a:b].argmax(1)  # the first of equals
-                    yield pa.RecordBatch.from_arrays([pa.array(names[mine].tolist(), kinds[0]), paths.take(pa.array(np.full(len(mine), a))).cast(kinds[1]), pa.array(near[mine, a + best]), pa.array(pos[a + best])], ["query", "path", "score", "pos"])
+                place = np.arange(len(pos))
+                # Both queries and paths are dealt out so that no product is larger; of a path in two slices two rows are given.
+                for a in range(0, len(pos), CELLS):
+                    z = min(len(pos), a + CELLS)
+                    step = max(1, CELLS // (z - a))
+                    heads = np.unique(np.concatenate([[a], first[(first > a) & (first < z)]])) - a
+                    width = np.diff(np.append(heads, z - a))
+                    for i in range(0, len(names), step):
+                        near = np.round(q[i : i + step] @ v[a:z].T, DIGITS)
+                        most = np.maximum.reduceat(near, heads, axis=1)
+                        at = np.minimum.reduceat(np.where(near == np.repeat(most, width, axis=1), place[: z - a], z), heads, axis=1)  # the first of equals
+                        x, y = np.nonzero(mine[i : i + step, None] == group[a + heads]) if corpus else np.divmod(np.arange(most.size), len(heads))
+                        found = a + at[x, y]
+                        for j in range(0, len(x), 100_000):
+                            u, w = x[j : j + 100_000], found[j : j + 100_000]
+                            yield pa.RecordBatch.from_arrays([asked.take(pa.array(i + u)), paths.take(pa.array(w)).cast(kinds[1]), pa.array(most[u, y[j : j + 100_000]]), pa.array(pos[w])], ["query", "path", "score", "pos"])
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
