@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankeval.operators import dense, heads
+from rankeval.operators import agent, chunking, dense, heads, literal, tools
 from rankeval.plans import catalog, rungs
-from rankeval.sources import postings
+from rankeval.sources import grams, postings
 from rankeval.sources.postings import Postings
 from tests.test_postings import corpus, full_ranking
 
@@ -68,3 +68,40 @@ def test_ladder_queries_ask_for_heads_alone(spark, monkeypatch):
     monkeypatch.setattr(Postings, "full", refused)
     for name in ("rung_hybrid", "rung_prompts"):
         assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count(), name
+
+
+def test_few_patterns_make_no_index_and_hits_are_not_ordered_whole(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("an index for a few patterns")
+
+    monkeypatch.setattr(grams, "ready", refused)
+    one = lambda rows, s: spark.createDataFrame(rows, s)
+    tree = one([("c", f"f{i:02d}.py", i % 4) for i in range(20)] + [("c", "f05.py", 1)] * 2, "corpus string, path string, blob long")
+    blobs = one([(i, t) for i, t in enumerate(["needle", "a needle too", "hay", "hay and needle"])] * 2, "blob long, text string")
+    got = tools.grep(tree, blobs, one([("r", "c", "needle"), ("s", "c", "hay"), ("t", "c", "none")], "request string, corpus string, pattern string"), limit=5)
+    want = []
+    for request, held in (("r", (0, 1, 3)), ("s", (2, 3))):
+        paths = sorted([f"f{i:02d}.py" for i in range(20) if i % 4 in held] + (["f05.py"] * 2 if 1 in held else []))
+        want += [(request, p, len(paths), i < 5) for i, p in enumerate(paths)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert literal.SCANNED < 200  # an evaluation's items go through the index
+
+
+@pytest.mark.parametrize("cap", [0, 3])
+def test_no_more_steps_travel_than_a_replay_can_take(spark, monkeypatch, cap):
+    call = lambda name, *paths: {"name": name, "paths": list(paths), "rejected": False, "truncated": False}
+    # a retry, the calls, a nudge, and the end
+    kinds = [[call(agent.SUBMIT, "absent.py")], *([call("read_file", "a.py")] for _ in range(cap)), [], [call("read_file", "b.py")]]
+    long = [("i", n, "", 1.0, 0.1, kinds[n] if n < len(kinds) else [call(agent.SUBMIT, "a.py")]) for n in range(60)]
+    steps = spark.createDataFrame(long, agent.STEP_SCHEMA)
+    listed = spark.createDataFrame([("i", ["a.py"], "c")], "instance_id string, candidates array<string>, corpus string")
+    tree = spark.createDataFrame([("c", "a.py")], "corpus string, path string")
+    r = agent.replay(steps, listed, tree, cap=cap).first()
+    assert (r.stop, r.steps, r.calls, r.nudges, r.guardrail_retries, r.fell_back) == ("budget_exceeded", cap + 3, cap, 1, 1, True)
+    plan = agent.replay(steps, listed, tree, cap=cap)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"<= {cap + 3}" in plan
+
+
+def test_sources_are_dealt_out_before_they_are_parsed(spark):
+    blobs = spark.createDataFrame([(i, f"def f{i}(): pass") for i in range(64)], "blob long, text string").coalesce(1)
+    assert chunking.definitions(blobs).rdd.getNumPartitions() > 1
