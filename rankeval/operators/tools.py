@@ -23,13 +23,21 @@ def _numbered(line: Column) -> Column:
 def grep(tree: DataFrame, blobs: DataFrame, patterns: DataFrame, limit: int = MAX_HITS, store: str | None = None) -> DataFrame:
     """(request, path, hits, shown): source files that hold the pattern literally, in tree order; binary ones never do.
 
-    patterns: (request, corpus, pattern): blobs are searched once for all of them, before paths join. store: as in
-    literal_hits().
+    patterns: (request, corpus, pattern): blobs are searched once for all of them, before paths join; blobs may come more than
+    once, as what is told of them is made distinct, not their texts. store: as in literal_hits().
     """
-    found = literal_hits(blobs.where(~F.col("text").contains("\0")), patterns, key="blob", store=store)
+    found = literal_hits(blobs.where(~F.col("text").contains("\0")), patterns, key="blob", store=store).distinct()
     files = tree.where(is_source("path")).join(found, "blob").join(patterns, ["corpus", "pattern"]).select("request", "path")
-    w = Window.partitionBy("request")
-    return files.select("request", "path", F.count(F.lit(1)).over(w).alias("hits"), (F.row_number().over(w.orderBy("path")) <= limit).alias("shown"))
+    # Of a request's rows only the first are ordered; all others are compared with the last of these.
+    by = Window.partitionBy("request").orderBy("path")
+    first = files.withColumn("place", F.row_number().over(by)).where(F.col("place") <= limit).groupBy("request").agg(F.max("path").alias("bar"))
+    same = files.groupBy("request", "path").agg(F.count(F.lit(1)).alias("same"))
+    sizes = same.groupBy("request").agg(F.sum("same").alias("hits")).join(first, "request", "left")
+    ahead = same.join(F.broadcast(first), "request").where(F.col("path") < F.col("bar")).groupBy("request").agg(F.sum("same").alias("ahead"))
+    about = F.broadcast(sizes.join(ahead, "request", "left"))
+    left = F.when(F.col("bar").isNull() | (F.col("path") > F.col("bar")), 0).when(F.col("path") < F.col("bar"), F.col("same")).otherwise(limit - F.coalesce("ahead", F.lit(0)))
+    rows = same.join(about, "request").select("request", "path", "hits", left.alias("left"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("same"))).alias("i"))
+    return rows.select("request", "path", "hits", (F.col("i") <= F.col("left")).alias("shown"))
 
 
 def read_range(requests: DataFrame, files: DataFrame, *, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS) -> DataFrame:

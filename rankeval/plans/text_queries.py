@@ -141,7 +141,7 @@ SELECT pattern, path, count(*) OVER (PARTITION BY pattern)::BIGINT AS hits, row_
 def grep_literal(t: Tables) -> DataFrame:
     files = _doc_files(t).withColumn("corpus", F.lit("all"))
     wanted = t.spark.createDataFrame([(g, "all", g) for g in GREP], "request string, corpus string, pattern string")
-    return tools.grep(files.select("corpus", "path", "blob"), files.select("blob", "text").distinct(), wanted, store=t.store("blob-grams", t.documents)).withColumnRenamed("request", "pattern")
+    return tools.grep(files.select("corpus", "path", "blob"), files.select("blob", "text"), wanted, store=t.store("blob-grams", t.documents)).withColumnRenamed("request", "pattern")
 
 
 @query(f"SELECT doc_id, md5(text) AS blob, len({sql_tokens('text')})::BIGINT AS n_tokens FROM documents")
