@@ -2,16 +2,17 @@
 
 Of every WINDOW neighbouring pieces of PIECE bytes the one with the least hash is an entry of its text. A pattern that has a
 whole window inside therefore shares that entry with every text that holds it. Each part of the log keeps
-  texts     (key, n)                     what it covers
-  counts    (gram, bucket, df)           in how many texts an entry stands
-  postings  (gram, key)                  in folders by a hash of the entry, in ranges of (gram, key)
-Entries that stand in more than one of SHARE texts tell little and have no postings, so none is hot. search() meets the
-rarest entries of a pattern, takes the texts that hold all of them, and looks there with contains(); only patterns without
-any such entry (short ones, and those of frequent pieces) need every text.
+  texts     (key, n)         what it covers
+  entries   (key, grams)     a text's distinct entries, at most PART a row, as the tasks that read the texts write them
+Nothing is sorted or shuffled by entry: a search sends out the entries of its patterns, and what leaves a task are their
+counts and then the texts that hold them. Entries that stand in more than one of SHARE texts tell little and are not
+looked for, so none is hot. search() meets the rarest entries of a pattern, takes the texts that hold all of them, and
+looks there with contains(); only patterns without any such entry (short ones, and those of frequent pieces) need every text.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,11 @@ from rankeval.sources.store import Conflict, Log, staged
 
 PIECE, WINDOW = 5, 4
 SHARE, LEAST_CAP = 20, 64
-BUCKETS = 64
+#: Entries of a stored row, so that rows that travel together are bounded whatever the texts' lengths; rows that a task looks at together.
+PART, ROWS = 1000, 1000
 #: Entries of a pattern that are met, and characters of patterns that go through all texts together.
 RAREST, SLICE_CHARS = 3, 100_000
-#: Numbers that may be broadcast.
+#: Numbers or keys that may be broadcast.
 BROADCAST = 2_000_000
 #: Bytes that are hashed at a time.
 BLOCK = 1 << 20
@@ -51,19 +53,69 @@ def entries_of(text: bytes) -> np.ndarray:
 
 
 def _entries(rows: DataFrame) -> DataFrame:
-    """(key, text) to (key, gram)."""
-    kind = rows.schema[0].dataType.simpleString()
+    """(key, text) to (key, grams), the entries of a text in rows of at most PART."""
+    kind, most = rows.schema[0].dataType.simpleString(), PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).cast(pa.large_binary()).cast(pa.binary())
+            at, held = [], []
             for i in range(batch.num_rows):
                 own = entries_of(texts[i].as_py() or b"")
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.full(len(own), i))), pa.array(own)], ["key", "gram"])
+                held += [own[j : j + most] for j in range(0, len(own), most)]
+                at += [i] * (len(held) - len(at))
+                if len(held) >= ROWS or held and i == batch.num_rows - 1:
+                    edge = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(held)))], ["key", "grams"])
+                    at, held = [], []
 
     ship(rows.sparkSession)
-    return rows.mapInArrow(run, f"key {kind}, gram bigint")
+    return rows.mapInArrow(run, f"key {kind}, grams array<bigint>")
+
+
+def _met(batches: Iterator[pa.RecordBatch], grams: np.ndarray) -> Iterator[tuple]:
+    """(keys, the row of each entry met, its place in grams) of some rows (key, grams) after others."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(i, ROWS)
+            values = batch.column(1).flatten().to_numpy()
+            at = np.minimum(np.searchsorted(grams, values), len(grams) - 1)
+            met = np.flatnonzero(grams[at] == values)
+            row = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            yield batch.column(0), row[met], at[met]
+
+
+def _counted(held: DataFrame, grams: np.ndarray) -> DataFrame:
+    """(gram, df): in how many rows' texts each of these entries stands; grams are sorted. A task sends a row for each at most."""
+    sent = held.sparkSession.sparkContext.broadcast(grams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(sent.value), np.int64)
+        for _, _, at in _met(batches, sent.value):
+            np.add.at(n, at, 1)
+        some = np.flatnonzero(n)
+        yield from pa.table([pa.array(sent.value[some]), pa.array(n[some])], ["gram", "df"]).to_batches(10_000)
+
+    return held.mapInArrow(run, "gram bigint, df bigint").groupBy("gram").agg(F.sum("df").alias("df"))
+
+
+def _found(held: DataFrame, grams: np.ndarray) -> DataFrame:
+    """(key, gram) of the rows (key, grams) for each of these entries, which are sorted."""
+    sent, kind = held.sparkSession.sparkContext.broadcast(grams), held.schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, row, at in _met(batches, sent.value):
+            if len(row):
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(sent.value[at])], ["key", "gram"])
+
+    return held.mapInArrow(run, f"key {kind}, gram bigint")
+
+
+def _parts(grams: DataFrame) -> Iterator[np.ndarray]:
+    """The distinct entries (gram), sorted, in arrays of at most BROADCAST."""
+    rows = (r[0] for r in grams.distinct().toLocalIterator())
+    while len(part := np.fromiter(itertools.islice(rows, BROADCAST), np.int64)):
+        yield np.sort(part)
 
 
 class Grams:
@@ -80,16 +132,8 @@ class Grams:
                 return 0
         part = self.log.new_folder()
         n = self.log.write(new.groupBy("key").agg(F.count(F.lit(1)).alias("n")), part, "texts").count()
-        found = staged(_entries(new.select("key", "text")), "grams")
-        counts = found.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-        counts = counts.select("gram", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int").alias("bucket"), "df")
-        counts = self.log.write(counts.repartitionByRange("bucket", "gram").sortWithinPartitions("bucket", "gram"), part, "counts")
+        self.log.write(_entries(new.select("key", "text")), part, "entries")
         cap = max(LEAST_CAP, n // SHARE)
-        # Each frequent entry is in more than one of SHARE texts, so there are at most SHARE times as many as a text has on average.
-        frequent = counts.where(F.col("df") > cap).select("gram")
-        rare = found.join(F.broadcast(frequent) if frequent.count() <= BROADCAST else frequent, "gram", "left_anti")
-        rare = rare.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
-        self.log.write(rare.repartitionByRange("bucket", "gram", "key").sortWithinPartitions("bucket", "gram", "key"), part, "postings", by="bucket")
         self.log.commit(part, len(parts), texts=n, cap=cap)
         return n
 
@@ -99,16 +143,18 @@ class Grams:
         patterns: (pattern), distinct and not null.
         """
         pairs, blind = [], []
-        own = staged(_entries(patterns.select(F.col("pattern").alias("key"), F.col("pattern").alias("text"))).withColumnRenamed("key", "pattern"), "asked")
+        own = _entries(patterns.select(F.col("pattern").alias("key"), F.col("pattern").alias("text")))
+        own = staged(own.select(F.col("key").alias("pattern"), F.explode("grams").alias("gram")), "asked")
         for e in self.log.entries():
-            told = own.join(self.log.table("counts", [e]), "gram", "left")
+            held = self.log.table("entries", [e])
+            counts = _union([_counted(held, grams) for grams in _parts(own.select("gram"))], self.spark.createDataFrame([], "gram bigint, df bigint"))
+            told = own.join(staged(counts, "counts"), "gram", "left")
             place = F.row_number().over(Window.partitionBy("pattern").orderBy("df", "gram"))
             nowhere = told.where("df is null").select("pattern").distinct()
             rare = told.where(F.col("df") <= e["cap"]).join(nowhere, "pattern", "left_anti").withColumn("place", place).where(F.col("place") <= RAREST)
-            rare = staged(rare.select("pattern", "gram", "bucket", F.count(F.lit(1)).over(Window.partitionBy("pattern")).alias("need")), "rare")
-            buckets = [r[0] for r in rare.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-            held = self.log.table("postings", [e]).where(F.col("bucket").isin(buckets)).drop("bucket")
-            met = held.join(rare, "gram").groupBy("key", "pattern").agg(F.count_distinct("gram").alias("n"), F.max("need").alias("need"))
+            rare = staged(rare.select("pattern", "gram", F.count(F.lit(1)).over(Window.partitionBy("pattern")).alias("need")), "rare")
+            found = _union([_found(held, grams) for grams in _parts(rare.select("gram"))], held.select("key", F.lit(0).cast("long").alias("gram")).limit(0))
+            met = found.join(rare, "gram").groupBy("key", "pattern").agg(F.count_distinct("gram").alias("n"), F.max("need").alias("need"))
             pairs.append(met.where("n = need").select("key", "pattern"))
             left = patterns.join(nowhere, "pattern", "left_anti").join(rare.select("pattern").distinct(), "pattern", "left_anti")
             blind.append(left.select(F.lit(e["number"]).alias("part"), "pattern"))
@@ -125,7 +171,11 @@ class Grams:
         if not self.log.entries():
             return rows.select("key", F.col("text").alias("pattern")).limit(0)
         pairs, blind = self.candidates(asked)
-        out = rows.join(pairs, "key").where(F.col("text").contains(F.col("pattern"))).select("key", "pattern")
+        pairs = staged(pairs, "pairs")
+        keys = pairs.select("key").distinct()
+        # Texts that hold nothing stay where they are.
+        near = rows.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= BROADCAST else rows
+        out = near.join(pairs, "key").where(F.col("text").contains(F.col("pattern"))).select("key", "pattern")
         blind = staged(blind, "blind")
         whole = [e["number"] for e in self.log.entries()]
         for held, parts in _slices(blind):
@@ -138,8 +188,8 @@ class Grams:
         return out
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
+def _union(frames: list[DataFrame], none: DataFrame | None = None) -> DataFrame:
+    out = frames[0] if frames else none
     for f in frames[1:]:
         out = out.unionByName(f)
     return out

@@ -105,3 +105,22 @@ def test_no_more_steps_travel_than_a_replay_can_take(spark, monkeypatch, cap):
 def test_sources_are_dealt_out_before_they_are_parsed(spark):
     blobs = spark.createDataFrame([(i, f"def f{i}(): pass") for i in range(64)], "blob long, text string").coalesce(1)
     assert chunking.definitions(blobs).rdd.getNumPartitions() > 1
+
+
+def test_an_index_of_pieces_is_neither_sorted_nor_shuffled_by_entry(spark, tmp_path, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("entries are dealt out by range")
+
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", refused)
+    for name, n in (("PART", 3), ("ROWS", 4), ("BROADCAST", 7), ("LEAST_CAP", 5)):
+        monkeypatch.setattr(grams, name, n)
+    r = np.random.default_rng(4)
+    texts = {i: "".join(r.choice(list("abc é"), 60)) for i in range(50)}
+    asked = [t[10:40] for t in list(texts.values())[:12]] + ["abc", "not to be found here"]
+    df = spark.createDataFrame(list(texts.items()), "key long, text string")
+    index = grams.Grams(spark, f"{tmp_path}/g")
+    assert index.extend(df) == 50
+    got = index.search(df, spark.createDataFrame([(x,) for x in asked], "pattern string"))
+    assert sorted(map(tuple, got.collect())) == sorted((k, x) for k, t in texts.items() for x in set(asked) if x in t)
+    held = index.log.table("entries").collect()
+    assert max(len(x.grams) for x in held) == 3 and len({x.key for x in held}) == 50
