@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -253,42 +254,47 @@ def _table_links(attending: DataFrame, k: int, percent: int, counted: bool) -> D
     Rows are links (u, v) and, if counted (attending has copies, block, earlier as well), numbers of links (u, n).
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, held, more = None, [], [], []
-
-        def links() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1 and nodes[0] == at[0]:
-                here = Table(held[0], iter(held[1:]), percent)
-                u, v, n = [], [], []
-                for i, j in here.links():
-                    u.append(nodes[i])
-                    v.append(nodes[j])
-                    n.append(None)
-                if counted:
-                    copies, block, earlier = zip(*more, strict=True)
-                    got = here.counts(np.array(copies, np.int64), [np.array(x, np.int64) for x in earlier], np.array(block), at[1] == at[2])
-                    for i in np.flatnonzero(got).tolist():
-                        u.append(nodes[i])
-                        v.append(None)
-                        n.append(int(got[i]))
-                if u:
-                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(n, pa.int64())], ["u", "v", "n"])
-
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(table, node, what the counts need, set) of each row."""
         for batch in pieces(batches):
             texts = raw_texts(batch.column(5))
-            keys = zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True)
+            keys = zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True)
             extra = zip(*(batch.column(i).to_pylist() for i in (6, 7, 8)), strict=True) if counted else [()] * len(texts)
-            for (c, b1, b2, node), x, s in zip(keys, extra, shingle_sets(texts, k), strict=True):
-                if (c, b1, b2) != at:
-                    yield from links()
-                    at, nodes, held, more = (c, b1, b2), [], [], []
-                # a repeated row comes right after its like
-                if digest(s) == node and (not nodes or nodes[-1] != node):
-                    nodes.append(node)
-                    held.append(s)
-                    more.append(x)
-        if held:
-            yield from links()
+            yield from zip(keys, batch.column(4).to_pylist(), extra, shingle_sets(texts, k), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, group in itertools.groupby(rows(batches), lambda row: row[0]):
+            nodes, more = [], []
+
+            def sets(at=at, group=group, nodes=nodes, more=more) -> Iterator[np.ndarray]:
+                """One after the other, as the table keeps their differences alone; none if the centre isn't there."""
+                for _, node, x, s in group:
+                    # a repeated row comes right after its like
+                    if digest(s) == node and (nodes[-1] != node if nodes else node == at[0]):
+                        nodes.append(node)
+                        more.append(x)
+                        yield s
+
+            guests = sets()
+            if (centre := next(guests, None)) is None:
+                continue
+            here = Table(centre, guests, percent)
+            if len(nodes) < 2:
+                continue
+            u, v, n = [], [], []
+            for i, j in here.links():
+                u.append(nodes[i])
+                v.append(nodes[j])
+                n.append(None)
+            if counted:
+                copies, block, earlier = zip(*more, strict=True)
+                got = here.counts(np.array(copies, np.int64), [np.array(x, np.int64) for x in earlier], np.array(block), at[1] == at[2])
+                for i in np.flatnonzero(got).tolist():
+                    u.append(nodes[i])
+                    v.append(None)
+                    n.append(int(got[i]))
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(n, pa.int64())], ["u", "v", "n"])
 
     return mapped(attending, run, "u binary, v binary, n bigint")
 

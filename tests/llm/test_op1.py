@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankeval.llm import components, ngram_join
@@ -140,3 +142,42 @@ def test_query_returns_the_number_of_links(spark):
     assert out.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
     sizes = {r.component_id: r["count"] for r in out.groupBy("component_id").count().collect()}
     assert all((r.n_links > 0) == (sizes[r.component_id] > 1) for r in out.collect())
+
+
+def test_a_table_holds_the_differences_of_its_guests_not_their_sets(monkeypatch):
+    r = random.Random(0)
+    base = [f"w{i}" for i in range(4000)]
+    monkeypatch.setattr(ngram_join, "mapped", lambda rows, run, schema: run)
+    of = lambda text: next(ngram_join.shingle_sets([text.encode()], 5))
+    centre = ngram_join.digest(of(" ".join(base)))
+
+    def batches(n):
+        for i in range(0, n, 20):
+            texts = [" ".join(base if j == 0 else [*base[: (at := r.randrange(4000))], f"new{j}", *base[at + 1 :]]) for j in range(i, i + 20)]
+            nodes = [ngram_join.digest(of(t)) for t in texts]
+            yield pa.record_batch([[centre] * 20, [0] * 20, [0] * 20, [node != centre for node in nodes], nodes, texts], ["centre", "b1", "b2", "guest", "node", "text"])
+
+    def peak(n):
+        tracemalloc.start()
+        found = pa.Table.from_batches(ngram_join._table_links(None, 5, 80, False)(batches(n)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found.num_rows == n - 1
+        return most
+
+    peak(20)
+    assert peak(1500) - peak(300) < 1200 * 4000 * 8 / 2  # of hashes in the sets of 1,200 more guests
+
+
+def test_a_table_without_its_centre_has_no_links(monkeypatch):
+    monkeypatch.setattr(ngram_join, "mapped", lambda rows, run, schema: run)
+    texts = ["a b c d e f", "a b c d e f g", "a b c d e f g h"]
+    nodes = [ngram_join.digest(next(ngram_join.shingle_sets([t.encode()], 2))) for t in texts]
+
+    def links(rows):
+        columns = [[nodes[0]] * len(rows), [0] * len(rows), [0] * len(rows), [i > 0 for i in rows], [nodes[i] for i in rows], [texts[i] for i in rows]]
+        batch = pa.record_batch(columns, ["centre", "b1", "b2", "guest", "node", "text"])
+        return [x for out in ngram_join._table_links(None, 2, 80, False)(iter([batch])) for x in zip(*(out.column(c).to_pylist() for c in "uv"), strict=True)]
+
+    assert links([1, 2]) == []
+    assert {frozenset(x) for x in links([0, 1, 1, 2])} == {frozenset(nodes[:2]), frozenset(nodes[1:])}
